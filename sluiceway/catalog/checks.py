@@ -1 +1,77 @@
-"""Placeholder."""
+"""Comparison operators over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluiceway.catalog.base import Tables, query
+from sluiceway.functions import money
+from sluiceway.operators.compare import bag_diff, type_audit
+from sluiceway.plans import marts, synth
+
+
+@query("bag_diff", "C1 C5", """
+    with a as (select l_partkey, l_returnflag from lineitem where l_linenumber <= 4),
+         b as (select l_partkey, l_returnflag from lineitem where l_linenumber >= 3)
+    select l_partkey, l_returnflag, count(*) as surplus from (select * from a except all select * from b) group by 1, 2
+    union all select l_partkey, l_returnflag, -count(*) from (select * from b except all select * from a) group by 1, 2""")
+def bag_diff_query(t: Tables) -> DataFrame:
+    a = t.lineitem.where("l_linenumber <= 4").select("l_partkey", "l_returnflag")
+    return bag_diff(a, t.lineitem.where("l_linenumber >= 3").select("l_partkey", "l_returnflag"))
+
+
+@query("bag_diff_nulls", "C1 C2 C3 C5", """
+    with a as (select nullif(l_returnflag, 'N') as flag, cast(l_quantity as decimal(12,2)) as quantity from lineitem),
+         b as (select case l_returnflag when 'N' then '' else l_returnflag end as flag, cast(l_quantity as decimal(12,2)) as quantity from lineitem where l_linenumber < 7)
+    select flag, quantity, count(*) as surplus from (select * from a except all select * from b) group by 1, 2
+    union all select flag, quantity, -count(*) from (select * from b except all select * from a) group by 1, 2""")
+def bag_diff_nulls(t: Tables) -> DataFrame:
+    """NULL equals NULL but not the empty text; 5 equals 5.00."""
+    a = t.lineitem.select(F.nullif("l_returnflag", F.lit("N")).alias("flag"), money("l_quantity", 12).alias("quantity"))
+    empty = F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag"))
+    b = t.lineitem.where("l_linenumber < 7").select(empty.alias("flag"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    return bag_diff(a, b.withColumn("quantity", F.col("quantity").cast("decimal(12,2)")))
+
+
+def _seen_by(*results: DataFrame) -> DataFrame:
+    """Each distinct result row with the number of results that hold it."""
+    rows = results[0]
+    for other in results[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("seen"))
+
+
+@query("rerun_agreement", "C8", """
+    select strftime(o_orderdate, '%Y-%m') as month, count(*) as orders, sum(cast(o_totalprice as decimal(20,2))) as revenue, 2 as seen
+    from orders group by 1""")
+def rerun_agreement(t: Tables) -> DataFrame:
+    """Two runs of one mart over differently spread input give the same rows."""
+    source = t.orders.select(
+        F.lit(" DONE ").alias("status"), F.col("o_orderdate").alias("order_date"), money("o_totalprice").alias("amount")
+    )
+    return _seen_by(marts.monthly_revenue(source), marts.monthly_revenue(source.repartition(13)))
+
+
+@query("answer_key", "C9 D1 D2", """
+    with digests as (select md5('20261021-' || o_orderkey) as d from orders),
+    made as (
+        select strftime(date '2025-01-01' + to_months(cast(cast('0x' || substr(d, 1, 6) as bigint) % 24 as int)), '%Y-%m') as month,
+               cast('0x' || substr(d, 13, 6) as bigint) % 100 as status, cast('0x' || substr(d, 19, 8) as bigint) % 999901 + 100 as cents
+        from digests)
+    select month, count(*) as orders, cast(sum(cents) * cast(0.01 as decimal(3,2)) as decimal(30,2)) as revenue, 2 as seen
+    from made where status < 70 group by 1""")
+def answer_key(t: Tables) -> DataFrame:
+    """The mart over made-up orders, one per order of the table, and the key worked out another way."""
+    made = synth.orders_for(t.orders.select("o_orderkey"), "o_orderkey", t.orders.count())
+    return _seen_by(marts.monthly_revenue(made), synth.answer_key_at_scale(made))
+
+
+@query("type_audit", "C7 C10", """
+    select count(*) as rows, count(distinct o_custkey) as customers, max(o_orderdate) as newest, 'UTC' as timezone,
+           'o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz' as column_types from orders""")
+def type_audit_query(t: Tables) -> DataFrame:
+    return type_audit(
+        t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), rows=F.count(F.lit(1)),
+        customers=F.count_distinct("o_custkey"), newest=F.max("o_orderdate"),
+    )

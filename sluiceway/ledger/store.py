@@ -5,23 +5,23 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from sluiceway.records import append_records, read_records
 
 SCHEMAS = {
     "runs": "id bigint, kind string, target string, status string, meta_json string, started_at timestamp_ntz, "
             "finished_at timestamp_ntz, seq bigint",
     "stage_runs": "id bigint, run_id bigint, pipeline string, stage string, status string, row_count bigint, "
-                  "started_at timestamp_ntz, finished_at timestamp_ntz, seq bigint",
+                  "counts_json string, started_at timestamp_ntz, finished_at timestamp_ntz, seq bigint",
     "gate_runs": "id bigint, stage_run_id bigint, gate_type string, status string, rows_checked bigint, "
                  "rows_rejected bigint, detail string, ts timestamp_ntz, seq bigint",
     "events": "id bigint, run_id bigint, ts timestamp_ntz, level string, kind string, actor string, message string, "
               "data_json string, seq bigint",
-    "table_counts": "run_id bigint, pipeline string, stage string, table string, row_count bigint, seq bigint",
 }
 
 
@@ -41,23 +41,18 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._open: dict[int, tuple] = {}
+        self._open: dict[int, dict] = {}
         self._last = 0
 
     def _next(self) -> int:
         self._last = max(time.time_ns(), self._last + 1)
         return self._last
 
-    def _append(self, table: str, rows: Sequence[tuple]) -> None:
-        schema = T.StructType.fromDDL(SCHEMAS[table])
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
+    def _append(self, table: str, *rows: Mapping) -> None:
+        append_records(self.spark, f"{self.root}/{table}", rows, T.StructType.fromDDL(SCHEMAS[table]))
 
     def records(self, table: str) -> DataFrame:
-        schema = T.StructType.fromDDL(SCHEMAS[table])
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        return read_records(self.spark, f"{self.root}/{table}", T.StructType.fromDDL(SCHEMAS[table]))
 
     def table(self, name: str) -> DataFrame:
         """Current rows of a ledger table."""
@@ -65,52 +60,67 @@ class Ledger:
 
     # ---- writes
 
+    def _start(self, table: str, **values) -> int:
+        new = self._next()
+        self._open[new] = {"id": new, "status": "running", "started_at": _now(), **values}
+        self._append(table, {**self._open[new], "seq": new})
+        return new
+
+    def _finish(self, table: str, row_id: int, **values) -> None:
+        self._append(table, {**self._open.pop(row_id), "finished_at": _now(), "seq": self._next(), **values})
+
     def start_run(self, kind: str, target: str, meta: Mapping | None = None) -> int:
-        run_id = self._next()
-        row = (run_id, kind, target, "running", json.dumps(meta) if meta else None, _now(), None)
-        self._open[run_id] = row
-        self._append("runs", [(*row, run_id)])
-        return run_id
+        return self._start("runs", kind=kind, target=target, meta_json=json.dumps(meta) if meta else None)
 
     def finish_run(self, run_id: int, status: str) -> None:
-        row = self._open.pop(run_id)
-        self._append("runs", [(*row[:3], status, row[4], row[5], _now(), self._next())])
+        self._finish("runs", run_id, status=status)
 
     def start_stage(self, run_id: int | None, pipeline: str, stage: str) -> int:
-        stage_id = self._next()
-        row = (stage_id, run_id, pipeline, stage, "running", None, _now(), None)
-        self._open[stage_id] = row
-        self._append("stage_runs", [(*row, stage_id)])
-        return stage_id
-
-    def finish_stage(self, stage_id: int, status: str, row_count: int | None) -> None:
-        row = self._open.pop(stage_id)
-        self._append("stage_runs", [(*row[:4], status, row_count, row[6], _now(), self._next())])
-
-    def record_gates(self, stage_id: int, run_id: int, pipeline: str, stage: str, results: Iterable) -> None:
-        """Every gate of a stage, and one event for each, in gate order."""
-        gates, events = [], []
+        return self._start("stage_runs", run_id=run_id, pipeline=pipeline, stage=stage)
+
+    def finish_stage(
+        self, stage_id: int, status: str, message: str, results: Iterable = (), counts: Mapping[str, int] | None = None
+    ) -> None:
+        """Every gate of a stage in order with an event for each, the stage's event, and its state.
+
+        The state comes last: a stage that reads as finished has its gates on record.
+        """
+        stage = self._open[stage_id]
+        where, gates, events = f"{stage['pipeline']}/{stage['stage']}", [], []
         for r in results:
-            seq = self._next()
-            gates.append((seq, stage_id, r.gate_type, r.status, r.rows_checked, r.rows_rejected, r.detail, _now(), seq))
-            data = json.dumps({"stage_run_id": stage_id, "gate_type": r.gate_type})
-            level, text = "info" if r.passed else "error", f"{pipeline}/{stage} {r.gate_type}: {r.detail or 'ok'}"
-            events.append((seq, run_id, _now(), level, f"gate.{r.status}", "engine", text, data, seq))
+            seq, at = self._next(), _now()
+            gates.append({
+                "id": seq, "stage_run_id": stage_id, "gate_type": r.gate_type, "status": r.status, "seq": seq, "ts": at,
+                "rows_checked": r.rows_checked, "rows_rejected": r.rows_rejected, "detail": r.detail,
+            })
+            data = {"stage_run_id": stage_id, "gate_type": r.gate_type}
+            events.append(self._event(
+                stage["run_id"], "info" if r.passed else "error", f"gate.{r.status}", f"{where} {r.gate_type}: {r.detail or 'ok'}", data
+            ))
+        level = "info" if status == "passed" else "error"
+        events.append(self._event(stage["run_id"], level, f"stage.{status}", f"{where} {message}", {"stage_run_id": stage_id}))
         if gates:
-            self._append("gate_runs", gates)
-            self._append("events", events)
-
-    def event(self, run_id: int | None, level: str, kind: str, message: str, data: Mapping | None = None, actor: str = "engine") -> None:
+            self._append("gate_runs", *gates)
+        self._append("events", *events)
+        self._finish(
+            "stage_runs", stage_id, status=status, row_count=sum(counts.values()) if counts else None,
+            counts_json=json.dumps(dict(counts)) if counts else None,
+        )
+
+    def _event(self, run_id, level: str, kind: str, message: str, data: Mapping | None, actor: str = "engine") -> dict:
         seq = self._next()
-        self._append("events", [(seq, run_id, _now(), level, kind, actor, message, json.dumps(data) if data else None, seq)])
+        return {
+            "id": seq, "run_id": run_id, "ts": _now(), "level": level, "kind": kind, "actor": actor, "message": message[:1500],
+            "data_json": json.dumps(data) if data else None, "seq": seq,
+        }
 
-    def record_counts(self, run_id: int, pipeline: str, stage: str, counts: Mapping[str, int]) -> None:
-        """Rows per table of a finished stage: what the next run's row counts are compared with."""
-        if counts:
-            self._append("table_counts", [(run_id, pipeline, stage, t, n, self._next()) for t, n in counts.items()])
+    def event(self, run_id: int | None, level: str, kind: str, message: str, data: Mapping | None = None, actor: str = "engine") -> None:
+        self._append("events", self._event(run_id, level, kind, message, data, actor))
 
     def last_counts(self, pipeline: str, stage: str) -> dict[str, int]:
         """Rows per table of the last finished run of a stage, passed or failed."""
-        mine = self.records("table_counts").where((F.col("pipeline") == pipeline) & (F.col("stage") == stage))
-        newest = mine.groupBy("table").agg(F.max_by("row_count", "seq").alias("n"))
-        return {r["table"]: r["n"] for r in newest.collect()}
+        mine = self.records("stage_runs").where(
+            (F.col("pipeline") == pipeline) & (F.col("stage") == stage) & F.col("counts_json").isNotNull()
+        )
+        newest = mine.agg(F.max_by("counts_json", "seq").alias("c")).first()["c"]
+        return json.loads(newest) if newest else {}

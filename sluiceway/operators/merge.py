@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.ordering import asc, desc
@@ -13,8 +13,9 @@ from sluiceway.skew import broadcast_if_small
 
 
 def past_cursor(df: DataFrame, cursor: str, last) -> DataFrame:
-    """Rows at or past the stored cursor. Equal ones are read again; the merge absorbs them."""
-    return df if last is None else df.where(F.col(cursor) >= F.lit(last))
+    """Rows at or past the stored cursor (a value or a literal column). Equal ones are read again;
+    the merge absorbs them."""
+    return df if last is None else df.where(F.col(cursor) >= (last if isinstance(last, Column) else F.lit(last)))
 
 
 def latest_versions(delta: DataFrame, keys: Sequence[str], cursor: str) -> DataFrame:

@@ -9,9 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceway.gates import Gate, Quarantine, StageOutcome, run_gates
-from sluiceway.gates.model import GateError
+from sluiceway.gates.model import ROW_GATES, GateError
 from sluiceway.ledger.store import Ledger
-from sluiceway.plans.store import TableStore, landing_namespace
+from sluiceway.plans.store import TableStore, Version, landing_namespace
 
 Model = Callable[[Mapping[str, DataFrame]], DataFrame] | str
 
@@ -103,19 +103,14 @@ def run_flow(
                 built = build_models(known, stage.models)
             outcome = _run_stage(flow, stage, built, known, store, ledger, run_id, now)
         except Exception as exc:
-            ledger.finish_stage(stage_id, "failed", None)
-            ledger.event(run_id, "error", "stage.failed", f"{flow.name}/{stage.name}: {type(exc).__name__}: {exc}"[:1500])
-            run.status, run.problem = "failed", str(exc)
+            run.status, run.problem = "failed", f"{type(exc).__name__}: {exc}"
+            ledger.finish_stage(stage_id, "failed", run.problem)
             break
         run.outcomes[stage.name] = outcome
-        ledger.record_gates(stage_id, run_id, flow.name, stage.name, outcome.results)
-        ledger.record_counts(run_id, flow.name, stage.name, outcome.row_counts)
-        status = "passed" if outcome.passed else "failed"
-        ledger.finish_stage(stage_id, status, sum(outcome.row_counts.values()))
         problems = "; ".join(outcome.failures)
-        ledger.event(
-            run_id, "info" if outcome.passed else "error", f"stage.{status}",
-            f"{flow.name}/{stage.name} {'gates passed' if outcome.passed else 'halted: ' + problems}",
+        ledger.finish_stage(
+            stage_id, "passed" if outcome.passed else "failed", f"halted: {problems}" if problems else "gates passed",
+            outcome.results, outcome.row_counts,
         )
         if not outcome.passed:
             run.status, run.problem = "failed", problems
@@ -129,15 +124,14 @@ def _run_stage(flow, stage, built, known, store, ledger, run_id, now) -> StageOu
     namespace, version = stage.namespace or flow.name, str(run_id)
     # A landing table is read from its source once: later scans, gates and stages use the stored copy.
     # A model is written by the gate pass when it has row gates, and here otherwise.
-    written, ready = {}, {}
-    gated = {g.table for g in stage.gates if g.kind in ("not_null", "unique", "referential_integrity", "business_rule")}
+    staged, ready = {}, {}
+    gated = {g.table for g in stage.gates if isinstance(g, ROW_GATES)}
     for table, df in built.items():
         if table in gated and stage.quarantine is not None and stage.models:
             ready[table] = df
-            continue
-        path, rows = store.write(namespace, table, df, version)
-        written[table] = (path, rows, df.schema)
-        ready[table] = store.spark.read.schema(df.schema).parquet(path)
+        else:
+            staged[table] = store.stage(namespace, table, df, version)
+            ready[table] = store.read_version(staged[table])
     outcome = run_gates(
         {**known, **ready}, stage.gates, stage.quarantine, run_id, now,
         previous_counts=ledger.last_counts(flow.name, stage.name),
@@ -145,10 +139,10 @@ def _run_stage(flow, stage, built, known, store, ledger, run_id, now) -> StageOu
     )
     for table, bad in outcome.rejected.items():
         store.add_rejected(namespace, table, bad, version)
-    if outcome.passed:
-        for table in built:
-            if table in outcome.paths:
-                written[table] = (outcome.paths[table], outcome.row_counts[table], built[table].schema)
-        store.publish(namespace, {t: written[t] for t in built}, version)
     outcome.row_counts = {t: outcome.row_counts[t] for t in built}
+    if outcome.passed:
+        for table, path in outcome.paths.items():
+            schema, rows = outcome.tables[table].schema.json(), outcome.row_counts[table]
+            staged[table] = Version(namespace, table, version, path, schema, rows)
+        store.publish([staged[t] for t in built])
     return outcome

@@ -1,25 +1,54 @@
 """Versioned tables on plain files.
 
-A table version is a directory that is never changed. What is current is decided by publish records:
-one small file names every table of a publish, so several tables change together or not at all.
+A table version is a set of directories that never change: one base, and for merged tables the
+deltas since. What is current is decided by publish records: one small file names every table of a
+publish, so several tables change together or not at all.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-PUBLISHED = T.StructType([
-    T.StructField("namespace", T.StringType()), T.StructField("table", T.StringType()),
-    T.StructField("version", T.StringType()), T.StructField("path", T.StringType()),
-    T.StructField("schema", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("seq", T.LongType()),
-])
+from sluiceway.operators.merge import merge_changes
+from sluiceway.records import append_records, read_records
+
+PUBLISHED = T.StructType.fromDDL(
+    "namespace string, table string, version string, path string, schema string, rows bigint, "
+    "deltas array<string>, delta_rows bigint, keys array<string>, cursor string, high string, seq bigint"
+)
+
+# Deltas are folded into the base when they pass this share of it, or this many directories.
+FOLD_SHARE = 0.1
+FOLD_DELTAS = 50
+
+
+@dataclass(frozen=True)
+class Version:
+    """A publish record. `rows` counts the base; `high` is the highest cursor value, as text."""
+
+    namespace: str
+    table: str
+    version: str
+    path: str
+    schema: str
+    rows: int
+    deltas: tuple[str, ...] = ()
+    delta_rows: int = 0
+    keys: tuple[str, ...] = ()
+    cursor: str | None = None
+    high: str | None = None
+    seq: int = 0
+
+    @property
+    def struct(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.schema))
 
 
 def landing_namespace(flow_name: str, override: str | None = None) -> str:
@@ -36,48 +65,88 @@ class TableStore:
     def path_for(self, namespace: str, table: str, version: str) -> str:
         return f"{self.root}/{namespace}/{table}/v={version}"
 
+    # ---- reading
+
     def records(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(PUBLISHED).json(f"{self.root}/_published")
-        except AnalysisException:
-            return self.spark.createDataFrame([], PUBLISHED)
+        return read_records(self.spark, f"{self.root}/_published", PUBLISHED)
 
-    def current(self, namespace: str, table: str):
+    def current(self, namespace: str, table: str) -> Version | None:
         """The newest publish record of a table, or None."""
-        newest = self.records().where((F.col("namespace") == namespace) & (F.col("table") == table)).agg(
-            F.max_by(F.struct("*"), "seq").alias("r")
-        )
-        return newest.first()["r"]
+        mine = self.records().where((F.col("namespace") == namespace) & (F.col("table") == table))
+        record = mine.agg(F.max_by(F.struct("*"), "seq").alias("r")).first()["r"]
+        if record is None:
+            return None
+        values = record.asDict()
+        return Version(**{**values, "deltas": tuple(values["deltas"] or ()), "keys": tuple(values["keys"] or ())})
 
     def read(self, namespace: str, table: str) -> DataFrame:
-        record = self.current(namespace, table)
-        if record is None:
+        version = self.current(namespace, table)
+        if version is None:
             raise LookupError(f"{namespace}.{table} has never been published")
-        return self._read(record)
-
-    def _read(self, record) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(record["schema"]))
-        if record["rows"] == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(record["path"])
-
-    def write(self, namespace: str, table: str, df: DataFrame, version: str) -> tuple[str, int]:
-        """Write one version without publishing it; a repeated write of the same version replaces it."""
-        path, rows = self.path_for(namespace, table, version), Observation()
-        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-        return path, rows.get["n"]
-
-    def publish(self, namespace: str, written: Mapping[str, tuple[str, int, T.StructType]], version: str) -> None:
-        """Make written versions current, all of them by one record file."""
+        return self.read_version(version)
+
+    def read_version(self, version: Version) -> DataFrame:
+        schema = version.struct
+        if version.rows == 0:
+            base = self.spark.createDataFrame([], schema)
+        else:
+            base = self.spark.read.schema(schema).parquet(version.path)
+        if not version.deltas:
+            return base
+        delta = self.spark.read.schema(schema).parquet(*version.deltas)
+        return merge_changes(base, delta, version.keys, version.cursor)
+
+    # ---- writing
+
+    def write(self, path: str, df: DataFrame, cursor: str | None = None) -> tuple[int, str | None]:
+        """Write one directory; a repeated write replaces it. Returns its rows and highest cursor value."""
+        seen = Observation()
+        measures = [F.count(F.lit(1)).alias("n")]
+        if cursor:
+            measures.append(F.max(cursor).cast("string").alias("high"))
+        df.observe(seen, *measures).write.mode("overwrite").parquet(path)
+        return seen.get["n"], seen.get.get("high")
+
+    def publish(self, versions: Sequence[Version]) -> None:
+        """Make versions current, all of them by one record file."""
         seq = time.time_ns()
-        rows = [(namespace, t, version, path, schema.json(), n, seq) for t, (path, n, schema) in sorted(written.items())]
-        self.spark.createDataFrame(rows, PUBLISHED).coalesce(1).write.mode("append").json(f"{self.root}/_published")
+        rows = [asdict(replace(v, seq=seq)) for v in versions]
+        append_records(self.spark, f"{self.root}/_published", rows, PUBLISHED)
+
+    def stage(
+        self, namespace: str, table: str, df: DataFrame, version: str,
+        keys: Sequence[str] = (), cursor: str | None = None,
+    ) -> Version:
+        """Write a full table version without publishing it."""
+        path = self.path_for(namespace, table, version)
+        rows, high = self.write(path, df, cursor)
+        return Version(namespace, table, version, path, df.schema.json(), rows, keys=tuple(keys), cursor=cursor, high=high)
 
     def replace(self, namespace: str, tables: Mapping[str, DataFrame], version: str) -> dict[str, int]:
         """Write and publish full replacements; returns rows per table."""
-        written = {t: (*self.write(namespace, t, df, version), df.schema) for t, df in tables.items()}
-        self.publish(namespace, written, version)
-        return {t: w[1] for t, w in written.items()}
+        staged = [self.stage(namespace, t, df, version) for t, df in tables.items()]
+        self.publish(staged)
+        return {v.table: v.rows for v in staged}
+
+    def merge(self, namespace: str, table: str, delta: DataFrame, version: str) -> int:
+        """Merge changed rows into a table that was staged with keys and a cursor; returns their number.
+
+        Only the changed rows are written. They are merged when the table is read, without a shuffle
+        of the base while they are few, and folded into a new base once they are not.
+        """
+        old = self.current(namespace, table)
+        if old is None or not old.keys or old.cursor is None:
+            raise LookupError(f"{namespace}.{table} was not published with keys and a cursor")
+        path = f"{self.root}/{namespace}/{table}/d={version}"
+        rows, high = self.write(path, delta.select(*old.struct.names), old.cursor)
+        if rows == 0:
+            return 0
+        deltas = old.deltas if path in old.deltas else (*old.deltas, path)
+        new = replace(old, version=version, deltas=deltas, delta_rows=old.delta_rows + rows, high=high or old.high)
+        if new.delta_rows > FOLD_SHARE * old.rows or len(deltas) > FOLD_DELTAS:
+            new = self.stage(namespace, table, self.read_version(new), version, old.keys, old.cursor)
+        self.publish([new])
+        return rows
 
     # ---- quarantine: one directory per run, so a repeated run replaces its own rows only
 
