@@ -24,11 +24,11 @@ FORMAT_VERSION = 1
 CHUNK_ROWS = 50_000
 MAX_TABLES = 20
 
-REGISTRY = T.StructType.fromDDL(
+REGISTRY = (
     "batch_id string, flow string, table string, status string, path string, schema string, total_rows bigint, "
     "objects bigint, manifest_hash string, batch_tables int, batch_hash string, extracted_at bigint, seq bigint"
 )
-MANIFEST = T.StructType.fromDDL("object string, sha256 string, size_bytes bigint, rows bigint")
+MANIFEST = "object string, sha256 string, size_bytes bigint, rows bigint"
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:

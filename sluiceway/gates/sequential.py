@@ -67,22 +67,24 @@ def _split(gate: Gate, df: DataFrame, current: Mapping[str, DataFrame]) -> tuple
         bad = df.where(gate.rejects())
         return df.where(~gate.rejects()), bad, bad.count()
     if isinstance(gate, Unique):
-        keys = gate.repeated_keys(df).drop("n")
-        bad = df.join(keys, list(gate.columns), "left_semi")
-        return df.join(keys, list(gate.columns), "left_anti"), bad, bad.count()
+        kept, bad = _by_keys(df, gate.repeated_keys(df).drop("n"))
+        return kept, bad, bad.count()
     if isinstance(gate, ReferentialIntegrity):
-        keys = gate.orphan_keys(df, current[gate.references["table"]])
-        bad = df.join(keys, gate.column, "left_semi")
-        return df.join(keys, gate.column, "left_anti"), bad, bad.count()
+        kept, bad = _by_keys(df, gate.orphan_keys(df, current[gate.references["table"]]))
+        return kept, bad, bad.count()
     if isinstance(gate, BusinessRule):
         rows = rule_rows(gate, current)
-        ids = rows.toDF(gate.id_column).distinct()
-        bad = df.join(ids, gate.id_column, "left_semi")
         # What the rule returned is counted, not what is moved: an id may come twice, or be NULL.
-        return df.join(ids, gate.id_column, "left_anti"), bad, rows.count()
+        return *_by_keys(df, rows.toDF(gate.id_column).distinct()), rows.count()
     raise TypeError(f"no row-level rejection for {gate!r}")
 
 
+def _by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is not listed, and those whose key is."""
+    kept, bad = (df.join(keys, keys.columns, how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    return kept, bad
+
+
 def rule_rows(gate: BusinessRule, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The first column of the rule's result, with the stage's tables visible under their own names."""
     spark = tables[gate.table].sparkSession

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluiceway.operators.aggregate import ordered_concat
 from sluiceway.skew import broadcast_if_small
@@ -92,6 +91,7 @@ def prune(tables: Mapping[str, DataFrame], now: dt.datetime, older_than_days: in
         "gate_runs": gates.join(expired_stages, "stage_run_id", "left_anti"),
         "events": events.join(expired, "run_id", "left_anti"),
     }
+    kept = {name: rows.select(*tables[name].columns) for name, rows in kept.items()}
     counts = None
     for name, rows in gone.items():
         one = rows.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("table"), "deleted")
@@ -110,7 +110,7 @@ def totals(runs: DataFrame, stage_runs: DataFrame, gate_runs: DataFrame, events:
     return out.unionByName(one(gate_runs, "gates_failed", F.count_if(F.col("status") == "failed")))
 
 
-TEST_RECORD = T.StructType.fromDDL(
+TEST_RECORD = (
     "stage string, status string, ran bigint, passed bigint, failed bigint, errored bigint, skipped bigint, "
     "tests array<struct<test:string,status:string,failures:bigint>>"
 )

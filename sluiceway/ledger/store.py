@@ -9,7 +9,6 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluiceway.records import append_records, read_records
 
@@ -49,10 +48,10 @@ class Ledger:
         return self._last
 
     def _append(self, table: str, *rows: Mapping) -> None:
-        append_records(self.spark, f"{self.root}/{table}", rows, T.StructType.fromDDL(SCHEMAS[table]))
+        append_records(self.spark, f"{self.root}/{table}", rows, SCHEMAS[table])
 
     def records(self, table: str) -> DataFrame:
-        return read_records(self.spark, f"{self.root}/{table}", T.StructType.fromDDL(SCHEMAS[table]))
+        return read_records(self.spark, f"{self.root}/{table}", SCHEMAS[table])
 
     def table(self, name: str) -> DataFrame:
         """Current rows of a ledger table."""

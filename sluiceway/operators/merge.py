@@ -31,4 +31,4 @@ def merge_changes(base: DataFrame, delta: DataFrame, keys: Sequence[str], cursor
     """
     newest = latest_versions(delta, keys, cursor)
     changed = broadcast_if_small(delta.select(*keys).distinct())
-    return base.join(changed, list(keys), "left_anti").unionByName(newest)
+    return base.join(changed, list(keys), "left_anti").select(*base.columns).unionByName(newest)

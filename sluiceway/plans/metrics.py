@@ -45,22 +45,26 @@ class Dataset:
     def __post_init__(self):
         self._by_name.update({c.name: c for c in self.columns})
         for expression in self.metrics.values():
-            self._metric(expression)
+            self._parse(expression)
 
-    def _metric(self, expression: str) -> Column:
+    def _parse(self, expression: str) -> tuple[str, bool, str]:
         """COUNT(*), COUNT(DISTINCT c), SUM(c), MIN(c), MAX(c) or AVG(c) over declared columns."""
         found = _METRIC.fullmatch(expression)
         if not found:
             raise ChartError(f"metric {expression!r} is not one of COUNT(*), COUNT(DISTINCT c), SUM(c), MIN(c), MAX(c), AVG(c)")
         name, distinct, column = found[1].lower(), bool(found[2]), found[3]
-        if column == "*":
-            if name != "count" or distinct:
-                raise ChartError(f"metric {expression!r}: only COUNT takes *")
-            return F.count(F.lit(1))
-        if column not in self._by_name:
+        if column == "*" and (name != "count" or distinct):
+            raise ChartError(f"metric {expression!r}: only COUNT takes *")
+        if column != "*" and column not in self._by_name:
             raise ChartError(f"metric {expression!r}: unknown column {column!r}")
         if distinct and name != "count":
             raise ChartError(f"metric {expression!r}: DISTINCT is for COUNT")
+        return name, distinct, column
+
+    def _metric(self, expression: str) -> Column:
+        name, distinct, column = self._parse(expression)
+        if column == "*":
+            return F.count(F.lit(1))
         return F.count_distinct(F.col(column)) if distinct else getattr(F, name)(F.col(column))
 
     def _allowed(self, column: str, role: str) -> str:

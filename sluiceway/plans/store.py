@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from sluiceway.operators.merge import merge_changes
 from sluiceway.records import append_records, read_records
 
-PUBLISHED = T.StructType.fromDDL(
+PUBLISHED = (
     "namespace string, table string, version string, path string, schema string, rows bigint, "
     "deltas array<string>, delta_rows bigint, keys array<string>, cursor string, high string, seq bigint"
 )
@@ -31,7 +31,8 @@ FOLD_DELTAS = 50
 
 @dataclass(frozen=True)
 class Version:
-    """A publish record. `rows` counts the base; `high` is the highest cursor value, as text."""
+    """A publish record. `rows` counts the base, `high` is the highest cursor value as text, and `merged`
+    (not stored) the rows of the merge that made this version."""
 
     namespace: str
     table: str
@@ -45,6 +46,7 @@ class Version:
     cursor: str | None = None
     high: str | None = None
     seq: int = 0
+    merged: int = 0
 
     @property
     def struct(self) -> T.StructType:
@@ -128,25 +130,24 @@ class TableStore:
         self.publish(staged)
         return {v.table: v.rows for v in staged}
 
-    def merge(self, namespace: str, table: str, delta: DataFrame, version: str) -> int:
-        """Merge changed rows into a table that was staged with keys and a cursor; returns their number.
+    def merge(self, old: Version, delta: DataFrame, version: str) -> Version:
+        """Merge changed rows into the current version of a table that has keys and a cursor.
 
         Only the changed rows are written. They are merged when the table is read, without a shuffle
         of the base while they are few, and folded into a new base once they are not.
         """
-        old = self.current(namespace, table)
-        if old is None or not old.keys or old.cursor is None:
-            raise LookupError(f"{namespace}.{table} was not published with keys and a cursor")
-        path = f"{self.root}/{namespace}/{table}/d={version}"
+        if not old.keys or old.cursor is None:
+            raise LookupError(f"{old.namespace}.{old.table} was not published with keys and a cursor")
+        path = f"{self.root}/{old.namespace}/{old.table}/d={version}"
         rows, high = self.write(path, delta.select(*old.struct.names), old.cursor)
         if rows == 0:
-            return 0
+            return old
         deltas = old.deltas if path in old.deltas else (*old.deltas, path)
         new = replace(old, version=version, deltas=deltas, delta_rows=old.delta_rows + rows, high=high or old.high)
         if new.delta_rows > FOLD_SHARE * old.rows or len(deltas) > FOLD_DELTAS:
-            new = self.stage(namespace, table, self.read_version(new), version, old.keys, old.cursor)
+            new = self.stage(old.namespace, old.table, self.read_version(new), version, old.keys, old.cursor)
         self.publish([new])
-        return rows
+        return replace(new, merged=rows)
 
     # ---- quarantine: one directory per run, so a repeated run replaces its own rows only
 

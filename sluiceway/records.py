@@ -8,19 +8,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_made: set[str] = set()
 
-def small_frame(spark: SparkSession, rows: Sequence[Mapping], schema: T.StructType) -> DataFrame:
+
+def small_frame(spark: SparkSession, rows: Sequence[Mapping], schema: str) -> DataFrame:
     """Driver-made rows as a DataFrame that needs no Python worker; columns a row leaves out are NULL."""
-    full = [{name: row.get(name) for name in schema.names} for row in rows]
-    return spark.createDataFrame(pa.Table.from_pylist(full), schema) if full else spark.createDataFrame([], schema)
+    struct = T.StructType.fromDDL(schema)
+    full = [{name: row.get(name) for name in struct.names} for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(full), struct) if full else spark.createDataFrame([], struct)
 
 
-def append_records(spark: SparkSession, path: str, rows: Sequence[Mapping], schema: T.StructType) -> None:
+def append_records(spark: SparkSession, path: str, rows: Sequence[Mapping], schema: str) -> None:
     """One file, committed whole: readers see all of these rows or none."""
     small_frame(spark, rows, schema).coalesce(1).write.mode("append").json(path)
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All records; the folder is made if nothing was ever appended."""
-    spark.createDataFrame([], schema).write.mode("ignore").json(path)
+    if path not in _made:
+        spark.createDataFrame([], schema).write.mode("ignore").json(path)
+        _made.add(path)
     return spark.read.schema(schema).json(path)

@@ -112,5 +112,5 @@ def load_table(
     last = incremental.initial_value
     if landed.high is not None:
         last = F.lit(landed.high).cast(landed.struct[incremental.cursor].dataType)
-    extracted = store.merge(namespace, table, past_cursor(source, incremental.cursor, last), version)
-    return {"table": table, "mode": "merge", "extracted": extracted, "high": store.current(namespace, table).high}
+    merged = store.merge(landed, past_cursor(source, incremental.cursor, last), version)
+    return {"table": table, "mode": "merge", "extracted": merged.merged, "high": merged.high}

@@ -59,6 +59,6 @@ def ingest(
             first = latest_versions(outcome.tables[table], keys, cursor)
             store.publish([store.stage(namespace, table, first, version, keys, cursor)])
         else:
-            store.merge(namespace, table, outcome.tables[table], version)
+            store.merge(landed, outcome.tables[table], version)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
