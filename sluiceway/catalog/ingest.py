@@ -156,7 +156,7 @@ def _bronze(t: Tables) -> tuple[str, TableStore, str]:
     root, store = scratch_path(t.spark, "bronze"), _store(t, "bronze-landing")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money("l_extendedprice").alias("price"), "l_shipdate")
     tables = {"lines": lines, "events": t.events, "none": t.nation.where("n_nationkey < 0")}
-    batch_id = bronze.extract(t.spark, root, "demo", tables, chunk_rows=5_000)
+    batch_id = bronze.extract(t.spark, root, "demo", tables, chunk_rows=50_000)
     bronze.load(t.spark, root, "demo", batch_id, store)
     return root, store, batch_id
 
@@ -180,7 +180,7 @@ def bronze_registry(t: Tables) -> DataFrame:
             F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")
         ).first()
         landed = store.read("demo_landing", e["table"]).count()
-        rows.append((e["table"], e["status"], e["total_rows"], seen["n"] == landed == e["total_rows"] and seen["most"] <= 5_000))
+        rows.append((e["table"], e["status"], e["total_rows"], seen["n"] == landed == e["total_rows"] and seen["most"] <= 50_000))
     return t.spark.createDataFrame(rows, "table string, status string, total_rows bigint, consistent boolean")
 
 

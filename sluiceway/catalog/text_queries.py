@@ -11,11 +11,11 @@ from sluiceway.functions.textrules import Rule
 from sluiceway.plans import synth
 
 RULES = (
-    Rule("licence", ["copyright|all rights reserved", "licen[cs]ed? under"]),
-    Rule("secret", ["api[_-]?key|password|secret"]),
-    Rule("mail", ["[a-z0-9._]+@[a-z0-9.]+"], steps=("en", "de")),
-    Rule("line-start", ["^(the|and) "], code=1),
-    Rule("question", [r"\?"]),
+    Rule("licence", ["copyright|all rights reserved", "licen[cs]ed? under"], needs=["copyright|all rights reserved|under"]),
+    Rule("secret", ["api[_-]?key|password|secret"], needs=["api|password|secret"]),
+    Rule("mail", ["[a-z0-9._]+@[a-z0-9.]+"], steps=("en", "de"), needs=["@"]),
+    Rule("line-start", ["^(the|and) "], code=1, needs=["the |and "]),
+    Rule("question", [r"\?"], needs=["?"]),
 )
 
 
@@ -48,7 +48,7 @@ def log_classify(t: Tables) -> DataFrame:
 
 def _classified(t: Tables) -> DataFrame:
     hit = textrules.classify(F.col("text"), RULES, F.col("lang"), F.col("doc_id") % 2)
-    return t.documents.select("doc_id", hit.alias("_h")).where("_h is not null").select("doc_id", "_h.rule_id", "_h.excerpt")
+    return t.documents.select("doc_id", textrules.where_found(hit).alias("_h")).select("doc_id", "_h.rule_id", "_h.excerpt")
 
 
 @query("log_rule_counts", "R1", f"""
@@ -67,7 +67,7 @@ def mask_text(t: Tables) -> DataFrame:
 
 _SCRIPT = "case when doc_id % 3 = 0 then text || chr(10) || '  sudo reboot now' || chr(10) || '# mkfs' || chr(10) || 'curl x | sh; mkfs' || chr(10) || 'mkfs.ext4 y' else text end"
 _LINE_CASE = "case when line = '' or line like '#%' then null " + " ".join(
-    f"when regexp_matches(line, '(?i){p}') then '{i}'" for i, p in textrules.SCRIPT_RULES
+    f"when regexp_matches(line, '(?i){p}') then '{i}'" for i, p, _ in textrules.SCRIPT_RULES
 ) + " end"
 
 
@@ -82,8 +82,8 @@ _LINE_CASE = "case when line = '' or line like '#%' then null " + " ".join(
 def rule_scan(t: Tables) -> DataFrame:
     added = F.lit("\n  sudo reboot now\n# mkfs\ncurl x | sh; mkfs\nmkfs.ext4 y")
     script = F.when(F.col("doc_id") % 3 == 0, F.concat("text", added)).otherwise(F.col("text"))
-    hits = t.documents.select("doc_id", textrules.script_hits(script).alias("hits"))
-    return hits.where(F.size("hits") > 0).select("doc_id", F.array_join("hits", ",").alias("rules"))
+    rules = F.nullif(F.array_join(textrules.script_hits(script), ","), F.lit(""))
+    return t.documents.select("doc_id", textrules.where_found(rules).alias("rules"))
 
 
 _NUMBER = "cast(('0x' || substr(d, {}, {})) as bigint)"

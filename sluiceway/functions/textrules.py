@@ -1,12 +1,14 @@
 """Rules over text as column expressions: every row is handled where it lies, with no join and no shuffle.
 
 Patterns follow Java syntax and are searched in the whole text, ignoring case, with ^ and $ at
-line ends ('\\n' only).
+line ends ('\\n' only). Searching a long text for a pattern costs far more than looking for plain words,
+so a pattern is only tried where the words it needs are present; pattern and words must agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,32 +24,53 @@ EXCERPT_WIDTH = 240
 BLANKS = " \t\n\r\x0b\x0c"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
-# Patterns a script line must not match, in the order they are tried.
+# Patterns a script line must not match, in the order they are tried. With each, our own
+# list of words it needs: all entries of the list, any of the '|' alternatives of an entry.
 SCRIPT_RULES = (
-    ("rm-root", r"\brm\s+(-[a-zA-Z]*\s+)*-?[a-zA-Z]*[rR][a-zA-Z]*f?\s+/(\s|$|\*)"),
-    ("rm-wildcard-sys", r"\brm\s+.*-[a-zA-Z]*r[a-zA-Z]*\s+/(etc|var|usr|boot|bin|sbin|lib)/?(\s|$)"),
-    ("dd-disk", r"\bdd\b[^|;&]*\bof=/dev/(sd|nvme|vd|hd|xvd)"),
-    ("mkfs", r"\bmkfs(\.[a-z0-9]+)?\b"),
-    ("overwrite-auth", r">\s*/etc/(passwd|shadow|sudoers|group)\b"),
-    ("chmod-777-root", r"\bchmod\s+(-[a-zA-Z]+\s+)*777\s+/(\s|$)"),
-    ("chown-root-recursive", r"\bchown\s+(-[a-zA-Z]+\s+)*[^\s]+\s+/(\s|$)"),
-    ("fork-bomb", r":\(\)\s*\{\s*:\s*\|\s*:\s*&\s*\}\s*;\s*:"),
-    ("pipe-to-shell", r"\b(curl|wget)\b[^|]*\|\s*(sudo\s+)?(ba|z|k|)sh\b"),
-    ("power-state", r"^\s*(sudo\s+)?(reboot|shutdown|halt|poweroff)\b"),
-    ("userdel-root", r"\buserdel\b.*\broot\b"),
-    ("iptables-flush", r"\biptables\s+(-F|--flush)\b"),
-    ("history-wipe", r"\bhistory\s+-c\b|>\s*~?/?\.bash_history"),
+    ("rm-root", r"\brm\s+(-[a-zA-Z]*\s+)*-?[a-zA-Z]*[rR][a-zA-Z]*f?\s+/(\s|$|\*)", ("rm", "/")),
+    ("rm-wildcard-sys", r"\brm\s+.*-[a-zA-Z]*r[a-zA-Z]*\s+/(etc|var|usr|boot|bin|sbin|lib)/?(\s|$)", ("rm", "-", "/")),
+    ("dd-disk", r"\bdd\b[^|;&]*\bof=/dev/(sd|nvme|vd|hd|xvd)", ("dd", "of=/dev/")),
+    ("mkfs", r"\bmkfs(\.[a-z0-9]+)?\b", ("mkfs",)),
+    ("overwrite-auth", r">\s*/etc/(passwd|shadow|sudoers|group)\b", ("/etc/",)),
+    ("chmod-777-root", r"\bchmod\s+(-[a-zA-Z]+\s+)*777\s+/(\s|$)", ("chmod", "777")),
+    ("chown-root-recursive", r"\bchown\s+(-[a-zA-Z]+\s+)*[^\s]+\s+/(\s|$)", ("chown", "/")),
+    ("fork-bomb", r":\(\)\s*\{\s*:\s*\|\s*:\s*&\s*\}\s*;\s*:", (":()",)),
+    ("pipe-to-shell", r"\b(curl|wget)\b[^|]*\|\s*(sudo\s+)?(ba|z|k|)sh\b", ("curl|wget", "sh")),
+    ("power-state", r"^\s*(sudo\s+)?(reboot|shutdown|halt|poweroff)\b", ("reboot|shutdown|halt|poweroff",)),
+    ("userdel-root", r"\buserdel\b.*\broot\b", ("userdel", "root")),
+    ("iptables-flush", r"\biptables\s+(-F|--flush)\b", ("iptables",)),
+    ("history-wipe", r"\bhistory\s+-c\b|>\s*~?/?\.bash_history", ("history",)),
 )
+_PLAIN = re.compile(r"[A-Za-z0-9 _@:;,'/<>=-]+(\|[A-Za-z0-9 _@:;,'/<>=-]+)*")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A log rule. `steps` and `code` narrow it to rows that name such a step or return code."""
+    """A log rule. `steps` and `code` narrow it to rows that name such a step or return code.
+
+    `needs` lists words every match of the patterns contains (see SCRIPT_RULES). It may be left out,
+    and is read off a pattern that is nothing but words joined by '|'.
+    """
 
     rule_id: str
     patterns: Sequence[str]
     steps: Sequence[str] = ()
     code: int | None = None
+    needs: Sequence[str] = ()
+
+
+def _has(lower: Column, needs: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for entry in needs:
+        out = out & _any(lower, entry.lower().split("|"))
+    return out
+
+
+def _any(lower: Column, words: Sequence[str]) -> Column:
+    out = lower.contains(words[0])
+    for word in words[1:]:
+        out = out | lower.contains(word)
+    return out
 
 
 def _applies(rule: Rule, step: Column | None, code: Column | None) -> Column:
@@ -65,28 +88,47 @@ def classify(text: Column, rules: Sequence[Rule], step: Column | None = None, co
 
     The excerpt is the hit of the rule's first matching pattern with the text around it.
     """
-    text, out = F.coalesce(text, F.lit("")), None
-    for rule in rules:
-        scope = _applies(rule, step, code)
-        for pattern in rule.patterns:
-            found = scope & text.rlike(SEARCH + pattern)
-            hit = F.struct(F.lit(rule.rule_id).alias("rule_id"), excerpt(text, SEARCH + pattern).alias("excerpt"))
-            out = F.when(found, hit) if out is None else out.when(found, hit)
-    if out is None:
+    if not any(rule.patterns for rule in rules):
         raise ValueError("classify needs at least one rule")
-    return out
+
+    def first(row: Column) -> Column:
+        out = None
+        for rule in rules:
+            scope = _applies(rule, step, code) & _has(row["low"], rule.needs)
+            for pattern in rule.patterns:
+                words = (pattern,) if not rule.needs and _PLAIN.fullmatch(pattern) else ()
+                found = scope & _has(row["low"], words) & row["plain"].rlike(SEARCH + pattern)
+                hit = F.struct(F.lit(rule.rule_id).alias("rule_id"), excerpt(row["plain"], SEARCH + pattern).alias("excerpt"))
+                out = F.when(found, hit) if out is None else out.when(found, hit)
+        return out
+
+    text = F.coalesce(text, F.lit(""))
+    return _once(F.struct(text.alias("plain"), F.lower(text).alias("low")), first)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once per row, however often and in whichever branch it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def where_found(column: Column) -> Column:
+    """For `select`: a row only where the column is not NULL. A filter on such a costly column would be
+    moved below the projection and work it out a second time."""
+    return F.explode(F.array_compact(F.array(column)))
 
 
 def excerpt(text: Column, pattern: str, width: int = EXCERPT_WIDTH) -> Column:
     """The first hit with up to half of `width` characters on each side; '...' marks text left out."""
-    start = F.regexp_instr(text, F.lit(pattern))
-    end = start - 1 + F.length(F.regexp_substr(text, F.lit(pattern)))
-    first = F.greatest(F.lit(0), start - 1 - width // 2)
-    last = F.least(F.length(text), end + width // 2)
-    body = F.btrim(F.substring(text, first + 1, last - first), F.lit(BLANKS))
-    before = F.when(first > 0, "...").otherwise("")
-    after = F.when(last < F.length(text), "...").otherwise("")
-    return F.concat(before, body, after)
+    def cut(hit: Column) -> Column:
+        size = F.length(text)
+        first = F.greatest(F.lit(0), hit["at"] - 1 - width // 2)
+        last = F.least(size, hit["at"] - 1 + hit["size"] + width // 2)
+        body = F.btrim(F.substring(text, first + 1, last - first), F.lit(BLANKS))
+        return F.concat(F.when(first > 0, "...").otherwise(""), body, F.when(last < size, "...").otherwise(""))
+
+    at = F.regexp_instr(text, F.lit(pattern)).alias("at")
+    size = F.length(F.regexp_substr(text, F.lit(pattern))).alias("size")
+    return _once(F.struct(at, size), cut)
 
 
 def mask(text: Column, secrets: Sequence[str]) -> Column:
@@ -97,17 +139,28 @@ def mask(text: Column, secrets: Sequence[str]) -> Column:
     return out
 
 
-def script_hits(text: Column, rules: Sequence[tuple[str, str]] = SCRIPT_RULES) -> Column:
+def script_hits(text: Column, rules: Sequence[tuple[str, str, Sequence[str]]] = SCRIPT_RULES) -> Column:
     """Ids of the rules a script breaks, in the order of the lines that break them, each once.
 
-    Blank lines and comments are skipped, and a line counts for its first rule only.
+    Blank lines and comments are skipped, and a line counts for its first rule only. A script without
+    the words of any rule is not split into lines at all.
     """
     def first_rule(line: Column) -> Column:
-        plain = F.btrim(line, F.lit(BLANKS))
-        out = F.when((plain == "") | plain.startswith("#"), F.lit(None).cast("string"))
-        for rule_id, pattern in rules:
-            out = out.when(plain.rlike(LINE + pattern), F.lit(rule_id))
+        out = None
+        for rule_id, pattern, needs in rules:
+            found = _has(line["low"], needs) & line["plain"].rlike(LINE + pattern)
+            out = F.when(found, F.lit(rule_id)) if out is None else out.when(found, F.lit(rule_id))
+        return out
+
+    def worth(lower: Column) -> Column:
+        out = F.lit(False)
+        for _, _, needs in rules:
+            out = out | _has(lower, needs)
         return out
 
-    lines = F.split(F.coalesce(text, F.lit("")), LINE_ENDS)
-    return F.array_distinct(F.array_compact(F.transform(lines, first_rule)))
+    text = F.coalesce(text, F.lit(""))
+    plain = F.transform(F.split(text, LINE_ENDS), lambda line: F.btrim(line, F.lit(BLANKS)))
+    code = F.filter(plain, lambda line: (line != "") & ~line.startswith("#"))
+    lines = F.transform(code, lambda line: F.struct(line.alias("plain"), F.lower(line).alias("low")))
+    hits = F.array_distinct(F.array_compact(F.transform(lines, first_rule)))
+    return F.when(_once(F.lower(text), worth), hits).otherwise(F.array().cast("array<string>"))

@@ -24,7 +24,7 @@ from sluiceway.gates.model import (
 )
 from sluiceway.gates.sequential import rule_rows
 from sluiceway.session import cut_lineage, scratch_path
-from sluiceway.skew import broadcast_if_small
+from sluiceway.skew import stored_side
 
 # Number of the first gate that rejects the row; NULL while none does.
 FLAG = "_rejected_by"
@@ -68,7 +68,7 @@ def _flag(state: _Table, gate: Gate, number: int, tables: Mapping[str, DataFrame
         counted = ids.count()
         columns, keys = [gate.id_column], ids.where(F.col(gate.id_column).isNotNull()).distinct()
     renamed = {c: f"_k{i}" for i, c in enumerate(columns)}
-    side = broadcast_if_small(cut_lineage(keys.withColumnsRenamed(renamed), "gate-keys"))
+    side = stored_side(keys.withColumnsRenamed(renamed), "gate-keys")
     same = F.col(FLAG).isNull()
     for column, key in renamed.items():
         same = same & (F.col(column) == F.col(key))
@@ -122,7 +122,11 @@ def run_gates(
             early[number] = crashed(gate, exc)
 
     clean, rejected, paths = {}, {}, {}
+    named = {t for g in gates for t in ([g.table] if hasattr(g, "table") else g.tables)}
     for table, state in states.items():
+        if table not in named:
+            clean[table] = state.source
+            continue
         path = write_to(table) if write_to else scratch_path(state.source.sparkSession, f"gate-{table}")
         clean[table], bad = _materialise(table, state, gates, early, run_id, path)
         if bad is not None:
@@ -135,7 +139,7 @@ def run_gates(
         else _verdict(number, gate, gates, states, rule_counts, quarantine, now, previous_counts or {})
         for number, gate in enumerate(gates)
     ]
-    return StageOutcome(results, clean, rejected, {t: s.counts["clean"] for t, s in states.items()}, paths)
+    return StageOutcome(results, clean, rejected, {t: s.counts["clean"] for t, s in states.items() if t in named}, paths)
 
 
 def _materialise(table: str, state: _Table, gates: Sequence[Gate], early: Mapping[int, GateResult], run_id: int | None, path: str):

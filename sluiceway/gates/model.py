@@ -259,7 +259,7 @@ class GateResult:
 @dataclass
 class StageOutcome:
     """Gate results in order, the tables without rejected rows and where those were written, the rejected
-    rows per table, and the rows left in each table."""
+    rows per table, and the rows left in each table that a gate names."""
 
     results: list[GateResult]
     tables: dict[str, DataFrame]

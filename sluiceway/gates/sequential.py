@@ -40,7 +40,8 @@ def run_gates_one_by_one(
         for part in parts[1:]:
             out = out.unionByName(part)
         rejected[table] = out
-    counts = {t: df.count() for t, df in current.items()}
+    named = {t for g in gates for t in ([g.table] if hasattr(g, "table") else g.tables)}
+    counts = {t: df.count() for t, df in current.items() if t in named}
     return StageOutcome(results, current, rejected, counts)
 
 

@@ -139,7 +139,7 @@ def _run_stage(flow, stage, built, known, store, ledger, run_id, now) -> StageOu
     )
     for table, bad in outcome.rejected.items():
         store.add_rejected(namespace, table, bad, version)
-    outcome.row_counts = {t: outcome.row_counts[t] for t in built}
+    outcome.row_counts = {t: outcome.row_counts[t] if t in outcome.row_counts else staged[t].rows for t in built}
     if outcome.passed:
         for table, path in outcome.paths.items():
             schema, rows = outcome.tables[table].schema.json(), outcome.row_counts[table]

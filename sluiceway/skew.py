@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sluiceway.session import scratch_path
+
 # A broadcast side has at most this many rows and this many bytes of JSON text.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -17,16 +19,14 @@ ROWS_PER_TASK = 2_000_000
 MAX_HOT_GROUPS = 5_000
 
 
+def _size() -> list[Column]:
+    json_bytes = F.octet_length(F.to_json(F.struct("*")))
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(json_bytes), F.lit(0)).alias("b")]
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether `df` fits a broadcast, by counting at most `max_rows + 1` of its rows."""
-    probe = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
+    probe = df.limit(max_rows + 1).agg(*_size()).first()
     return probe["n"] <= max_rows and probe["b"] <= max_bytes
 
 
@@ -36,6 +36,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def stored_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A join side written to shared scratch and measured by the same job, with a broadcast hint if small.
+
+    A task that runs twice may be measured twice, which can only lead to the join by shuffle.
+    """
+    path, size = scratch_path(df.sparkSession, label), Observation()
+    df.observe(size, *_size()).write.parquet(path)
+    stored, seen = df.sparkSession.read.schema(df.schema).parquet(path), size.get
+    return F.broadcast(stored) if seen["n"] <= max_rows and seen["b"] <= max_bytes else stored
+
+
 def hot_groups(
     df: DataFrame,
     keys: Sequence[str],

@@ -197,7 +197,7 @@ def test_key_sets_too_large_to_broadcast_are_joined_by_shuffle(spark, monkeypatc
     from sluiceway import skew
     from sluiceway.gates import fused
 
-    monkeypatch.setattr(fused, "broadcast_if_small", lambda df: skew.broadcast_if_small(df, max_rows=1))
+    monkeypatch.setattr(fused, "stored_side", lambda df, label: skew.stored_side(df, label, max_rows=1))
     df = spark.range(300).selectExpr("id % 100 as k", "id")
     out = run_gates({"t": df}, [Unique("t", ["k"])], Quarantine(100))
     assert out.results[0].rows_rejected == 300 and out.tables["t"].count() == 0

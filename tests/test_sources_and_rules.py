@@ -102,7 +102,7 @@ def test_flatten_and_child_rows(spark):
 # ---- text rules, against plain Python
 
 RULES = [
-    Rule("lock", ["could not get lock", "unable to acquire"]), Rule("tail", ["^done$"], code=1), Rule("disk", ["no space left"], steps=("copy",)), Rule("any", ["error"]),
+    Rule("lock", ["could not get lock", "unable to acquire"]), Rule("tail", ["^done$"], code=1), Rule("disk", ["no space le[f]t"], steps=("copy",), needs=["Space"]), Rule("any", ["error"]),
 ]
 
 
@@ -141,7 +141,7 @@ def script_rules(text):
     for line in (text or "").splitlines():
         line = line.strip()
         if line and not line.startswith("#"):
-            hit = next((i for i, p in textrules.SCRIPT_RULES if re.search(p, line, re.I)), None)
+            hit = next((i for i, p, _ in textrules.SCRIPT_RULES if re.search(p, line, re.I)), None)
             if hit and hit not in seen:
                 seen.append(hit)
     return seen
