@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway import skew
+from sluiceway.functions.dates import month_key
 from sluiceway.operators.ranking import position_in_group
 
 # An ordered concatenation sorts a whole group inside one task; larger groups go in pieces.
 CONCAT_ROWS = 50_000
 
 
-def sum_by(df: DataFrame, group: Sequence[str | Column], amount: Column, name: str) -> DataFrame:
-    return df.groupBy(*group).agg(F.sum(amount).alias(name))
-
-
-def count_and_sum(df: DataFrame, group: Sequence[str | Column], amount: Column, count_as: str, sum_as: str) -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias(count_as), F.sum(amount).alias(sum_as))
+def by_month(df: DataFrame, moment: str, *measures: Column) -> DataFrame:
+    """Measures by month 'YYYY-MM'. Rows group on the month's first day; only finished groups are formatted."""
+    groups = df.groupBy(F.trunc(moment, "month").alias("_month")).agg(*measures)
+    return groups.withColumn("_month", month_key("_month")).withColumnRenamed("_month", "month")
 
 
 def first_event(df: DataFrame, key: str, moment: str, name: str) -> DataFrame:

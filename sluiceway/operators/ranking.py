@@ -17,13 +17,16 @@ def position_in_group(
     order: Sequence[Column],
     name: str = "position",
     rows_per_task: int = skew.ROWS_PER_TASK,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """`row_number()` over `group` in `order`, counted from 1. The order should be total.
 
+    `sized_by` may name a cheaper table to count groups in, such as the one `df` was joined from.
+
     Ordinary groups use a window. Groups above `rows_per_task` are cut into sorted ranges that
     many tasks number side by side; a short table of range offsets then shifts each range.
     """
-    hot = skew.hot_groups(df, group, rows_per_task)
+    hot = skew.hot_groups(df if sized_by is None else sized_by, group, rows_per_task)
     if hot is None:
         return _by_window(df, group, order, name)
     keys = F.broadcast(hot)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions import (
     asc, clean, desc, due_at, duration, in_set, integral_text, is_live, is_strictly_true, lower_clean, money,
-    month_key, not_blank, not_in_set, percentage, range_label, reason, starts_with, surrogate_key, upper_clean,
+    not_blank, not_in_set, percentage, range_label, reason, starts_with, surrogate_key, upper_clean,
     wall_clock, with_rate,
 )
 from sluiceway.operators import aggregate, dedupe, joins
@@ -77,16 +77,14 @@ def unconverted_sales(orders: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def monthly_sales(orders: DataFrame) -> DataFrame:
-    return aggregate.sum_by(
-        orders, [month_key("write_date").alias("month")], money("amount_total"), "revenue"
-    )
+    return aggregate.by_month(orders, "write_date", F.sum(money("amount_total")).alias("revenue"))
 
 
 def monthly_revenue(orders: DataFrame) -> DataFrame:
     """Count and revenue of completed orders by month; months without one have no row."""
     done = orders.where(lower_clean("status") == DONE)
-    return aggregate.count_and_sum(
-        done, [month_key("order_date").alias("month")], money("amount"), "orders", "revenue"
+    return aggregate.by_month(
+        done, "order_date", F.count(F.lit(1)).alias("orders"), F.sum(money("amount")).alias("revenue")
     )
 
 
@@ -167,7 +165,8 @@ def fact_editing(
     ).distinct()
     # Ties beyond start time and id are conflicting copies; the unique test on the key reports them.
     order = [asc(c) for c in ("start_time", "resource_editing_id", "editing_code", "stock_id", "end_time")]
-    return position_in_group(rows, ["editing_id"], order).select(
+    uses = resource_editings.select(F.col("EditingId").alias("editing_id"))
+    return position_in_group(rows, ["editing_id"], order, sized_by=uses).select(
         surrogate_key("resource_editing_id").alias("fact_editing_sk"), "editing_id", "editing_code", "stock_id",
         "position", duration("start_time", "end_time").alias("duration"),
     )
@@ -199,8 +198,8 @@ def delivery_sla(orders: DataFrame, pickings: DataFrame) -> DataFrame:
     first = aggregate.first_event(deliveries, "sale_id", "date_done", "delivered_at")
     joined = eligible.join(first, F.col("id") == F.col("sale_id"), "left")
     on_time = F.count_if(F.col("delivered_at") <= F.col("due"))
-    return joined.groupBy(month_key("date_order").alias("month")).agg(
-        F.count(F.lit(1)).alias("eligible_orders"), F.count("delivered_at").alias("delivered_orders"),
+    return aggregate.by_month(
+        joined, "date_order", F.count(F.lit(1)).alias("eligible_orders"), F.count("delivered_at").alias("delivered_orders"),
         on_time.alias("on_time_orders"), percentage(on_time, F.count(F.lit(1))).alias("on_time_rate"),
     )
 
