@@ -13,7 +13,9 @@ from sluiceway.gates import (
     BusinessRule, Freshness, NotNull, Quarantine, ReferentialIntegrity, RowCountBounds, SchemaContract, Unique,
     run_gates, run_gates_one_by_one,
 )
-from sluiceway.gates.verdict import ColumnTest, failing_rows, run_column_tests
+from sluiceway.gates.verdict import (
+    ColumnTest, failing_rows, required_test_problems, run_column_tests, test_run_verdict,
+)
 from sluiceway.plans import marts
 
 ALL = Quarantine(100)
@@ -243,6 +245,35 @@ def gate_parent_first(t: Tables) -> DataFrame:
     return lost.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("orphans"))
 
 
+DECLARED = [
+    ColumnTest("orders", "o_orderkey", "unique"), ColumnTest("orders", "o_custkey", "unique", severity="warn"),
+    ColumnTest("orders", "o_custkey", "not_null"),
+    ColumnTest("orders", "o_orderstatus", "accepted_values", values=("F", "O")),
+    ColumnTest("lineitem", "l_linestatus", "accepted_values", values=("F", "O")),
+]
+
+
+@query("column_test_verdict", "G18 G19 G20", """
+    with found as (
+        select 'error' as severity, count(*) as n from (select o_orderkey from orders group by 1 having count(*) > 1)
+        union all select 'warn', count(*) from (select o_custkey from orders group by 1 having count(*) > 1)
+        union all select 'error', count(*) from orders where o_custkey is null
+        union all select 'error', count(*) from orders where o_orderstatus not in ('F', 'O')
+        union all select 'error', count(*) from lineitem where l_linestatus not in ('F', 'O'))
+    select case when count(*) filter (where n > 0 and severity = 'error') > 0 then 'failed' else 'passed' end as status, count(*) as ran,
+           count(*) filter (where n = 0) as passed, count(*) filter (where n > 0 and severity = 'error') as failed,
+           count(*) filter (where n > 0 and severity = 'warn') as warned, 1 as unmet_requirements from found""")
+def column_test_verdict(t: Tables) -> DataFrame:
+    """The verdict on the run, and the required tests it does not meet (one is required with a severity it lacks)."""
+    results = run_column_tests({"orders": t.orders, "lineitem": t.lineitem}, DECLARED)
+    verdict = test_run_verdict(results, DECLARED, ["orders", "lineitem"])
+    unmet = required_test_problems(results, [
+        {"model": "orders", "column": "o_orderkey", "tests": ["unique"]}, {"model": "orders", "column": "o_custkey", "tests": ["not_null", "unique"]},
+    ])
+    row = (verdict["status"], verdict["ran"], verdict["passed"], verdict["failed"], verdict["warned"], len(unmet))
+    return t.spark.createDataFrame([row], "status string, ran int, passed int, failed int, warned int, unmet_requirements int")
+
+
 @query("column_tests", "G16 G17 G18 G19", """
     select 'unique.orders.o_orderkey' as test, case when count(*) > 0 then 'fail' else 'pass' end as status, count(*) as failures
     from (select o_orderkey from orders group by 1 having count(*) > 1)
@@ -251,13 +282,7 @@ def gate_parent_first(t: Tables) -> DataFrame:
     union all select 'accepted_values.orders.o_orderstatus', case when count(*) > 0 then 'fail' else 'pass' end, count(*) from orders where o_orderstatus not in ('F', 'O')
     union all select 'accepted_values.lineitem.l_linestatus', case when count(*) > 0 then 'fail' else 'pass' end, count(*) from lineitem where l_linestatus not in ('F', 'O')""")
 def column_tests(t: Tables) -> DataFrame:
-    tests = [
-        ColumnTest("orders", "o_orderkey", "unique"), ColumnTest("orders", "o_custkey", "unique", severity="warn"),
-        ColumnTest("orders", "o_custkey", "not_null"),
-        ColumnTest("orders", "o_orderstatus", "accepted_values", values=("F", "O")),
-        ColumnTest("lineitem", "l_linestatus", "accepted_values", values=("F", "O")),
-    ]
-    results = run_column_tests({"orders": t.orders, "lineitem": t.lineitem}, tests)
+    results = run_column_tests({"orders": t.orders, "lineitem": t.lineitem}, DECLARED)
     return t.spark.createDataFrame(
         [(r["test"], r["status"], r["failures"]) for r in results], "test string, status string, failures bigint"
     )

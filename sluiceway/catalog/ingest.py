@@ -14,12 +14,12 @@ from sluiceway.functions import money
 from sluiceway.gates import NotNull, Quarantine, ReferentialIntegrity, RowCountBounds, SchemaContract, Unique
 from sluiceway.ledger import reports
 from sluiceway.ledger.store import Ledger
-from sluiceway.operators.merge import merge_changes
+from sluiceway.operators.merge import latest_versions, merge_changes
 from sluiceway.plans import marts
 from sluiceway.plans.staged import Flow, Stage, run_flow
 from sluiceway.plans.store import TableStore
 from sluiceway.session import scratch_path
-from sluiceway.sources.files import csv_tables, read_seed
+from sluiceway.sources.files import read_csv, read_seed
 from sluiceway.sources.jdbc import Incremental, load_table
 from sluiceway.sources.shape import child_table, flatten, sheet_table
 from sluiceway.sources.web import hits_table, records_as
@@ -41,11 +41,7 @@ def csv_landing(t: Tables) -> DataFrame:
     folder = scratch_path(t.spark, "csv")
     rows = t.part.select("p_partkey", F.concat(F.lit("  "), "p_name").alias("p_name"), "p_brand", "p_size")
     rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder)
-    landed = csv_tables(t.spark, f"{folder}/*.csv")
-    out = None
-    for table in landed.values():
-        out = table if out is None else out.unionByName(table)
-    return out
+    return read_csv(t.spark, folder)
 
 
 @query("seed_lookup", "S22", "select n_nationkey, n_name, n_regionkey from nation")
@@ -112,7 +108,7 @@ def _kept_events(t: Tables) -> DataFrame:
 def incremental_merge(t: Tables) -> DataFrame:
     """Old rows merged with the rows at or past the cursor."""
     events = _kept_events(t)
-    base = merge_changes(events.limit(0), events.where(F.col("ts") < F.lit(SPLIT)), ["user_id", "event_type"], "ts")
+    base = latest_versions(events.where(F.col("ts") < F.lit(SPLIT)), ["user_id", "event_type"], "ts")
     return merge_changes(base, events.where(F.col("ts") >= F.lit(SPLIT)), ["user_id", "event_type"], "ts")
 
 

@@ -19,7 +19,7 @@ _PLAIN = {
         cast(cast(o_totalprice as decimal(20,2)) as string) as amount, cast(cast(o_orderdate as date) as string) as order_date from {orders}""",
     "landing_lines": """select cast(l_orderkey * 10 + l_linenumber as string) as order_id, 'p' || l_partkey as customer,
         cast(cast(l_extendedprice as decimal(20,2)) as string) as amount, cast(cast(l_shipdate as date) as string) as order_date from {lineitem}""",
-    "res_partner": "select user_id as id, event_type as name, event_id % 4 as company_id, ts as write_date from {events}",
+    "partner_version": "select user_id as id, event_type as name, event_id % 4 as company_id, ts as write_date from {events}",
     "order_line": "select l_partkey as id, l_orderkey as order_id, l_suppkey as product_id, cast(l_extendedprice as decimal(20,2)) as price_subtotal from {lineitem}",
     "stg_orders": """select o_orderkey as id, o_custkey as partner_id, cast(o_totalprice as decimal(12,2)) as amount_total,
         o_custkey % 25 as currency_id, o_orderdate as write_date from {orders} where o_orderstatus = 'O'""",
@@ -96,12 +96,12 @@ def gated_orders_with_vat(t: Tables) -> DataFrame:
     return marts.orders_with_vat(kept)
 
 
-@query("staged_partners", "M3 T32", _ctes("res_partner") + """
+@query("staged_partners", "M3 T32", _ctes("partner_version") + """
     select id, name, company_id, write_date from (
-        select *, row_number() over (partition by id order by write_date desc nulls first, name nulls last, company_id nulls last) as rn from res_partner) where rn = 1""")
+        select *, row_number() over (partition by id order by write_date desc nulls first, name nulls last, company_id nulls last) as rn from partner_version) where rn = 1""")
 def staged_partners(t: Tables) -> DataFrame:
     columns = {"id": "bigint", "name": "string", "company_id": "bigint", "write_date": "timestamp_ntz"}
-    return marts.staged_latest(_source(t, "res_partner"), columns, version="write_date")
+    return marts.staged_latest(_source(t, "partner_version"), columns, version="write_date")
 
 
 @query("staged_order_lines", "M3 T33", _ctes("order_line") + """

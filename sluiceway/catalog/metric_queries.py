@@ -58,3 +58,14 @@ def chart_top_rows(t: Tables) -> DataFrame:
     """The row limit is the chart's own."""
     chart = Chart(metrics=["revenue"], columns=["month"], row_limit=12, order=[F.desc("revenue"), F.asc("month")])
     return ORDERS.query(_data(t), chart)
+
+
+@query("chart_agreement", "B6", _SQL + "select priority, count(*) as rows, sum(amount) as revenue, 2 as seen from data group by 1")
+def chart_agreement(t: Tables) -> DataFrame:
+    """A chart and an independent query give the same rows, as bags."""
+    independent = t.spark.sql(
+        "select o_orderpriority as priority, count(*) as rows, sum(cast(o_totalprice as decimal(20,2))) as revenue from {o} group by 1",
+        o=t.orders,
+    )
+    both = ORDERS.query(_data(t), CHARTS["by_priority"]).unionByName(independent)
+    return both.groupBy("priority", "rows", "revenue").agg(F.count(F.lit(1)).alias("seen"))

@@ -1,8 +1,8 @@
 """Bounded as-of lookup: the latest value on or up to N days before a date.
 
 The lookup side is spread over the days each value stays usable and reduced to one value per key
-and day. The large side then needs a single equi-join: no range condition, no regrouping, and
-neither side's rows multiply.
+and day, stored and measured. The large side then needs a single equi-join, without a shuffle while
+the values fit a broadcast: no range condition, no regrouping, and its rows do not multiply.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.skew import broadcast_if_small
+from sluiceway.skew import stored_side
 
 
 def usable_by_day(
@@ -46,7 +46,7 @@ def with_asof(
 ) -> DataFrame:
     """`facts` with the looked-up `value` (NULL when none is recent enough) and its date."""
     calendar = usable_by_day(values, keys, value_day, value, lookback_days)
-    side = broadcast_if_small(calendar).withColumnsRenamed({k: f"_{k}" for k in keys})
+    side = stored_side(calendar, "asof").withColumnsRenamed({k: f"_{k}" for k in keys})
     same = F.col(fact_day).cast("date") == F.col("_day")
     for k in keys:
         same = same & (F.col(k) == F.col(f"_{k}"))

@@ -12,7 +12,10 @@ from sluiceway.gates import Gate, Quarantine, StageOutcome, run_gates
 from sluiceway.gates.model import ROW_GATES, GateError
 from sluiceway.ledger.store import Ledger
 from sluiceway.plans.store import TableStore, Version, landing_namespace
+from sluiceway.session import time_limit
+from sluiceway.sources.jdbc import Incremental, load_table
 
+LIMITS = ("extract", "transform", "gate")
 Model = Callable[[Mapping[str, DataFrame]], DataFrame] | str
 
 
@@ -42,7 +45,12 @@ class Stage:
 
 @dataclass(frozen=True)
 class Flow:
-    """Sources land as they are; the stages follow in order, each on the tables of all stages before it."""
+    """Sources land as they are; the stages follow in order, each on the tables of all stages before it.
+
+    Sources named in `incremental` land by merge: like the source itself, their landing copy moves on
+    before the landing gates judge it. `limits` bounds a run's parts in seconds: extract, transform, gate;
+    a stage is bounded when both of its parts are.
+    """
 
     name: str
     sources: Mapping[str, Callable[[SparkSession], DataFrame]]
@@ -50,8 +58,16 @@ class Flow:
     landing_gates: Sequence[Gate] = ()
     landing_quarantine: Quarantine | None = None
     landing: str | None = None
+    incremental: Mapping[str, Incremental] = field(default_factory=dict)
+    limits: Mapping[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
+        if set(self.incremental) - set(self.sources):
+            raise GateError(f"{self.name}: incremental names unknown source(s) {sorted(set(self.incremental) - set(self.sources))}")
+        if self.incremental and self.landing_quarantine is not None:
+            raise GateError(f"{self.name}: a landing table that is merged cannot be quarantined; gate the next stage")
+        if set(self.limits) - set(LIMITS):
+            raise GateError(f"{self.name}: unknown limit(s) {sorted(set(self.limits) - set(LIMITS))}; known are {LIMITS}")
         seen = ["landing"]
         for stage in self.stages:
             if stage.name in seen:
@@ -82,9 +98,10 @@ class FlowRun:
 
 
 def run_flow(
-    spark: SparkSession, flow: Flow, store: TableStore, ledger: Ledger | None = None, now: dt.datetime | None = None
+    spark: SparkSession, flow: Flow, store: TableStore, ledger: Ledger | None = None, now: dt.datetime | None = None,
+    full_refresh: bool = False,
 ) -> FlowRun:
-    """Run every stage until one fails.
+    """Run every stage until one fails. A full refresh lands incremental sources whole, deletions included.
 
     A failed stage is not published, so later stages and readers keep the last good version; the
     rows its gates rejected are in quarantine all the same. Nothing is held on the driver but counts.
@@ -97,11 +114,16 @@ def run_flow(
     for stage in (land, *flow.stages):
         stage_id = ledger.start_stage(run_id, flow.name, stage.name)
         try:
-            if stage is land:
-                built = {t: read(spark) for t, read in flow.sources.items()}
-            else:
-                built = build_models(known, stage.models)
-            outcome = _run_stage(flow, stage, built, known, store, ledger, run_id, now)
+            # A model is only worked out while its gates run, so a later stage shares one limit for both.
+            limits = [flow.limits.get(k) for k in (("extract", "gate") if stage is land else ("transform", "gate"))]
+            limit = None if None in limits else sum(limits)
+            with time_limit(spark, limit, f"{flow.name}/{stage.name}"):
+                if stage is land:
+                    built = {t: read(spark) for t, read in flow.sources.items()}
+                else:
+                    built = build_models(known, stage.models)
+                landed = _land(flow, stage, built, store, ledger, run_id, full_refresh) if stage is land else {}
+                outcome = _run_stage(flow, stage, built, landed, known, store, ledger, run_id, now)
         except Exception as exc:
             run.status, run.problem = "failed", f"{type(exc).__name__}: {exc}"
             ledger.finish_stage(stage_id, "failed", run.problem)
@@ -120,14 +142,27 @@ def run_flow(
     return run
 
 
-def _run_stage(flow, stage, built, known, store, ledger, run_id, now) -> StageOutcome:
+def _land(flow, stage, built, store, ledger, run_id, full_refresh) -> dict[str, int]:
+    """Merge the incremental sources and note how many rows this run took from each."""
+    moved = {}
+    for table, rule in flow.incremental.items():
+        done = load_table(store, stage.namespace, table, built[table], str(run_id), rule, full_refresh)
+        moved[table] = done["extracted"]
+    if moved:
+        ledger.event(run_id, "info", "extract.done", f"{flow.name}/landing merged {moved}", moved)
+    return moved
+
+
+def _run_stage(flow, stage, built, landed, known, store, ledger, run_id, now) -> StageOutcome:
     namespace, version = stage.namespace or flow.name, str(run_id)
     # A landing table is read from its source once: later scans, gates and stages use the stored copy.
     # A model is written by the gate pass when it has row gates, and here otherwise.
     staged, ready = {}, {}
     gated = {g.table for g in stage.gates if isinstance(g, ROW_GATES)}
     for table, df in built.items():
-        if table in gated and stage.quarantine is not None and stage.models:
+        if table in landed:
+            ready[table] = store.read(namespace, table)
+        elif table in gated and stage.quarantine is not None and stage.models:
             ready[table] = df
         else:
             staged[table] = store.stage(namespace, table, df, version)
@@ -139,10 +174,14 @@ def _run_stage(flow, stage, built, known, store, ledger, run_id, now) -> StageOu
     )
     for table, bad in outcome.rejected.items():
         store.add_rejected(namespace, table, bad, version)
-    outcome.row_counts = {t: outcome.row_counts[t] if t in outcome.row_counts else staged[t].rows for t in built}
+    outcome.row_counts = {
+        t: outcome.row_counts[t] if t in outcome.row_counts else landed[t] if t in landed else staged[t].rows for t in built
+    }
     if outcome.passed:
         for table, path in outcome.paths.items():
-            schema, rows = outcome.tables[table].schema.json(), outcome.row_counts[table]
+            schema, rows = outcome.tables[table].schema.json(), outcome.row_counts.get(table, 0)
             staged[table] = Version(namespace, table, version, path, schema, rows)
-        store.publish([staged[t] for t in built])
+        publish = [staged[t] for t in built if t not in landed]
+        if publish:
+            store.publish(publish)
     return outcome

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,31 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None, what: str) -> Iterator[None]:
+    """Cancel the Spark jobs started inside the block once it has run too long, and raise TimeoutError."""
+    if seconds is None:
+        yield
+        return
+    context, tag, expired = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        expired.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as exc:
+        if expired.is_set():
+            raise TimeoutError(f"{what} did not finish within {seconds:g} s and was stopped") from exc
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    if expired.is_set():
+        raise TimeoutError(f"{what} did not finish within {seconds:g} s and was stopped")

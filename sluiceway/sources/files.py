@@ -26,7 +26,10 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, untrimmed. An empty field and a missing trailing field both read as NULL."""
+    """A file, or a folder of files with one header, as one table: all columns text, untrimmed.
+
+    An empty field and a missing trailing field both read as NULL.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, path)])
     return spark.read.option("header", True).schema(schema).csv(path)
 

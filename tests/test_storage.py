@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 import os
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,9 +14,9 @@ from sluiceway.gates import NotNull, Quarantine, RowCountBounds, Unique
 from sluiceway.gates.model import GateError
 from sluiceway.ledger import reports
 from sluiceway.ledger.store import Ledger
-from sluiceway.plans import store as store_module
 from sluiceway.plans.staged import Flow, Stage, build_models, run_flow
 from sluiceway.plans.store import TableStore, landing_namespace
+from sluiceway.plans.validate import Expected, validate
 from sluiceway.records import append_records
 from sluiceway.sources.jdbc import Database, Incremental, Partitioning, load_table
 from sluiceway.streaming.ingest import file_stream, ingest
@@ -287,6 +286,49 @@ def test_flow_definitions_are_checked(table):
             wrong()
 
 
+def test_incremental_sources_in_a_flow(spark, store, table):
+    def make(*data):
+        return Flow("inc", {"t": lambda _s: table(COLUMNS, *data)}, [Stage("out", {"n": "select count(*) as n from {t}"})],
+                    incremental={"t": Incremental("at", ["id"])})
+
+    run_flow(spark, make((1, at(1), "a"), (2, at(2), "b")), store)
+    run_flow(spark, make((2, at(3), "b2"), (3, at(3), "c")), store)
+    assert rows(store.read("inc_landing", "t"), "id", "v") == [(1, "a"), (2, "b2"), (3, "c")]
+    assert rows(store.read("inc", "n")) == [(3,)]
+    run_flow(spark, make((3, at(3), "c")), store, full_refresh=True)
+    assert rows(store.read("inc", "n")) == [(1,)]
+    noted = Ledger(spark, f"{store.root}/_ledger").table("events").where("kind = 'extract.done'").orderBy("id").collect()
+    assert [json.loads(e["data_json"]) for e in noted] == [{"t": 2}, {"t": 2}, {"t": 1}]
+    with pytest.raises(GateError):
+        Flow("f", {}, [], incremental={"t": Incremental("at", ["id"])})
+    with pytest.raises(GateError):
+        Flow("f", {}, [], limits={"total": 3})
+
+
+def test_a_stage_over_its_limit_is_stopped(spark, store, table):
+    slow = Flow("slow", {"t": lambda _s: table({"x": "int"}, (1,))}, [
+        Stage("raw", {"r": lambda m: spark.range(10**13).selectExpr("sum(pmod(hash(id), 7)) as s")}),
+    ], limits={"transform": 1.0, "gate": 0.5})
+    run = run_flow(spark, slow, store)
+    assert run.status == "failed" and "did not finish within 1.5 s" in run.problem
+    assert spark.range(3).count() == 3
+
+
+def test_validate(spark, tmp_path, table):
+    good = table(SOURCE, ("1", "a"), ("2", None), ("3", "c"))
+    expected = [Expected("report", [{"n": 2}], columns={"n": "bigint"}, row_count=1), Expected("raw_orders", [{"id": 1}, {"id": 3}])]
+
+    def go(name, want=expected, fixture=good, **kw):
+        return validate(spark, flow(good), {"orders": fixture}, want, TableStore(spark, str(tmp_path / name)), **kw)
+
+    need = {"stage": "raw", "type": "unique", "table": "raw_orders", "columns": ["id"]}
+    assert go("a", required_gates=[need]).ok
+    assert "surplus" in go("b", [Expected("report", [{"n": 3}])]).problems[0]
+    assert "unique" in go("c", fixture=table(SOURCE, ("1", "a"), ("1", "b"))).problems[0]
+    assert go("d", required_gates=[{**need, "on_violation": "fail"}]).problems
+    assert validate(spark, flow(good), {}, expected, TableStore(spark, str(tmp_path / "e"))).problems == ["the fixture lacks source table(s) ['orders']"]
+
+
 def test_models_refer_to_each_other(table):
     built = build_models({"t": table({"x": "int"}, (1,), (2,))}, {"a": "select x + 1 as x from {t}", "b": lambda m: m["a"].where("x > 2")})
     assert rows(built["b"]) == [(3,)]
