@@ -62,7 +62,8 @@ def _flag(state: _Table, gate: Gate, number: int, tables: Mapping[str, DataFrame
     if isinstance(gate, Unique):
         columns, keys = list(gate.columns), gate.repeated_keys(state.survivors).drop("n")
     elif isinstance(gate, ReferentialIntegrity):
-        columns, keys = [gate.column], gate.orphan_keys(state.survivors, tables[gate.references["table"]])
+        # Being an orphan depends on the key alone, so rows earlier gates rejected need not be left out.
+        columns, keys = [gate.column], gate.orphan_keys(state.source, tables[gate.references["table"]])
     else:
         ids = cut_lineage(rule_rows(gate, tables).toDF(gate.id_column), "gate-rule")
         counted = ids.count()

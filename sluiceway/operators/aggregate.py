@@ -62,15 +62,11 @@ def ordered_concat(
     hot = skew.hot_groups(rows, group, rows_per_task)
     if hot is None:
         return _concat(rows, group, order, separator, name)
-    same = F.lit(True)
-    for k in group:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}"))
-    listed = F.broadcast(hot).alias("h")
-    cold = _concat(rows.alias("l").join(listed, same, "left_anti"), group, order, separator, name)
-    large = position_in_group(
-        rows.alias("l").join(listed, same, "left_semi"),
-        group, [F.asc(c) for c in order], "_pos", rows_per_task,
-    ).withColumn("_piece", F.floor((F.col("_pos") - 1) / rows_per_task))
+    ordinary, hot_rows = skew.split_hot(rows, group, hot)
+    cold = _concat(ordinary, group, order, separator, name)
+    large = position_in_group(hot_rows, group, [F.asc(c) for c in order], "_pos", rows_per_task).withColumn(
+        "_piece", F.floor((F.col("_pos") - 1) / rows_per_task)
+    )
     pieces = _concat(large, [*group, "_piece"], ["_pos"], separator, "_text")
     return cold.unionByName(_concat(pieces, group, ["_piece"], separator, name))
 

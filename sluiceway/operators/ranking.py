@@ -29,20 +29,10 @@ def position_in_group(
     hot = skew.hot_groups(df if sized_by is None else sized_by, group, rows_per_task)
     if hot is None:
         return _by_window(df, group, order, name)
-    keys = F.broadcast(hot)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in group]
-    cold = df.alias("l").join(keys.alias("h"), _all(same), "left_anti")
-    large = df.alias("l").join(keys.alias("h"), _all(same), "left_semi")
+    cold, large = skew.split_hot(df, group, hot)
     return _by_window(cold, group, order, name).unionByName(_by_range(large, group, order, name))
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def _by_window(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
 
@@ -63,8 +53,10 @@ def _by_range(df: DataFrame, group: Sequence[str], order: Sequence[Column], name
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order, "_tie"))
     )
-    same = _all([F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*group, "_range")])
-    joined = local.alias("l").join(F.broadcast(offsets.alias("o")), same)
+    same = F.col("l._range") == F.col("o._range")
+    for k in group:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}"))
+    joined = local.alias("l").join(skew.stored_side(offsets, "rank-offsets").alias("o"), same)
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
         (F.col("l._local") + F.col("o._offset")).cast("bigint").alias(name),

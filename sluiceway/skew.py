@@ -1,4 +1,4 @@
-"""Measures against hot keys: checked broadcasts and a bounded list of hot groups."""
+"""Measures against hot keys: checked broadcasts, and the list of groups too large for one task."""
 
 from __future__ import annotations
 
@@ -13,10 +13,8 @@ from sluiceway.session import scratch_path
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# A group is hot when it has more rows than one task should sort. Only the largest MAX_HOT_GROUPS
-# such groups are listed: any other group then holds less than 1/MAX_HOT_GROUPS of the table.
+# A group is hot when it has more rows than one task should sort.
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_GROUPS = 5_000
 
 
 def _size() -> list[Column]:
@@ -36,33 +34,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
-def stored_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A join side written to shared scratch and measured by the same job, with a broadcast hint if small.
+def stored_side(
+    df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """A join side written to shared scratch and measured by the same job, with a broadcast hint if small."""
+    return _store(df, label, max_rows, max_bytes)[0]
 
-    A task that runs twice may be measured twice, which can only lead to the join by shuffle.
-    """
+
+def _store(df: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[DataFrame, int]:
+    # A task that runs twice may be measured twice, which can only lead to the join by shuffle.
     path, size = scratch_path(df.sparkSession, label), Observation()
     df.observe(size, *_size()).write.parquet(path)
     stored, seen = df.sparkSession.read.schema(df.schema).parquet(path), size.get
-    return F.broadcast(stored) if seen["n"] <= max_rows and seen["b"] <= max_bytes else stored
+    small = seen["n"] <= max_rows and seen["b"] <= max_bytes
+    return (F.broadcast(stored) if small else stored), seen["n"]
 
 
 def hot_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    rows_per_task: int = ROWS_PER_TASK,
-    max_hot: int = MAX_HOT_GROUPS,
+    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame | None:
-    """The groups too large for one task, as a small DataFrame of `keys`; None when there are none.
+    """The keys of all groups too large for one task, as a measured join side; None when there are none.
 
-    One narrow aggregate over the key columns, combined before its shuffle; at most `max_hot`
-    rows reach the driver.
+    One narrow aggregate over the key columns, combined before its shuffle. The list is never
+    shortened: should it be too long to broadcast, it is joined by shuffle.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.where(F.col("_n") > rows_per_task).orderBy(F.desc("_n")).limit(max_hot)
-    rows = top.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(
-        [tuple(r[k] for k in keys) for r in rows], df.select(*keys).schema
-    )
+    listed, rows = _store(counts.where(F.col("_n") > rows_per_task).select(*keys), "hot-groups", max_rows, BROADCAST_BYTES)
+    return listed if rows else None
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups and rows of hot ones; a NULL key is a key like any other."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}"))
+    left, right = df.alias("l"), hot.alias("h")
+    return left.join(right, same, "left_anti"), left.join(right, same, "left_semi")

@@ -44,11 +44,13 @@ def test_position_in_hot_groups_equals_the_window(spark, seed):
     assert ranged.columns == plain.columns
 
 
-def test_hot_groups_list_is_bounded(spark):
+def test_hot_groups_list_is_whole(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 10)
     assert skew.hot_groups(df, ["k"], rows_per_task=100) is None
-    assert skew.hot_groups(df, ["k"], rows_per_task=99).count() == 10
-    assert skew.hot_groups(df, ["k"], rows_per_task=99, max_hot=3).count() == 3
+    listed = skew.hot_groups(df, ["k"], rows_per_task=99)
+    assert listed.count() == 10 and "hint" in str(listed._jdf.queryExecution().logical()).lower()
+    long = skew.hot_groups(df, ["k"], rows_per_task=99, max_rows=3)
+    assert long.count() == 10 and "hint" not in str(long._jdf.queryExecution().logical()).lower()
 
 
 def test_broadcast_needs_a_checked_size(spark):
