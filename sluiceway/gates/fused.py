@@ -118,7 +118,7 @@ def run_gates(
                 states[gate.table]
             elif isinstance(gate, Freshness):
                 for t in gate.tables:
-                    states[t].source.select(gate.column)
+                    gate.newest(states[t].source)
         except Exception as exc:  # a gate that crashes is a failed gate; the others still run
             early[number] = crashed(gate, exc)
 
@@ -149,7 +149,7 @@ def _materialise(table: str, state: _Table, gates: Sequence[Gate], early: Mappin
     spark = state.source.sparkSession
     fresh = [n for n, g in enumerate(gates) if isinstance(g, Freshness) and table in g.tables and n not in early]
     newest = [
-        F.max(F.when(F.col(FLAG).isNull() | (F.col(FLAG) > n), F.col(gates[n].column))).alias(f"t{n}") for n in fresh
+        gates[n].newest(state.source, F.col(FLAG).isNull() | (F.col(FLAG) > n)).alias(f"t{n}") for n in fresh
     ]
     if not state.gates:
         seen = state.flagged.agg(F.count(F.lit(1)).alias("total"), *newest).first().asDict()

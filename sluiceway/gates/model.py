@@ -88,6 +88,14 @@ class Freshness:
         if not _AGE.fullmatch(str(self.max_age)):
             raise GateError(f"freshness: max_age {self.max_age!r} must be a number and one of s, m, h, d")
 
+    def newest(self, df: DataFrame, counted: Column | None = None) -> Column:
+        """The newest moment of the rows that count, as wall-clock time in the session zone (UTC)."""
+        kind = df.schema[self.column].dataType
+        if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise GateError(f"freshness: {self.column} is {kind.simpleString()}, not a date or timestamp")
+        moment = F.col(self.column) if counted is None else F.when(counted, F.col(self.column))
+        return F.max(moment).cast("timestamp_ntz")
+
     @property
     def age(self) -> dt.timedelta:
         number, unit = _AGE.fullmatch(self.max_age).groups()

@@ -49,7 +49,7 @@ def _run(gate, current, moved, quarantine, run_id, now, previous) -> GateResult:
     if isinstance(gate, SchemaContract):
         return schema_verdict(gate, current)
     if isinstance(gate, Freshness):
-        newest = {t: current[t].agg(F.max(gate.column)).first()[0] for t in gate.tables}
+        newest = {t: current[t].agg(gate.newest(current[t])).first()[0] for t in gate.tables}
         return freshness_verdict(gate, newest, now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     if isinstance(gate, RowCountBounds):
         return count_verdict(gate, current[gate.table].count(), previous.get(gate.table))
@@ -87,9 +87,20 @@ def _by_keys(df: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rule_rows(gate: BusinessRule, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The first column of the rule's result, with the stage's tables visible under their own names."""
+    """The first column of the rule's result, with the stage's tables visible under their own names.
+
+    The names are bound when the rule is parsed; temporary views of the caller are put back after.
+    """
     spark = tables[gate.table].sparkSession
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    rows = spark.sql(gate.sql)
-    return rows.select(rows.columns[0])
+    catalog = spark.catalog
+    own = {n: spark.table(n) for n in tables if catalog.tableExists(n) and catalog.getTable(n).isTemporary}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        rows = spark.sql(gate.sql)
+        return rows.select(rows.columns[0])
+    finally:
+        for name in tables:
+            catalog.dropTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)

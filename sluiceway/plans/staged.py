@@ -122,7 +122,7 @@ def run_flow(
                     built = {t: read(spark) for t, read in flow.sources.items()}
                 else:
                     built = build_models(known, stage.models)
-                landed = _land(flow, stage, built, store, ledger, run_id, full_refresh) if stage is land else {}
+                landed = _land(flow, stage, built, store, run_id, full_refresh) if stage is land else None
                 outcome = _run_stage(flow, stage, built, landed, known, store, ledger, run_id, now)
         except Exception as exc:
             run.status, run.problem = "failed", f"{type(exc).__name__}: {exc}"
@@ -142,31 +142,31 @@ def run_flow(
     return run
 
 
-def _land(flow, stage, built, store, ledger, run_id, full_refresh) -> dict[str, int]:
-    """Merge the incremental sources and note how many rows this run took from each."""
-    moved = {}
-    for table, rule in flow.incremental.items():
-        done = load_table(store, stage.namespace, table, built[table], str(run_id), rule, full_refresh)
-        moved[table] = done["extracted"]
-    if moved:
-        ledger.event(run_id, "info", "extract.done", f"{flow.name}/landing merged {moved}", moved)
-    return moved
+def _land(flow, stage, built, store, run_id, full_refresh) -> dict[str, int]:
+    """Merge the incremental sources; returns how many rows this run took from each."""
+    return {
+        table: load_table(store, stage.namespace, table, built[table], str(run_id), rule, full_refresh)["extracted"]
+        for table, rule in flow.incremental.items()
+    }
 
 
 def _run_stage(flow, stage, built, landed, known, store, ledger, run_id, now) -> StageOutcome:
-    namespace, version = stage.namespace or flow.name, str(run_id)
+    namespace, version, merged = stage.namespace or flow.name, str(run_id), landed or {}
     # A landing table is read from its source once: later scans, gates and stages use the stored copy.
     # A model is written by the gate pass when it has row gates, and here otherwise.
     staged, ready = {}, {}
     gated = {g.table for g in stage.gates if isinstance(g, ROW_GATES)}
     for table, df in built.items():
-        if table in landed:
+        if table in merged:
             ready[table] = store.read(namespace, table)
         elif table in gated and stage.quarantine is not None and stage.models:
             ready[table] = df
         else:
             staged[table] = store.stage(namespace, table, df, version)
             ready[table] = store.read_version(staged[table])
+    if landed is not None:
+        moved = {t: merged[t] if t in merged else staged[t].rows for t in built}
+        ledger.event(run_id, "info", "extract.done", f"{flow.name}/{stage.name} extracted {moved}", moved)
     outcome = run_gates(
         {**known, **ready}, stage.gates, stage.quarantine, run_id, now,
         previous_counts=ledger.last_counts(flow.name, stage.name),
@@ -175,13 +175,13 @@ def _run_stage(flow, stage, built, landed, known, store, ledger, run_id, now) ->
     for table, bad in outcome.rejected.items():
         store.add_rejected(namespace, table, bad, version)
     outcome.row_counts = {
-        t: outcome.row_counts[t] if t in outcome.row_counts else landed[t] if t in landed else staged[t].rows for t in built
+        t: outcome.row_counts[t] if t in outcome.row_counts else merged[t] if t in merged else staged[t].rows for t in built
     }
     if outcome.passed:
         for table, path in outcome.paths.items():
             schema, rows = outcome.tables[table].schema.json(), outcome.row_counts.get(table, 0)
             staged[table] = Version(namespace, table, version, path, schema, rows)
-        publish = [staged[t] for t in built if t not in landed]
+        publish = [staged[t] for t in built if t not in merged]
         if publish:
             store.publish(publish)
     return outcome

@@ -96,6 +96,16 @@ def test_a_rule_sees_the_rows_earlier_gates_left(table, run):
     assert rows(out.tables["t"], "id", "v") == [(1, 5)]
 
 
+@BOTH
+def test_a_rule_leaves_the_callers_views_alone(spark, table, run):
+    spark.range(7).createOrReplaceTempView("t")
+    rule = BusinessRule("r", "select id from t where id = 1", "t", "id")
+    out = run({"t": table({"id": "int"}, (1,), (2,)), "u": table({"id": "int"})}, [rule], Quarantine(100))
+    assert rows(out.tables["t"]) == [(2,)] and rows(out.rejected["t"], "id") == [(1,)]
+    assert spark.table("t").count() == 7 and not spark.catalog.tableExists("u")
+    spark.catalog.dropTempView("t")
+
+
 @BOTH
 def test_a_crashing_gate_fails_and_the_rest_still_run(table, run):
     df = table({"id": "int"}, (1,), (None,))
@@ -114,6 +124,25 @@ def test_freshness(table, run):
     assert [r.passed for r in out.results] == [True, False, True, False]
 
 
+@BOTH
+def test_freshness_of_dates_and_instants(spark, table, run, monkeypatch):
+    """Instants are read as UTC whatever zone the driver is in; text has no age."""
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    tables = {
+        "instants": table({"at": "timestamp"}, ("2026-01-09T00:00:00Z",)), "dates": table({"at": "date"}, ("2026-01-09",)),
+        "texts": table({"at": "string"}, ("2026-01-09",)),
+    }
+    gates = [Freshness([t], "at", a) for t in ("instants", "dates") for a in ("24h", "23h")] + [Freshness(["texts"], "at", "1d")]
+    out = run(tables, gates, now=dt.datetime(2026, 1, 10))
+    monkeypatch.undo()
+    time.tzset()
+    assert [r.passed for r in out.results] == [True, False, True, False, False]
+    assert "not a date or timestamp" in out.results[-1].detail
+
+
 @BOTH
 def test_row_counts(table, run):
     df = table({"id": "int"}, (1,), (2,), (3,))
