@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.ledger import reports
 from sluiceway.records import append_records, read_records
 
 SCHEMAS = {
@@ -22,6 +23,7 @@ SCHEMAS = {
     "events": "id bigint, run_id bigint, ts timestamp_ntz, level string, kind string, actor string, message string, "
               "data_json string, seq bigint",
 }
+GENERATIONS = "generation bigint"
 
 
 def latest_state(records: DataFrame, key: str = "id") -> DataFrame:
@@ -42,16 +44,21 @@ class Ledger:
         self.root = root.rstrip("/")
         self._open: dict[int, dict] = {}
         self._last = 0
+        newest = read_records(spark, f"{self.root}/_generations", GENERATIONS).agg(F.max("generation")).first()[0]
+        self._generation = newest or 0
+
+    def _path(self, table: str, generation: int | None = None) -> str:
+        return f"{self.root}/g={self._generation if generation is None else generation}/{table}"
 
     def _next(self) -> int:
         self._last = max(time.time_ns(), self._last + 1)
         return self._last
 
     def _append(self, table: str, *rows: Mapping) -> None:
-        append_records(self.spark, f"{self.root}/{table}", rows, SCHEMAS[table])
+        append_records(self.spark, self._path(table), rows, SCHEMAS[table])
 
     def records(self, table: str) -> DataFrame:
-        return read_records(self.spark, f"{self.root}/{table}", SCHEMAS[table])
+        return read_records(self.spark, self._path(table), SCHEMAS[table])
 
     def table(self, name: str) -> DataFrame:
         """Current rows of a ledger table."""
@@ -123,3 +130,23 @@ class Ledger:
         )
         newest = mine.agg(F.max_by("counts_json", "seq").alias("c")).first()["c"]
         return json.loads(newest) if newest else {}
+
+    def prune(
+        self, older_than_days: int, target: str | None = None, dry_run: bool = False, now: dt.datetime | None = None
+    ) -> dict[str, int]:
+        """Drop finished runs older than the limit with all that hangs on them; returns rows dropped per table.
+
+        What stays is written to a new generation of the ledger, as current states in few files, and
+        one record makes that generation the ledger. A running run is never dropped.
+        """
+        kept, counts = reports.prune({n: self.table(n) for n in SCHEMAS}, now or _now(), older_than_days, target)
+        dropped = {r["table"]: r["deleted"] for r in counts.collect()}
+        if dry_run or not any(dropped.values()):
+            return dropped
+        new = self._generation + 1
+        for name, rows in kept.items():
+            # Later records of a row have a higher seq than its id, which is the time it was made.
+            rows.withColumn("seq", F.col("id")).write.mode("overwrite").json(self._path(name, new))
+        append_records(self.spark, f"{self.root}/_generations", [{"generation": new}], GENERATIONS)
+        self._generation = new
+        return dropped

@@ -360,6 +360,27 @@ def test_ledger_keeps_history_but_shows_the_last_state(spark, tmp_path):
     assert ledger.last_counts("flow", "raw") == {}
 
 
+def test_pruning_the_ledger_itself(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for target, end in (("a", "ok"), ("b", "failed"), ("a", None)):
+        run = ledger.start_run("data", target)
+        stage = ledger.start_stage(run, target, "raw")
+        if end:
+            ledger.finish_stage(stage, "passed", "fine", counts={"t": 4})
+            ledger.finish_run(run, end)
+    later = dt.datetime.now() + dt.timedelta(days=9)
+    expected = {"runs": 2, "stage_runs": 2, "gate_runs": 0, "events": 2}
+    assert ledger.prune(30, now=later) == dict.fromkeys(expected, 0)
+    assert ledger.prune(3, dry_run=True, now=later) == expected and ledger.table("runs").count() == 3
+    assert ledger.prune(3, "b", now=later) == {"runs": 1, "stage_runs": 1, "gate_runs": 0, "events": 1}
+    assert ledger.last_counts("a", "raw") == {"t": 4} and ledger.last_counts("b", "raw") == {}
+    assert ledger.prune(3, now=later)["runs"] == 1
+    assert rows(Ledger(spark, str(tmp_path / "ledger")).table("runs"), "target", "status") == [("a", "running")]
+    ledger.finish_stage(stage, "passed", "late")
+    ledger.finish_run(run, "ok")
+    assert rows(ledger.table("runs"), "id", "status") == [(run, "ok")] and ledger.table("stage_runs").count() == 1
+
+
 # ---- the stream
 
 def test_stream_replays_change_nothing(spark, store, table, tmp_path):
