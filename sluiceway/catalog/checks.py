@@ -43,7 +43,7 @@ def _seen_by(*results: DataFrame) -> DataFrame:
 
 
 @query("rerun_agreement", "C8", """
-    select strftime(o_orderdate, '%Y-%m') as month, count(*) as orders, sum(cast(o_totalprice as decimal(20,2))) as revenue, 2 as seen
+    select strftime(o_orderdate, '%Y-%m') as month, count(*) as orders, cast(sum(cast(o_totalprice as decimal(20,2))) as decimal(30,2)) as revenue, cast(2 as bigint) as seen
     from orders group by 1""")
 def rerun_agreement(t: Tables) -> DataFrame:
     """Two runs of one mart over differently spread input give the same rows."""
@@ -59,7 +59,7 @@ def rerun_agreement(t: Tables) -> DataFrame:
         select strftime(date '2025-01-01' + to_months(cast(cast('0x' || substr(d, 1, 6) as bigint) % 24 as int)), '%Y-%m') as month,
                cast('0x' || substr(d, 13, 6) as bigint) % 100 as status, cast('0x' || substr(d, 19, 8) as bigint) % 999901 + 100 as cents
         from digests)
-    select month, count(*) as orders, cast(sum(cents) * cast(0.01 as decimal(3,2)) as decimal(30,2)) as revenue, 2 as seen
+    select month, count(*) as orders, cast(sum(cents) * cast(0.01 as decimal(3,2)) as decimal(30,2)) as revenue, cast(2 as bigint) as seen
     from made where status < 70 group by 1""")
 def answer_key(t: Tables) -> DataFrame:
     """The mart over made-up orders, one per order of the table, and the key worked out another way."""

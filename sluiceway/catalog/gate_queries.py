@@ -37,7 +37,7 @@ def _verdicts(t: Tables, outcome) -> DataFrame:
         from lineitem),
     dated as (select * from landing where order_date is not null),
     clean as (select * from dated where id not in (select id from dated group by id having count(*) > 1))
-    select strftime(order_date, '%Y-%m') as month, count(*) as orders, sum(amount) as revenue
+    select strftime(order_date, '%Y-%m') as month, count(*) as orders, cast(sum(amount) as decimal(30,2)) as revenue
     from clean where lower(trim(status)) = 'done' group by 1""")
 def gated_monthly_revenue(t: Tables) -> DataFrame:
     """Completed revenue by month, behind a not-null and a unique gate."""
@@ -271,7 +271,7 @@ def column_test_verdict(t: Tables) -> DataFrame:
         {"model": "orders", "column": "o_orderkey", "tests": ["unique"]}, {"model": "orders", "column": "o_custkey", "tests": ["not_null", "unique"]},
     ])
     row = (verdict["status"], verdict["ran"], verdict["passed"], verdict["failed"], verdict["warned"], len(unmet))
-    return t.spark.createDataFrame([row], "status string, ran int, passed int, failed int, warned int, unmet_requirements int")
+    return t.spark.createDataFrame([row], "status string, ran bigint, passed bigint, failed bigint, warned bigint, unmet_requirements int")
 
 
 @query("column_tests", "G16 G17 G18 G19", """

@@ -220,7 +220,7 @@ _FLOW = """with raw as (
 
 
 @query("staged_flow", "T46 S23 G11 M1", _FLOW + """
-    select order_id, customer, amount, cast(round(amount * 1.10, 2) as decimal(24,2)) as amount_with_vat, order_date from s3""")
+    select order_id, customer, amount, cast(round(amount * 1.10, 2) as decimal(23,2)) as amount_with_vat, order_date from s3""")
 def staged_flow(t: Tables) -> DataFrame:
     """Landing, raw behind three gates, curated: the published result."""
     store = _store(t, "flow")

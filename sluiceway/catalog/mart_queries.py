@@ -80,7 +80,7 @@ def _clean(c: str) -> str:
 
 @query("orders_with_vat", "M1 T2 T16", _ctes("landing_orders") + """
     select cast(order_id as bigint) as order_id, customer, cast(amount as decimal(20,2)) as amount,
-           cast(round(cast(amount as decimal(20,2)) * 1.10, 2) as decimal(24,2)) as amount_with_vat, cast(order_date as date) as order_date
+           cast(round(cast(amount as decimal(20,2)) * 1.10, 2) as decimal(23,2)) as amount_with_vat, cast(order_date as date) as order_date
     from landing_orders""")
 def orders_with_vat(t: Tables) -> DataFrame:
     return marts.orders_with_vat(marts.raw_orders(_source(t, "landing_orders")))
@@ -88,7 +88,7 @@ def orders_with_vat(t: Tables) -> DataFrame:
 
 @query("gated_orders_with_vat", "M1 M2 G6", _ctes("landing_lines") + """
     select cast(order_id as bigint) as order_id, customer, cast(amount as decimal(20,2)) as amount,
-           cast(round(cast(amount as decimal(20,2)) * 1.10, 2) as decimal(24,2)) as amount_with_vat, cast(order_date as date) as order_date
+           cast(round(cast(amount as decimal(20,2)) * 1.10, 2) as decimal(23,2)) as amount_with_vat, cast(order_date as date) as order_date
     from landing_lines where order_id not in (select order_id from landing_lines group by 1 having count(*) > 1)""")
 def gated_orders_with_vat(t: Tables) -> DataFrame:
     raw = marts.raw_orders(_source(t, "landing_lines"))
@@ -122,7 +122,7 @@ _CONVERTED = _ctes("stg_orders", "rates") + """,
 
 
 @query("converted_sales", "M4 T31", _CONVERTED + """
-    select id as order_id, partner_id, currency_id, amount_total, amount_total * rate as converted_amount, 'USD' as reporting_currency
+    select id as order_id, partner_id, currency_id, amount_total, cast(amount_total * rate as decimal(25,4)) as converted_amount, 'USD' as reporting_currency
     from rated where rate is not null""")
 def converted_sales(t: Tables) -> DataFrame:
     return marts.converted_sales(_source(t, "stg_orders"), _source(t, "rates"))
@@ -137,13 +137,13 @@ def unconverted_sales(t: Tables) -> DataFrame:
 
 
 @query("monthly_sales", "M5 T13 T38", _ctes("sale_order") + """
-    select strftime(write_date, '%Y-%m') as month, sum(amount_total) as revenue from sale_order group by 1""")
+    select strftime(write_date, '%Y-%m') as month, cast(sum(amount_total) as decimal(30,2)) as revenue from sale_order group by 1""")
 def monthly_sales(t: Tables) -> DataFrame:
     return marts.monthly_sales(_source(t, "sale_order"))
 
 
 @query("monthly_revenue", "M6 T9 T13 T39", _ctes("done_orders") + """
-    select strftime(order_date, '%Y-%m') as month, count(*) as orders, sum(amount) as revenue
+    select strftime(order_date, '%Y-%m') as month, count(*) as orders, cast(sum(amount) as decimal(30,2)) as revenue
     from done_orders where lower(trim(status)) = 'done' group by 1""")
 def monthly_revenue(t: Tables) -> DataFrame:
     return marts.monthly_revenue(_source(t, "done_orders"))

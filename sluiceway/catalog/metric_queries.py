@@ -35,32 +35,32 @@ def _data(t: Tables) -> DataFrame:
 
 
 @query("chart_totals", "B1 B4", _SQL + """
-    select count(*) as rows, count(distinct customer) as customers, count(distinct month) as months, sum(amount) as revenue, max(amount) as largest from data""")
+    select count(*) as rows, count(distinct customer) as customers, count(distinct month) as months, cast(sum(amount) as decimal(30,2)) as revenue, max(amount) as largest from data""")
 def chart_totals(t: Tables) -> DataFrame:
     return ORDERS.query(_data(t), CHARTS["totals"])
 
 
-@query("chart_grouped", "B1 B2 B3", _SQL + "select priority, count(*) as rows, sum(amount) as revenue from data group by 1")
+@query("chart_grouped", "B1 B2 B3", _SQL + "select priority, count(*) as rows, cast(sum(amount) as decimal(30,2)) as revenue from data group by 1")
 def chart_grouped(t: Tables) -> DataFrame:
     return ORDERS.query(_data(t), CHARTS["by_priority"])
 
 
 @query("chart_filtered", "B3 B5", _SQL + """
-    select priority, count(*) as rows, sum(amount) as revenue from data
+    select priority, count(*) as rows, cast(sum(amount) as decimal(30,2)) as revenue from data
     where status in ('F', 'P') and month in ('1996-01', '1996-02') group by 1""")
 def chart_filtered(t: Tables) -> DataFrame:
     filters = {"status": ["F", "P"], "month": ["1996-01", "1996-02"]}
     return ORDERS.dashboard(_data(t), CHARTS, filters)["by_priority"]
 
 
-@query("chart_top_rows", "B3", _SQL + "select month, sum(amount) as revenue from data group by 1 order by revenue desc, month limit 12")
+@query("chart_top_rows", "B3", _SQL + "select month, cast(sum(amount) as decimal(30,2)) as revenue from data group by 1 order by revenue desc, month limit 12")
 def chart_top_rows(t: Tables) -> DataFrame:
     """The row limit is the chart's own."""
     chart = Chart(metrics=["revenue"], columns=["month"], row_limit=12, order=[F.desc("revenue"), F.asc("month")])
     return ORDERS.query(_data(t), chart)
 
 
-@query("chart_agreement", "B6", _SQL + "select priority, count(*) as rows, sum(amount) as revenue, 2 as seen from data group by 1")
+@query("chart_agreement", "B6", _SQL + "select priority, count(*) as rows, cast(sum(amount) as decimal(30,2)) as revenue, cast(2 as bigint) as seen from data group by 1")
 def chart_agreement(t: Tables) -> DataFrame:
     """A chart and an independent query give the same rows, as bags."""
     independent = t.spark.sql(

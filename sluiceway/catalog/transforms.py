@@ -129,7 +129,7 @@ def numeric_difference(t: Tables) -> DataFrame:
 
 
 @query("rounded_amount", "T16", """
-    select o_orderkey, cast(round(cast(o_totalprice as decimal(20,2)) * cast(1.10 as decimal(3,2)), 2) as decimal(24,2)) as amount_with_vat from orders""")
+    select o_orderkey, cast(round(cast(o_totalprice as decimal(20,2)) * cast(1.10 as decimal(3,2)), 2) as decimal(23,2)) as amount_with_vat from orders""")
 def rounded_amount(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", with_rate(money("o_totalprice"), "1.10").alias("amount_with_vat"))
 
