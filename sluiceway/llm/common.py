@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sluiceway.llm)
 # so that a task's memory follows its longest text and not the number of rows.
 BATCH_BYTES = 16 << 20
 SLICE_BYTES = 2 << 20
+# What a row counts besides its text, so that a slice of many short texts is bounded as well.
+ROW_BYTES = 512
 
 ARROW_TYPES = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
@@ -52,10 +54,10 @@ def cuts(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer row stands alone."""
     start, held = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and held + size > limit:
+        if i > start and held + size + ROW_BYTES > limit:
             yield start, i
             start, held = i, 0
-        held += size
+        held += size + ROW_BYTES
     if start < len(sizes):
         yield start, len(sizes)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import fingerprints, licences, mixing, pages, personal, pieces, repetition, toxicity
+from sluiceway.llm import fingerprints, licences, mixing, near_copies, pages, personal, pieces, repeated_spans, repetition, toxicity
 from sluiceway.llm.common import open_table
 
 
@@ -21,6 +21,10 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(open_table(spark, sf_dir, "documents"))
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copy_classes(open_table(spark, sf_dir, "documents"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = open_table(spark, sf_dir, "pages")
     return pages.extract_pages(read, pages.learn_weights(read))
@@ -44,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(open_table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(open_table(spark, sf_dir, "documents"))
+
+
 def op9_order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.order_fingerprints(open_table(spark, sf_dir, "documents"))
 
@@ -55,8 +63,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_personal_data, op3_main_text, op4_licence_scan, op5_toxicity, op6_source_mix, op7_quality_rules,
-        op9_order_fingerprints, op10_sentencepiece,
+        op1_personal_data, op2_near_copies, op3_main_text, op4_licence_scan, op5_toxicity, op6_source_mix, op7_quality_rules,
+        op8_repeated_spans, op9_order_fingerprints, op10_sentencepiece,
     )
 }
 
