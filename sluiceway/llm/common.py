@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -25,6 +24,8 @@ SLICE_BYTES = 2 << 20
 # What a row counts besides its text, so that a slice of many short texts is bounded as well.
 ROW_BYTES = 512
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 ARROW_TYPES = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
@@ -88,17 +89,17 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[[Columns], Columns]],
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared scratch folder and read back; survives lost executors and cuts the lineage."""
-    path = scratch_path(df.sparkSession, f"llm-{label}")
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished stages now instead of at the next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """`df` written once to the shared scratch folder and read back; survives lost executors and cuts the lineage.
+
+    Nothing reads the shuffles of this write again, so Spark deletes their files as soon as it is done."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, f"llm-{label}")
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
