@@ -9,8 +9,9 @@ still waits for.
 Equal texts are one node from the start. Signatures are cut into BANDS bands; nodes that share a band share a bucket.
 1. Every node is compared with the smallest node of each of its buckets, and components of the links are formed.
 2. Buckets whose other members are not all in one component yet are searched again: every member outside the bucket's
-   largest component is held against all members of other components, signature to signature, in blocks of bounded
-   size; pairs whose signatures agree in LEAST_AGREEMENT of the places are compared as texts as well.
+   largest component is held against all members of other components, in blocks of bounded size, by signatures of
+   LONG places of which a byte each is kept; pairs that agree in LEAST_AGREEMENT of them are compared as texts as well
+   (a pair at similarity 0.8 agrees in fewer with a probability below 0.001).
 So no pair of a bucket is left out, and pairs within a component are not needed. A pair at similarity 0.8 shares no
 bucket with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.1e-7. Comparison is exact, on the shingles of both texts.
 
@@ -38,7 +39,8 @@ SIMILAR = 0.8
 BANDS = 30
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-LEAST_AGREEMENT = 0.68
+LONG = 512
+LEAST_AGREEMENT = 0.74
 BLOCK = 2000
 
 
@@ -88,26 +90,44 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signed(listed: list[str], words: WordHashes, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of texts and how many shingles each has, repeats included."""
+    items = [runs(words.of(t.split()), SHINGLE) for t in listed]
+    sizes = np.array([len(x) for x in items], dtype=np.int64)
+    return prob_minhash(*weighted(np.concatenate(items), np.repeat(np.arange(len(items)), sizes)), n=len(items), m=m), sizes
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, sig, bands): digest of the text, 16 bits of each place, and the keys of the bands."""
+    """(doc_id, digest, bands): digest of the text and the keys of its bands."""
 
     def start():
         words = WordHashes()
 
         def work(rows: Columns) -> Columns:
-            listed = [runs(words.of(t.split()), SHINGLE) for t in rows["text"]]
-            sizes = np.array([len(x) for x in listed], dtype=np.int64)
-            flat, owner = np.concatenate(listed), np.repeat(np.arange(len(listed)), sizes)
-            signature = prob_minhash(*weighted(flat, owner), n=len(listed))
-            short, keys = (signature >> np.uint64(48)).astype("<u2"), band_keys(signature)
+            signature, sizes = signed(rows["text"], words, COMPONENTS)
             return {
                 "doc_id": rows["doc_id"], "digest": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in rows["text"]],
-                "sig": [row.tobytes() for row in short], "bands": [row if size else [] for row, size in zip(keys, sizes)],
+                "bands": [row if size else [] for row, size in zip(band_keys(signature), sizes)],
             }
 
         return work
 
-    return map_slices(docs, start, "doc_id long,digest binary,sig binary,bands array<long>")
+    return map_slices(docs, start, "doc_id long,digest binary,bands array<long>")
+
+
+def long_signatures(involved: DataFrame) -> DataFrame:
+    """(node, sig): one byte of each of LONG places."""
+
+    def start():
+        words = WordHashes()
+
+        def work(rows: Columns) -> Columns:
+            signature, _ = signed(rows["text"], words, LONG)
+            return {"node": rows["node"], "sig": [row.tobytes() for row in (signature >> np.uint64(56)).astype(np.uint8)]}
+
+        return work
+
+    return map_slices(involved.select("node", "text"), start, "node long,sig binary")
 
 
 # --- verification ------------------------------------------------------------------------------------------------------
@@ -176,22 +196,23 @@ def cross_pairs(node: np.ndarray, root: np.ndarray, sig: np.ndarray, least: int)
     return a, b
 
 
-def second_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def second_pairs(buckets: DataFrame, roots: DataFrame, involved: DataFrame) -> DataFrame:
     """Candidate pairs among the members of a bucket other than its smallest, where they are not one component."""
     rows = buckets.where("node <> pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = stored(rows.join(open_keys, "key").select("key", "node", "root", "blocks"), "open-buckets")
+    long = stored(long_signatures(involved.join(members.select("node").distinct(), "node", "left_semi")), "long-signatures")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = members.join(nodes.select("node", "sig"), "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = members.join(long, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "sig")
     target = arrow_schema("a long,b long")
-    least = int(np.ceil(LEAST_AGREEMENT * COMPONENTS))
+    least = int(np.ceil(LEAST_AGREEMENT * LONG))
 
     def run(batches):
         for group in grouped(batches, "part"):
             node, root = (group.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             node, once = np.unique(node, return_index=True)
-            sig = np.frombuffer(b"".join(group.column(3).to_pylist()), "<u2").reshape(-1, COMPONENTS)
+            sig = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(-1, LONG)
             a, b = cross_pairs(node, root[once], sig[once], least)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
@@ -210,10 +231,10 @@ def node_id(doc_id: Column, digest: Column) -> Column:
 def near_copy_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest) of every row, and (digest, node, root) of every different text."""
     read = texts(docs)
-    signed = stored(signatures(read), "signatures")
+    rows = stored(signatures(read), "signatures")
     nodes = stored(
-        signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-        .select("digest", node_id(F.col("id"), F.col("digest")).alias("node"), "sig", "bands"), "nodes")
+        rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+        .select("digest", node_id(F.col("id"), F.col("digest")).alias("node"), "bands"), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
     buckets = stored(spread.join(shared, "key"), "buckets")
@@ -224,11 +245,11 @@ def near_copy_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     first = stored(verified(buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), involved), "star-links")
     roots = components(first)
-    second = stored(verified(stored(second_pairs(buckets, roots, nodes), "second-pairs"), involved), "second-links")
+    second = stored(verified(stored(second_pairs(buckets, roots, involved), "second-pairs"), involved), "second-links")
     if not second.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     classed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-    return signed.select("doc_id", "digest"), classed
+    return rows.select("doc_id", "digest"), classed
 
 
 def near_copy_classes(docs: DataFrame) -> DataFrame:
