@@ -39,8 +39,8 @@ SIMILAR = 0.8
 BANDS = 30
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-LONG = 512
-LEAST_AGREEMENT = 0.74
+LONG = 768
+LEAST_AGREEMENT = 0.75
 BLOCK = 2000
 
 
@@ -182,38 +182,55 @@ def verified(pairs: DataFrame, involved: DataFrame) -> DataFrame:
 
 # --- the second search ---------------------------------------------------------------------------------------------------
 
-def cross_pairs(node: np.ndarray, root: np.ndarray, sig: np.ndarray, least: int) -> tuple[list[int], list[int]]:
-    """Pairs of different components whose signatures agree in at least `least` places, one of each outside the largest."""
-    roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
+def cross_pairs(members: dict[str, np.ndarray], least: int) -> tuple[list[int], list[int]]:
+    """Pairs of different components whose signatures agree in at least `least` places, one of each outside the largest.
+
+    A pair that shares several buckets belongs to the one of its first common band, and in a part made of two blocks a
+    pair has one member of each, so every pair comes up once."""
+    node, sig, bands, block = (members[k] for k in ("node", "sig", "bands", "block"))
+    _, at, counts = np.unique(members["root"], return_inverse=True, return_counts=True)
+    outside, apart = at != counts.argmax(), members["crossed"]
     a: list[int] = []
     b: list[int] = []
-    outside = at != counts.argmax()
     for i in np.flatnonzero(outside):
-        others = np.flatnonzero((at != at[i]) & (~outside | (node > node[i])))
+        may = (at != at[i]) & (~outside | (node > node[i]))
+        others = np.flatnonzero(may & (block != block[i]) if apart else may)
         hits = others[(sig[others] == sig[i]).sum(1) >= least]
-        a += [int(max(node[i], node[j])) for j in hits]
-        b += [int(min(node[i], node[j])) for j in hits]
+        common = bands[hits] == bands[i]
+        first = bands[i][common.argmax(1)] == members["key"]
+        for j in hits[first | ~common.any(1)]:
+            a.append(int(max(node[i], node[j])))
+            b.append(int(min(node[i], node[j])))
     return a, b
 
 
-def second_pairs(buckets: DataFrame, roots: DataFrame, involved: DataFrame) -> DataFrame:
+def second_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
     """Candidate pairs among the members of a bucket other than its smallest, where they are not one component."""
     rows = buckets.where("node <> pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = stored(rows.join(open_keys, "key").select("key", "node", "root", "blocks"), "open-buckets")
-    long = stored(long_signatures(involved.join(members.select("node").distinct(), "node", "left_semi")), "long-signatures")
+    wanted = members.select("node").distinct()
+    known = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("bands", "digest").alias("bands"))
+    long = stored(long_signatures(involved.join(wanted, "node", "left_semi")).join(known, "node"), "long-signatures")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = members.join(long, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "sig")
+    keyed = spread.select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "sig", "bands", "key", "block",
+        (F.col("block") != F.col("other")).alias("crossed"))
     target = arrow_schema("a long,b long")
     least = int(np.ceil(LEAST_AGREEMENT * LONG))
 
     def run(batches):
         for group in grouped(batches, "part"):
-            node, root = (group.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            node, once = np.unique(node, return_index=True)
-            sig = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint8).reshape(-1, LONG)
-            a, b = cross_pairs(node, root[once], sig[once], least)
+            column = {name: group.column(i) for i, name in enumerate(group.schema.names)}
+            node, once = np.unique(column["node"].to_numpy(zero_copy_only=False), return_index=True)
+            members = {
+                "node": node, "root": column["root"].to_numpy(zero_copy_only=False)[once], "block": column["block"].to_numpy(zero_copy_only=False)[once],
+                "sig": np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint8).reshape(-1, LONG)[once],
+                "bands": column["bands"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)[once],
+                "key": column["key"][0].as_py(), "crossed": column["crossed"][0].as_py(),
+            }
+            a, b = cross_pairs(members, least)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=target)
 
@@ -245,7 +262,7 @@ def near_copy_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     first = stored(verified(buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), involved), "star-links")
     roots = components(first)
-    second = stored(verified(stored(second_pairs(buckets, roots, involved), "second-pairs"), involved), "second-links")
+    second = stored(verified(stored(second_pairs(buckets, roots, nodes, involved), "second-pairs"), involved), "second-links")
     if not second.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     classed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
