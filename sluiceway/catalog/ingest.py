@@ -35,12 +35,19 @@ def _store(t: Tables, label: str) -> TableStore:
 # ---- files and semi-structured rows
 
 @query("csv_landing", "S7", """
-    select cast(p_partkey as varchar) as p_partkey, '  ' || p_name as p_name, p_brand, cast(p_size as varchar) as p_size from part""")
+    select cast(p_partkey as varchar) as p_partkey, '  ' || p_name || ' "x", ' || chr(10) || 'y' as p_name, p_brand, cast(p_size as varchar) as p_size from part""")
 def csv_landing(t: Tables) -> DataFrame:
-    """Everything lands as text, untrimmed."""
+    """Everything lands as text, untrimmed: doubled quotes, a comma and a line break in a field, and files whose headers
+    differ in their order. The files are plain text, not made by a CSV writer."""
     folder = scratch_path(t.spark, "csv")
-    rows = t.part.select("p_partkey", F.concat(F.lit("  "), "p_name").alias("p_name"), "p_brand", "p_size")
-    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder)
+    name = F.concat(F.lit("  "), "p_name", F.lit(' "x", \ny'))
+    fields = {"p_partkey": F.col("p_partkey"), "p_name": F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')), "p_brand": F.col("p_brand"), "p_size": F.col("p_size")}
+    for odd, header in enumerate((list(fields), list(fields)[::-1])):
+        line = F.concat_ws(",", *[fields[c].cast("string") for c in header])
+        # The first row of every partition, and so of every file, comes after the header.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        rows = t.part.where(F.col("p_partkey") % 2 == odd)
+        rows.select(F.when(first, F.concat(F.lit(",".join(header) + "\n"), line)).otherwise(line).alias("value")).write.mode("append").text(folder)
     return read_csv(t.spark, folder)
 
 

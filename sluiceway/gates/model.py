@@ -306,7 +306,7 @@ def row_verdict(gate: Gate, rejected: int, total: int, quarantine: Quarantine |
 def crashed(gate: Gate, exc: Exception) -> GateResult:
     return GateResult(
         gate.kind, "failed", getattr(gate, "table", None),
-        detail=f"the gate itself raised {type(exc).__name__}: {exc}"[:1500],
+        detail=f"the gate itself raised {type(exc).__name__}: {exc}",
     )
 
 

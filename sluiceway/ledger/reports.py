@@ -39,7 +39,7 @@ def status_table(runs: DataFrame, stage_runs: DataFrame, gate_runs: DataFrame, k
 
 
 def audit_timeline(run_id: int | None, stage_runs: DataFrame, gate_runs: DataFrame, events: DataFrame) -> DataFrame:
-    """Stages, gates and events of a run (of all runs when None) as one list of moments."""
+    """Stages, gates and events of a run (of all runs when None) as one list of moments in order."""
     stages = stage_runs if run_id is None else stage_runs.where(F.col("run_id") == run_id)
     noted = events.where(F.col("run_id").isNotNull()) if run_id is None else events.where(F.col("run_id") == run_id)
     owners = stages.select(F.col("id").alias("stage_run_id"), "run_id", "started_at")
@@ -48,7 +48,7 @@ def audit_timeline(run_id: int | None, stage_runs: DataFrame, gate_runs: DataFra
     b = gate_runs.join(owners, "stage_run_id").select(
         "run_id", "ts", F.lit("gate").alias("source"), F.concat_ws(" ", "gate_type", "status", "detail").alias("message"))
     c = noted.select("run_id", "ts", F.lit("event").alias("source"), F.concat_ws(" ", "kind", "message").alias("message"))
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).orderBy("run_id", "ts", "source", "message")
 
 
 def gate_summary(stage_runs: DataFrame, gate_runs: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def send_outcomes(sends: DataFrame, ends: DataFrame, key: str, segment: str, out
         F.lit("outcome").alias("measure"), F.col(outcome).cast("string").alias("name"), "n")
     c = unfinished(sends, ends, key).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("unfinished").alias("measure"), F.lit("all").alias("name"), "n")
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).orderBy("run_id", "ts", "source", "message")
 
 
 def newest_unmatched(failures: DataFrame, limit: int = 20) -> DataFrame:

@@ -91,20 +91,19 @@ class Ledger:
 
         The state comes last: a stage that reads as finished has its gates on record.
         """
-        stage = self._open[stage_id]
-        where, gates, events = f"{stage['pipeline']}/{stage['stage']}", [], []
+        stage, gates, events = self._open[stage_id], [], []
+
+        def note(good: bool, kind: str, message: str, **data) -> None:
+            events.append(self._event(stage["run_id"], "info" if good else "error", kind, message, {"stage_run_id": stage_id, **data}))
+
         for r in results:
-            seq, at = self._next(), _now()
+            seq = self._next()
             gates.append({
-                "id": seq, "stage_run_id": stage_id, "gate_type": r.gate_type, "status": r.status, "seq": seq, "ts": at,
-                "rows_checked": r.rows_checked, "rows_rejected": r.rows_rejected, "detail": r.detail,
+                "id": seq, "seq": seq, "ts": _now(), "stage_run_id": stage_id, "gate_type": r.gate_type, "status": r.status, "detail": r.detail,
+                "rows_checked": r.rows_checked, "rows_rejected": r.rows_rejected,
             })
-            data = {"stage_run_id": stage_id, "gate_type": r.gate_type}
-            events.append(self._event(
-                stage["run_id"], "info" if r.passed else "error", f"gate.{r.status}", f"{where} {r.gate_type}: {r.detail or 'ok'}", data
-            ))
-        level = "info" if status == "passed" else "error"
-        events.append(self._event(stage["run_id"], level, f"stage.{status}", f"{where} {message}", {"stage_run_id": stage_id}))
+            note(r.passed, f"gate.{r.status}", f"{r.gate_type} in {stage['stage']} of {stage['pipeline']}" + (f", {r.detail}" if r.detail else ""), gate_type=r.gate_type)
+        note(status == "passed", f"stage.{status}", f"{stage['stage']} of {stage['pipeline']}: {message}")
         if gates:
             self._append("gate_runs", *gates)
         self._append("events", *events)
@@ -116,7 +115,7 @@ class Ledger:
     def _event(self, run_id, level: str, kind: str, message: str, data: Mapping | None, actor: str = "engine") -> dict:
         seq = self._next()
         return {
-            "id": seq, "run_id": run_id, "ts": _now(), "level": level, "kind": kind, "actor": actor, "message": message[:1500],
+            "id": seq, "run_id": run_id, "ts": _now(), "level": level, "kind": kind, "actor": actor, "message": message,
             "data_json": json.dumps(data) if data else None, "seq": seq,
         }
 

@@ -86,7 +86,9 @@ class Dataset:
         result = rows.groupBy(*groups).agg(*measures) if groups else rows.agg(*measures)
         if chart.row_limit is None:
             return result
-        return (result.orderBy(*chart.order) if chart.order else result).limit(chart.row_limit)
+        if not chart.order:
+            raise ChartError("a row limit needs an order, or it would keep arbitrary rows")
+        return result.orderBy(*chart.order).limit(chart.row_limit)
 
     def dashboard(
         self, table: DataFrame, charts: Mapping[str, Chart], filters: Mapping[str, Sequence] | None = None,

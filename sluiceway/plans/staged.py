@@ -16,6 +16,8 @@ from sluiceway.session import time_limit
 from sluiceway.sources.jdbc import Incremental, load_table
 
 LIMITS = ("extract", "transform", "gate")
+# Seconds for a part that has no limit of its own while the other part of its stage has one.
+DEFAULT_LIMITS = {"extract": 600, "transform": 300, "gate": 120}
 Model = Callable[[Mapping[str, DataFrame]], DataFrame] | str
 
 
@@ -115,8 +117,8 @@ def run_flow(
         stage_id = ledger.start_stage(run_id, flow.name, stage.name)
         try:
             # A model is only worked out while its gates run, so a later stage shares one limit for both.
-            limits = [flow.limits.get(k) for k in (("extract", "gate") if stage is land else ("transform", "gate"))]
-            limit = None if None in limits else sum(limits)
+            parts = ("extract", "gate") if stage is land else ("transform", "gate")
+            limit = sum(flow.limits.get(k, DEFAULT_LIMITS[k]) for k in parts) if any(k in flow.limits for k in parts) else None
             with time_limit(spark, limit, f"{flow.name}/{stage.name}"):
                 if stage is land:
                     built = {t: read(spark) for t, read in flow.sources.items()}

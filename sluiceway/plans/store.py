@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+from functools import reduce
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators.merge import merge_changes
+from sluiceway.operators.merge import LOAD, merge_changes
 from sluiceway.records import append_records, read_records
 
 PUBLISHED = (
@@ -24,7 +26,8 @@ PUBLISHED = (
     "deltas array<string>, delta_rows bigint, keys array<string>, cursor string, high string, seq bigint"
 )
 
-# Deltas are folded into the base when they pass this share of it, or this many directories.
+# Deltas are folded into the base when they pass this share of it, or this many directories. What a table holds does
+# not depend on that: the newest row by the cursor wins in a delta, in the base and between both.
 FOLD_SHARE = 0.1
 FOLD_DELTAS = 50
 
@@ -53,6 +56,10 @@ class Version:
         return T.StructType.fromJson(json.loads(self.schema))
 
 
+def replace_nullable(field: T.StructField) -> T.StructField:
+    return T.StructField(field.name, field.dataType, True)
+
+
 def landing_namespace(flow_name: str, override: str | None = None) -> str:
     return override or f"{flow_name}_landing"
 
@@ -64,8 +71,9 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def path_for(self, namespace: str, table: str, version: str) -> str:
-        return f"{self.root}/{namespace}/{table}/v={version}"
+    def path_for(self, namespace: str, table: str, version: str, kind: str = "v") -> str:
+        """A folder of its own for every attempt to write, so that nothing published is ever written to."""
+        return f"{self.root}/{namespace}/{table}/{kind}={version}-{uuid.uuid4().hex[:12]}"
 
     # ---- reading
 
@@ -95,20 +103,33 @@ class TableStore:
             base = self.spark.read.schema(schema).parquet(version.path)
         if not version.deltas:
             return base
-        delta = self.spark.read.schema(schema).parquet(*version.deltas)
-        return merge_changes(base, delta, version.keys, version.cursor)
+        loads = [self.spark.read.schema(schema).parquet(path).withColumn(LOAD, F.lit(i + 1)) for i, path in enumerate(version.deltas)]
+        return merge_changes(base, reduce(DataFrame.unionByName, loads), version.keys, version.cursor)
 
     # ---- writing
 
-    def write(self, path: str, df: DataFrame, cursor: str | None = None) -> tuple[int, str | None]:
-        """Write one directory; a repeated write replaces it. Returns its rows and highest cursor value."""
+    def write(self, path: str, df: DataFrame, keys: Sequence[str] = (), cursor: str | None = None) -> tuple[int, str | None]:
+        """Write one new directory. Returns its rows and highest cursor value; a NULL key or cursor is refused by name."""
         seen = Observation()
         measures = [F.count(F.lit(1)).alias("n")]
+        needed = [*keys, *([cursor] if cursor else [])]
         if cursor:
             measures.append(F.max(cursor).cast("string").alias("high"))
-        df.observe(seen, *measures).write.mode("overwrite").parquet(path)
+        measures += [F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(needed)]
+        df.observe(seen, *measures).write.parquet(path)
+        missing = {c: seen.get[f"null_{i}"] for i, c in enumerate(needed) if seen.get[f"null_{i}"]}
+        if missing:
+            raise ValueError(f"rows without a value cannot be merged: {missing} (column: rows) in {path}")
         return seen.get["n"], seen.get.get("high")
 
+    def higher(self, schema: T.StructType, cursor: str, *values: str | None) -> str | None:
+        """The greatest of cursor values kept as text, compared in the cursor's type."""
+        kind = schema[cursor].dataType
+        known = [F.lit(v).cast(kind) for v in values if v is not None]
+        if len(known) < 2:
+            return next((v for v in values if v is not None), None)
+        return self.spark.range(1).select(F.greatest(*known).cast("string").alias("high")).first()["high"]
+
     def publish(self, versions: Sequence[Version]) -> None:
         """Make versions current, all of them by one record file."""
         seq = time.time_ns()
@@ -121,7 +142,7 @@ class TableStore:
     ) -> Version:
         """Write a full table version without publishing it."""
         path = self.path_for(namespace, table, version)
-        rows, high = self.write(path, df, cursor)
+        rows, high = self.write(path, df, keys, cursor)
         return Version(namespace, table, version, path, df.schema.json(), rows, keys=tuple(keys), cursor=cursor, high=high)
 
     def replace(self, namespace: str, tables: Mapping[str, DataFrame], version: str) -> dict[str, int]:
@@ -138,14 +159,22 @@ class TableStore:
         """
         if not old.keys or old.cursor is None:
             raise LookupError(f"{old.namespace}.{old.table} was not published with keys and a cursor")
-        path = f"{self.root}/{old.namespace}/{old.table}/d={version}"
-        rows, high = self.write(path, delta.select(*old.struct.names), old.cursor)
+        gone = [c for c in old.struct.names if c not in delta.columns]
+        if gone:
+            raise ValueError(f"{old.namespace}.{old.table}: the source no longer has column(s) {gone}; load it in full")
+        # Columns the source has gained are landed; rows from before have NULL there.
+        gained = [replace_nullable(delta.schema[c]) for c in delta.columns if c not in old.struct.names]
+        schema = T.StructType([*old.struct.fields, *gained])
+        path = self.path_for(old.namespace, old.table, version, "d")
+        rows, high = self.write(path, delta.select(*schema.names), old.keys, old.cursor)
         if rows == 0:
             return old
-        deltas = old.deltas if path in old.deltas else (*old.deltas, path)
-        new = replace(old, version=version, deltas=deltas, delta_rows=old.delta_rows + rows, high=high or old.high)
+        deltas = (*old.deltas, path)
+        new = replace(
+            old, version=version, schema=schema.json(), deltas=deltas, delta_rows=old.delta_rows + rows, high=self.higher(schema, old.cursor, old.high, high))
         if new.delta_rows > FOLD_SHARE * old.rows or len(deltas) > FOLD_DELTAS:
-            new = self.stage(old.namespace, old.table, self.read_version(new), version, old.keys, old.cursor)
+            high = new.high
+            new = replace(self.stage(old.namespace, old.table, self.read_version(new), version, old.keys, old.cursor), high=high)
         self.publish([new])
         return replace(new, merged=rows)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,18 +23,32 @@ def csv_files(spark: SparkSession, pattern: str) -> dict[str, str]:
     return {p.rsplit("/", 1)[-1].rsplit(".", 1)[0]: p for p in sorted(paths)}
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names: the first row of the file, read without inferring anything from the data."""
-    return spark.read.option("header", True).csv(path).columns
+# Quotes within a quoted field are doubled and a quoted field may hold line breaks, as RFC 4180 has it.
+DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header. Only first lines reach the driver, one per file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(tuple(next(csv.reader([row["head"].removeprefix("\ufeff")]))), []).append(row["file"])
+    return found
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A file, or a folder of files with one header, as one table: all columns text, untrimmed.
+    """A file, or a folder of files, as one table: all columns text, untrimmed, matched by name over the files' headers.
 
-    An empty field and a missing trailing field both read as NULL.
+    An empty field and a missing trailing field both read as NULL, and so does a column that a file does not have.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, path)])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    tables = []
+    for header, files in csv_headers(spark, path).items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        tables.append(spark.read.options(**DIALECT).schema(schema).csv(files))
+    if not tables:
+        raise FileNotFoundError(f"no rows and no header in {path}")
+    return reduce(lambda one, more: one.unionByName(more, allowMissingColumns=True), tables)
 
 
 def csv_tables(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
@@ -41,7 +58,7 @@ def csv_tables(spark: SparkSession, pattern: str) -> dict[str, DataFrame]:
 
 def read_seed(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A lookup file with declared column types; a value of another type raises."""
-    return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
+    return spark.read.options(**DIALECT, enforceSchema="false").option("mode", "FAILFAST").schema(schema).csv(path)
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:

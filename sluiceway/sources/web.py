@@ -8,9 +8,11 @@ from a request to a decoded JSON body, which tests replace by captured pages.
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 Transport = Callable[[str, Mapping[str, str], dict | None], dict | list]
 
 
-def http_json(url: str, headers: Mapping[str, str], body: dict | None = None) -> dict | list:
+def http_json(url: str, headers: Mapping[str, str], body: dict | None = None) -> Reply:
     data = json.dumps(body).encode() if body is not None else None
     request = urllib.request.Request(url, data=data, headers={"Content-Type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=60) as response:
-        return json.load(response)
+        return Reply(json.load(response), dict(response.headers))
 
 
 class _Slice(InputPartition):
@@ -31,6 +33,33 @@ class _Slice(InputPartition):
         self.number = number
 
 
+class Reply(NamedTuple):
+    """What a transport may return instead of the body alone."""
+
+    body: dict | list
+    headers: Mapping[str, str]
+
+
+PAGINATORS = ("single", "page_number", "offset", "json_link", "header_link", "cursor")
+NEXT_LINK = re.compile(r"""<([^>]*)>[^,]*;\s*rel="?next"?""", re.I)
+
+
+def _reply(answer) -> Reply:
+    return answer if isinstance(answer, Reply) else Reply(answer, {})
+
+
+def _next_link(headers: Mapping[str, str]) -> str | None:
+    listed = next((v for k, v in headers.items() if k.lower() == "link"), "")
+    found = NEXT_LINK.search(listed)
+    return found[1] if found else None
+
+
+def _at(body: Mapping, path: str):
+    for part in path.split("."):
+        body = body.get(part) if isinstance(body, Mapping) else None
+    return body
+
+
 def _records(body: dict | list, path: str | None) -> list:
     """The list of records in a response: under `path`, the body itself, or its only list."""
     if path:
@@ -44,14 +73,14 @@ def _records(body: dict | list, path: str | None) -> list:
 
 
 class RestReader(DataSourceReader):
-    """Pages of one endpoint. `page_number` splits pages over tasks; `json_link` follows links in one task."""
+    """Pages of one endpoint. `page_number` splits pages over tasks; links, cursors and offsets are followed in one task."""
 
     def __init__(self, options: Mapping[str, str], transport: Transport):
         self.options, self.transport = dict(options), transport
         self.paginator = self.options.get("paginator", "single")
-        if self.paginator not in ("single", "page_number", "offset", "json_link"):
+        if self.paginator not in PAGINATORS:
             raise ValueError(f"unknown paginator {self.paginator!r}")
-        self.slices = int(self.options.get("slices", "1")) if self.paginator in ("page_number", "offset") else 1
+        self.slices = int(self.options.get("slices", "1")) if self.paginator == "page_number" else 1
 
     def partitions(self):
         return [_Slice(i) for i in range(self.slices)]
@@ -65,28 +94,43 @@ class RestReader(DataSourceReader):
         return base + ("?" + urllib.parse.urlencode(extra) if extra else "")
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        path, size = self.options.get("records"), int(self.options.get("page_size", "100"))
-        if self.paginator in ("single", "json_link"):
-            url = self._url()
-            while url:
-                body = self._get(url)
-                for record in _records(body, path):
-                    yield (json.dumps(record, ensure_ascii=False),)
-                linked = self.paginator == "json_link" and isinstance(body, dict)
-                url = body.get(self.options.get("next", "next")) if linked else None
-            return
-        page = partition.number
-        while True:
-            if self.paginator == "offset":
-                url = self._url(offset=page * size, limit=size)
-            else:
-                url = self._url(page=page + int(self.options.get("first_page", "1")), per_page=size)
-            records = _records(self._get(url), path)
-            for record in records:
+        path = self.options.get("records")
+        if self.paginator in ("page_number", "offset"):
+            bodies = self._numbered(partition.number, path)
+        else:
+            bodies = self._linked()
+        for body in bodies:
+            for record in _records(body, path):
                 yield (json.dumps(record, ensure_ascii=False),)
-            if len(records) < size:
+
+    def _numbered(self, number: int, path: str | None) -> Iterator:
+        """Pages until an empty one: a server may return fewer records than were asked for. An offset advances by what came."""
+        size, first = int(self.options.get("page_size", "100")), int(self.options.get("first_page", "1"))
+        offset, page = 0, first + number
+        while True:
+            url = self._url(offset=offset, limit=size) if self.paginator == "offset" else self._url(page=page, per_page=size)
+            body = _reply(self._get(url)).body
+            received = len(_records(body, path))
+            if not received:
                 return
-            page += self.slices
+            yield body
+            offset, page = offset + received, page + self.slices
+
+    def _linked(self) -> Iterator:
+        """Pages that name the next one: by a link in the body, a Link header, or a cursor to ask with."""
+        url, seen = self._url(), set()
+        while url and url not in seen:
+            seen.add(url)
+            reply = _reply(self._get(url))
+            yield reply.body
+            url = None
+            if self.paginator == "header_link":
+                url = _next_link(reply.headers)
+            elif isinstance(reply.body, dict) and self.paginator == "json_link":
+                url = _at(reply.body, self.options.get("next", "next"))
+            elif isinstance(reply.body, dict) and self.paginator == "cursor":
+                cursor = _at(reply.body, self.options.get("cursor", "next_cursor"))
+                url = self._url(**{self.options.get("cursor_param", "cursor"): cursor}) if cursor else None
 
 
 class SearchReader(DataSourceReader):
@@ -105,11 +149,11 @@ class SearchReader(DataSourceReader):
         query = {"size": int(self.options.get("page_size", "1000")), "query": {"match_all": {}}, "sort": ["_doc"]}
         if self.slices > 1:
             query["slice"] = {"id": partition.number, "max": self.slices}
-        body = self.transport(f"{host}/{index}/_search?scroll=5m", headers, query)
+        body = _reply(self.transport(f"{host}/{index}/_search?scroll=5m", headers, query)).body
         while body["hits"]["hits"]:
             for hit in body["hits"]["hits"]:
                 yield (json.dumps({**hit["_source"], "_id": hit["_id"]}, ensure_ascii=False),)
-            body = self.transport(f"{host}/_search/scroll", headers, {"scroll": "5m", "scroll_id": body["_scroll_id"]})
+            body = _reply(self.transport(f"{host}/_search/scroll", headers, {"scroll": "5m", "scroll_id": body["_scroll_id"]})).body
 
 
 def _source(short_name: str, reader: type, transport: Transport) -> type[DataSource]:

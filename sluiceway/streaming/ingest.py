@@ -1,8 +1,10 @@
 """Arriving files through gates into a merged landing table.
 
 The stream's checkpoint remembers which files were read, so no cursor has to be stored. Each
-micro-batch is gated and merged by the functions of the scheduled path; everything it writes is
-keyed by its batch number, so a batch that is replayed after a failure replaces its own output.
+micro-batch is gated and merged by the functions of the scheduled path. A published version carries the
+checkpoint's own id and the batch number: a batch that was published and is replayed from the same
+checkpoint is skipped, and everything a new checkpoint reads is merged, which changes nothing for
+rows that have landed before. A new checkpoint quarantines what it reads again once more.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ def file_stream(
     return reader.load(directory)
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the checkpoint when it was made; it stays the same when the stream is started again from it."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
 def ingest(
     stream: DataFrame,
     store: TableStore,
@@ -46,9 +53,10 @@ def ingest(
     """Start a run over everything that has arrived; it stops by itself when that is done."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        version = f"batch-{batch_id:09d}"
+        origin = f"batch-{checkpoint_id(batch.sparkSession, checkpoint)}-"
+        version = f"{origin}{batch_id:09d}"
         landed = store.current(namespace, table)
-        if landed is not None and landed.version >= version:
+        if landed is not None and landed.version.startswith(origin) and landed.version >= version:
             return
         outcome = run_gates({table: batch}, gates, quarantine, run_id=batch_id)
         for name, bad in outcome.rejected.items():

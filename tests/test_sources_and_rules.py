@@ -1,5 +1,7 @@
 import re
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,41 @@ def test_charts_ask_only_what_the_dataset_offers(table, chart, filters):
 def test_metric_expressions_are_checked(expression):
     with pytest.raises(ChartError):
         Dataset(SALES.columns, {"m": expression})
+
+
+def _server(total, cap, style):
+    """A server that returns at most `cap` records a page, whatever is asked for."""
+    from urllib.parse import parse_qs, urlparse
+
+    from sluiceway.sources.web import Reply
+
+    def transport(url, headers, body):
+        asked = {k: int(v[0]) for k, v in parse_qs(urlparse(url).query).items()}
+        start = asked["offset"] if "offset" in asked else (asked["page"] - 1) * cap if "page" in asked else asked.get("cursor", asked.get("after", 0))
+        found, end = [{"n": i} for i in range(start, min(total, start + cap))], start + cap
+        more = end < total
+        if style == "header_link":
+            return Reply({"items": found}, {"Link": f'<http://h/x?after=0>; rel="first", <http://h/x?after={end}>; rel="next"'} if more else {})
+        return {"items": found, "meta": {"next_cursor": end if more else None}, "next": f"http://h/x?after={end}" if more else None}
+
+    return transport
+
+
+@pytest.mark.parametrize("style", ["page_number", "offset", "json_link", "header_link", "cursor"])
+def test_a_server_with_a_page_cap_is_read_whole(style):
+    from sluiceway.sources.web import RestReader
+
+    options = {"base_url": "http://h", "endpoint": "x", "records": "items", "paginator": style, "cursor": "meta.next_cursor", "slices": "3"}
+    reader = RestReader(options, _server(120, 50, style))
+    got = [json.loads(r[0])["n"] for part in reader.partitions() for r in reader.read(part)]
+    assert sorted(got) == list(range(120))
+
+
+def test_csv_dialect(spark, tmp_path):
+    from sluiceway.sources.files import read_csv
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.csv").write_text('a,b\n"say ""hi"", ok","two\nlines"\n1,2\n')
+    (tmp_path / "in/2.csv").write_text("b,a\nB,A\n")
+    got = {(r.a, r.b) for r in read_csv(spark, str(tmp_path / "in")).collect()}
+    assert got == {('say "hi", ok', "two\nlines"), ("1", "2"), ("A", "B")}

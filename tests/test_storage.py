@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import os
 
 import pytest
@@ -398,9 +399,56 @@ def test_stream_replays_change_nothing(spark, store, table, tmp_path):
     assert rows(store.read("s", "t"), "id", "v") == expected
     assert rows(store.read_rejected("s", "t"), "id", "run_id") == [(2, 0)]
     go("c1")
+    assert rows(store.read_rejected("s", "t"), "id") == [(2,)]
     go("lost-checkpoint")
     assert rows(store.read("s", "t"), "id", "v") == expected
-    assert rows(store.read_rejected("s", "t"), "id") == [(2,)]
+    # Files that arrive after a new checkpoint are read, although its batches are numbered from 0 again.
+    table(COLUMNS, (5, at(2), "new")).coalesce(1).write.mode("append").parquet(folder)
+    go("lost-checkpoint")
+    go("another")
+    assert rows(store.read("s", "t"), "id", "v") == [*expected, (5, "new")]
+
+
+def test_loading_a_version_again_changes_nothing(spark, store, table):
+    base = table(COLUMNS, (1, at(1), "a"), (2, at(2), "b"))
+    store.publish([store.stage("n", "t", base, "1", ["id"], "at")])
+    held = store.read("n", "t")
+    for _ in range(2):
+        store.merge(store.current("n", "t"), table(COLUMNS, (2, at(3), "b2"), (3, at(1), "c")), "2")
+        assert rows(store.read("n", "t"), "id", "v") == [(1, "a"), (2, "b2"), (3, "c")]
+    store.replace("n", {"u": base}, "1")
+    open_reader = store.read("n", "u")
+    store.replace("n", {"u": table(COLUMNS, (9, at(1), "z"))}, "1")
+    assert rows(open_reader, "id") == [(1,), (2,)] and rows(store.read("n", "u"), "id") == [(9,)] and rows(held, "id") == [(1,), (2,)]
+
+
+def test_late_rows_with_and_without_folding(spark, tmp_path, table, monkeypatch):
+    from sluiceway.plans import store as module
+
+    r, answers = random.Random(6), []
+    loads = [[(r.randint(1, 12), at(r.randint(1, 9)), f"{n}-{k}") for k in range(6)] for n in range(4)]
+    for share, name in ((0.0, "folded"), (1e9, "kept")):
+        monkeypatch.setattr(module, "FOLD_SHARE", share)
+        own = TableStore(spark, str(tmp_path / name))
+        own.publish([own.stage("n", "t", table(COLUMNS, (1, at(5), "base"), (500, at(3), "late")), "0", ["id"], "at")])
+        own.merge(own.current("n", "t"), table(COLUMNS, (500, at(1), "older")), "early")
+        assert own.current("n", "t").high.startswith(str(at(5))[:10])
+        for n, load in enumerate(loads):
+            newest = {i: (i, when, v) for i, when, v in sorted(load, key=lambda x: (x[1], x[2]))}
+            own.merge(own.current("n", "t"), table(COLUMNS, *newest.values()), str(n))
+        answers.append(rows(own.read("n", "t")))
+    assert answers[0] == answers[1] and (500, "late") in [(a[0], a[2]) for a in answers[0]]
+
+
+def test_merges_refuse_or_land_what_they_used_to_drop(spark, store, table):
+    store.publish([store.stage("n", "t", table(COLUMNS, (1, at(1), "a")), "1", ["id"], "at")])
+    for row in ((None, at(2), "x"), (2, None, "x")):
+        with pytest.raises(ValueError, match="without a value"):
+            store.merge(store.current("n", "t"), table(COLUMNS, row), "2")
+    with pytest.raises(ValueError, match=r"no longer has column\(s\) \['v'\]"):
+        store.merge(store.current("n", "t"), table(COLUMNS, (2, at(2), "x")).drop("v"), "2")
+    store.merge(store.current("n", "t"), table({**COLUMNS, "w": "int"}, (2, at(2), "b", 7)), "2")
+    assert rows(store.read("n", "t"), "id", "v", "w") == [(1, "a", None), (2, "b", 7)]
 
 
 def test_a_refused_batch_leaves_landing_alone(spark, store, table, tmp_path):
