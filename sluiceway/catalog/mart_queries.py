@@ -22,7 +22,7 @@ _PLAIN = {
     "partner_version": "select user_id as id, event_type as name, event_id % 4 as company_id, ts as write_date from {events}",
     "order_line": "select l_partkey as id, l_orderkey as order_id, l_suppkey as product_id, cast(l_extendedprice as decimal(20,2)) as price_subtotal from {lineitem}",
     "stg_orders": """select o_orderkey as id, o_custkey as partner_id, cast(o_totalprice as decimal(12,2)) as amount_total,
-        o_custkey % 25 as currency_id, o_orderdate as write_date from {orders} where o_orderstatus = 'O'""",
+        o_custkey % 25 as currency_id, o_orderdate as write_date from {orders} where o_orderstatus <> 'F'""",
     "rates": """select o_custkey % 25 as currency_id, cast(o_orderdate as date) as rate_date,
         case when o_orderpriority = '5-LOW' then null else cast(o_totalprice as decimal(12,2)) end as rate from {orders} where o_orderstatus = 'F'""",
     "sale_order": "select o_orderkey as id, o_orderdate as write_date, cast(o_totalprice as decimal(20,2)) as amount_total from {orders}",
@@ -38,10 +38,10 @@ _PLAIN = {
     "channel_company": """select 'ch' || s_suppkey as ChannelId, 'co' || (s_nationkey % 3) as CompanyId,
         case when s_suppkey % 5 = 0 then true when s_suppkey % 5 = 1 then null else false end as IsDeleted from {supplier}""",
     "video": """select case when l_partkey % 31 = 0 then ' ' else ' v' || l_partkey end as YoutubeVideoId, 'yt' || l_suppkey as YoutubeChannelId,
-        'f' || (l_orderkey % 700) as Code, case when l_linenumber = 7 then null else l_shipdate end as PublishedAt, ' t' || l_orderkey as Title from {lineitem}""",
+        'f' || (l_orderkey - l_orderkey % 20) as Code, case when l_linenumber = 7 then null else l_shipdate end as PublishedAt, ' t' || l_orderkey as Title from {lineitem}""",
     "resource": """select 'r' || p_partkey as Id, case when p_size % 4 = 0 then 'oth' || p_partkey else ' stk' || (p_partkey % 900) || ' ' end as ResourceFileId,
         p_size % 2 as ResourceType from {part}""",
-    "editing": "select 'e' || o_orderkey as Id, 'f' || (o_orderkey % 700) as EditingFileId from {orders}",
+    "editing": "select 'e' || o_orderkey as Id, 'f' || (o_orderkey - o_orderkey % 20) as EditingFileId from {orders}",
     "resource_editing": """select 'x' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as Id, 'e' || l_orderkey as EditingId,
         'r' || l_partkey as ResourcesId, l_quantity as StartTime, l_quantity + l_discount as EndTime from {lineitem}""",
     "stock_seed": "select ' stk' || (p_partkey % 900) as stock_id from {part} where p_size = 13",

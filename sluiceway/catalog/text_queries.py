@@ -36,14 +36,15 @@ def _case(result: str) -> str:
 @query("log_classify", "R1", f"""
     with docs as (select doc_id, text, lang, doc_id % 2 as code from documents),
     hits as (select doc_id, text, {_case('id')} as rule_id, {_case('hit')} as hit from docs),
-    spans as (select doc_id, rule_id, text, strpos(text, hit) - 1 as s, strpos(text, hit) - 1 + length(hit) as e from hits where rule_id is not null),
+    places as (select *, case when rule_id = 'line-start' then strpos(chr(10) || text, chr(10) || hit) else strpos(text, hit) end - 1 as s from hits where rule_id is not null),
+    spans as (select doc_id, rule_id, text, s, s + length(hit) as e from places),
     cuts as (select *, greatest(0, s - 120) as a, least(length(text), e + 120) as b from spans)
     select doc_id, rule_id, case when a > 0 then '...' else '' end || trim(substring(text, cast(a + 1 as bigint), cast(b - a as bigint)), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
            || case when b < length(text) then '...' else '' end as excerpt
-    from cuts where rule_id <> 'line-start'""")
+    from cuts""")
 def log_classify(t: Tables) -> DataFrame:
-    """First matching rule and excerpt; hits of the line-start rule are compared by the next query."""
-    return _classified(t).where("rule_id <> 'line-start'")
+    """First matching rule and excerpt of every document that a rule matches."""
+    return _classified(t).where("rule_id is not null")
 
 
 def _classified(t: Tables) -> DataFrame:

@@ -248,7 +248,7 @@ def _rated_orders(t: Tables) -> DataFrame:
         currency, F.col("o_orderdate").cast("date").alias("rate_date"),
         money("o_totalprice").alias("rate"),
     )
-    placed = t.orders.where("o_orderstatus = 'O'").select("o_orderkey", currency, F.col("o_orderdate").cast("date").alias("order_date"))
+    placed = t.orders.where("o_orderstatus <> 'F'").select("o_orderkey", currency, F.col("o_orderdate").cast("date").alias("order_date"))
     return with_asof(placed, rates, ["currency_id"], "order_date", "rate_date", "rate", 5)
 
 
@@ -258,7 +258,7 @@ _RATED = """
                max(cast(o_totalprice as decimal(20,2))) as rate
         from orders where o_orderstatus = 'F' group by 1, 2),
     placed as (
-        select o_orderkey, o_custkey % 25 as currency_id, cast(o_orderdate as date) as order_date from orders where o_orderstatus = 'O'),
+        select o_orderkey, o_custkey % 25 as currency_id, cast(o_orderdate as date) as order_date from orders where o_orderstatus <> 'F'),
     rated as (
         select p.o_orderkey, p.currency_id, p.order_date, max(r.rate_date) as rate_date, arg_max(r.rate, r.rate_date) as rate
         from placed p left join rates r on r.currency_id = p.currency_id and r.rate_date between p.order_date - 5 and p.order_date
@@ -370,11 +370,13 @@ def ordered_concat(t: Tables) -> DataFrame:
 
 
 @query("ordered_concat_hot", "T47", """
-    select o_orderstatus, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as order_keys from orders group by 1""")
+    select l_suppkey, string_agg(cast(l_orderkey * 10 + l_linenumber as varchar), ',' order by l_orderkey, l_linenumber, l_partkey) as line_keys
+    from lineitem group by 1""")
 def ordered_concat_hot(t: Tables) -> DataFrame:
-    """Three groups hold the whole table, so with this bound every one is joined in pieces."""
+    """A supplier's lines do not grow with the table; with this bound every supplier is joined in pieces."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return aggregate.ordered_concat(
-        t.orders, ["o_orderstatus"], F.col("o_orderkey"), ["o_orderkey"], "order_keys", rows_per_task=500
+        t.lineitem, ["l_suppkey"], line, ["l_orderkey", "l_linenumber", "l_partkey"], "line_keys", rows_per_task=100
     )
 
 
