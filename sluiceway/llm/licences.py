@@ -153,7 +153,7 @@ class Scanner:
             labels.add(label)
             if is_base:
                 base.add(label)
-                starts.append(line.count(" ", 0, end - size + 1))
+                starts.append(end - size + 1)
         duties, read, seen = [], 0, 0
         for end, _ in self.tags.iter(text):
             if end < seen:
@@ -168,8 +168,9 @@ class Scanner:
             except ValueError:
                 pass
         weight = len(labels) + read
+        first, last = (line.count(" ", 0, p) for p in (min(starts), max(starts))) if starts else (None, None)
         return {
-            "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
+            "n_words": len(words), "n_base": len(starts), "first_word": first, "last_word": last,
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1.0 - 0.5 ** weight,
             "duty": max(duties, default=None),
         }
