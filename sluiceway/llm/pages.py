@@ -5,10 +5,13 @@ the labelled pages: those that mark their own main content with one <article>. O
 region with the highest total, and the region's blocks are the page's text.
 
 Weights are log odds of standing inside the marked content against outside, counted over all labelled pages: words by
-the container they stand in, tags by name and class. A tag's weight is held below zero. A container no labelled page has
-shown gets the weight of a word in general. Only the LISTED_KEYS most frequent keys are kept, so the model is bounded.
+the container they stand in, tags by name and class, apart for tags of containers that are never article text. Lists and
+tables without a name of their own count as the container around them. A tag's weight is held below zero. A container no
+labelled page has shown gets the weight of a word in general. Only the LISTED_KEYS most frequent keys are kept, so the
+model is bounded.
 
 Inside the region, containers that are never article text are left out whole (JUNK, by element, class, id and role).
+One that interrupts a container's text costs its tags only, so that text after an advert is still reached.
 Defined cases: a null or empty page gives an empty text; without any labelled page the weights are +1 for a word and
 TAG_CEILING for a tag; rows with repeated or null ids get one result each; an empty table gives an empty result.
 """
@@ -41,6 +44,8 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 # Elements that hold other blocks; the innermost one is what a word is said to stand in.
 CONTAINERS = frozenset("html head title body nav div article section main aside footer header form ul ol dl table figure dialog menu details fieldset".split())
+UNNAMED = frozenset("ul ol dl table figure details".split())
+PAGE = frozenset(("", "html", "body"))
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 JUNK_ELEMENTS = frozenset("head title nav aside footer header form menu dialog fieldset".split())
 JUNK = re.compile(
@@ -54,10 +59,28 @@ WORD = "\x00word"
 class Piece:
     """A stretch of text with the container it stands in, or a tag."""
 
-    __slots__ = ("breaks", "inside", "junk", "key", "text")
+    __slots__ = ("breaks", "inside", "interrupts", "junk", "key", "text")
 
-    def __init__(self, key: str, text: str | None, junk: bool, inside: bool, breaks: bool):
-        self.key, self.text, self.junk, self.inside, self.breaks = key, text, junk, inside, breaks
+    def __init__(self, key: str, text: str | None, within: Container, breaks: bool):
+        self.key, self.text, self.breaks = key, text, breaks
+        self.junk, self.inside, self.interrupts = within.junk, within.inside, within.interrupts
+
+
+class Container:
+    """An open element that holds other blocks; `worded` once text other than junk stands in it."""
+
+    __slots__ = ("inside", "interrupts", "junk", "label", "tag", "worded")
+
+    def __init__(self, tag: str, label: str, junk: bool, inside: bool, interrupts: bool):
+        self.tag, self.label, self.junk, self.inside, self.interrupts, self.worded = tag, label, junk, inside, interrupts, False
+
+
+def opened(tag: str, names: str, around: Container) -> Container:
+    first = names.split()[0].lower() if names.split() else ""
+    label = around.label if tag in UNNAMED and not first else f"{tag}.{first}" if first else tag
+    junk = around.junk or tag in JUNK_ELEMENTS or bool(JUNK.search(names))
+    interrupts = around.interrupts or (junk and not around.junk and around.worded)
+    return Container(tag, label, junk, around.inside or tag == "article", interrupts)
 
 
 def named(attributes: str) -> str:
@@ -66,37 +89,47 @@ def named(attributes: str) -> str:
 
 def pieces(html: str) -> Iterator[Piece]:
     """The page's text stretches and tags in order. Containers nest; a stray end tag closes what it can."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [Container("", "", False, False, False)]
+
+    def text(stretch: str) -> Piece:
+        within = stack[-1]
+        if not within.junk and not within.worded and not stretch.isspace():
+            within.worded = True
+            # Text of a block is also text of the container around it, but not of the page.
+            if len(stack) > 1 and within.tag not in ("article", "main") and stack[-2].tag not in PAGE:
+                stack[-2].worded = True
+        return Piece(within.label, stretch, within, False)
+
     at = 0
     for m in TOKEN.finditer(html):
-        _, label, junk, inside = stack[-1]
         if m.start() > at:
-            yield Piece(label, html[at:m.start()], junk, inside, False)
+            yield text(html[at:m.start()])
         at = m.end()
         if m[3] is None:
             continue
-        tag = m[3].lower()
+        tag, within = m[3].lower(), stack[-1]
         if tag in CONTAINERS:
             if m[2]:
-                if any(entry[0] == tag for entry in stack):
-                    while stack.pop()[0] != tag:
+                if any(entry.tag == tag for entry in stack):
+                    while stack.pop().tag != tag:
                         pass
-                yield Piece(f"/{tag}", None, junk, inside, True)
+                yield Piece(f"/{tag}", None, within, True)
             else:
                 names = named(m[4])
-                label = f"{tag}.{names.split()[0].lower()}" if names.split() else tag
-                junk = junk or tag in JUNK_ELEMENTS or bool(JUNK.search(names))
-                inside = inside or tag == "article"
+                new = opened(tag, names, within)
                 if not m[4].endswith("/"):
-                    stack.append((tag, label, junk, inside))
-                yield Piece(label, None, junk, inside, True)
+                    stack.append(new)
+                yield Piece(f"{tag}.{names.split()[0].lower()}" if names.split() else tag, None, new, True)
         else:
-            yield Piece(m[2] + tag, None, junk, inside, tag not in INLINE)
+            yield Piece(m[2] + tag, None, within, tag not in INLINE)
             if tag == "br":
-                yield Piece(label, " ", junk, inside, False)
+                yield Piece(within.label, " ", within, False)
     if at < len(html):
-        _, label, junk, inside = stack[-1]
-        yield Piece(label, html[at:], junk, inside, False)
+        yield text(html[at:])
+
+
+def tag_key(piece: Piece) -> str:
+    return f"<{piece.key}> in junk" if piece.junk else f"<{piece.key}>"
 
 
 def counted(html: str) -> Counter:
@@ -107,7 +140,7 @@ def counted(html: str) -> Counter:
     for piece in pieces(html):
         main = piece.inside and not piece.junk
         if piece.text is None:
-            found[(f"<{piece.key}>", main)] += 1
+            found[(tag_key(piece), main)] += 1
         elif n := len(piece.text.split()):
             found[(piece.key, main)] += n
             found[(WORD, main)] += n
@@ -159,10 +192,10 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     general, scores = weights[WORD], []
     for piece in read:
         if piece.text is None:
-            scores.append(weights.get(f"<{piece.key}>", TAG_CEILING))
+            scores.append(TAG_CEILING if piece.interrupts else weights.get(tag_key(piece), TAG_CEILING))
         elif n := len(piece.text.split()):
             weight = weights.get(piece.key, general)
-            scores.append(n * (-abs(weight) if piece.junk else weight))
+            scores.append(0.0 if piece.interrupts else n * (-abs(weight) if piece.junk else weight))
         else:
             scores.append(0.0)
     lo, hi = best_region(scores)

@@ -98,6 +98,16 @@ def test_pages_of_other_shapes(spark, given):
     assert pages.learn_weights(empty) == {pages.WORD: 1.0}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><main><h1>A b</h1><p>One two three.</p><ul><li>c</li><li>d</li></ul></main><footer>f g</footer></body>", "A b\nOne two three.\nc\nd"),
+    ("<nav><ul><li>n</li></ul></nav><article><p>One.</p><ol><li>a</li><li>b</li></ol><p>Two.</p></article>", "One.\na\nb\nTwo."),
+    ("<article><p>One two.</p><div class=ad>x y z x y z x y z x y z</div><p>End.</p></article><div class=comments>q r s t</div>", "One two.\nEnd."),
+    ("<div id=content><div class=part>One two.</div><form>x <input> y</form><p>End.</p></div><div class=sidebar>x</div>", "One two.\nEnd."),
+])
+def test_lists_and_interruptions(given, page, text):
+    assert pages.main_text(page, pages.learn_weights(given("pages"))) == text
+
+
 def test_best_region_is_the_best_of_all():
     r = np.random.default_rng(3)
     for _ in range(200):
