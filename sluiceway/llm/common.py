@@ -141,6 +141,28 @@ def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
         yield joined(held)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by an integer key, cut anew so that each holds all rows of its keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.schema.get_field_index(key)
+        keys = batch.column(at).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(edges):
+            last = int(edges[-1])
+            yield joined([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif held and held[-1].column(at)[0].as_py() != keys[0]:
+            yield joined(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield joined(held)
+
+
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import GOLDEN, Columns, arrow_schema, grouped, map_slices, mix, partitions, stored, texts
+from sluiceway.llm.common import GOLDEN, Columns, arrow_schema, grouped, map_slices, mix, partitions, stored, texts, whole_groups
 from sluiceway.llm.repetition import order_by_pair, refine
 
 MIN_BYTES = 100
@@ -55,7 +55,8 @@ def window_anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each string of MIN_BYTES bytes the position of its anchor; and the hash at every position."""
     hashes = gram_hashes(x, ANCHOR)
     width = MIN_BYTES - ANCHOR + 1
-    bits = np.uint64(max(1, len(x).bit_length()))
+    # As many bits of a hash count in every slice below 16 MB, so that equal strings have equal anchors in all of them.
+    bits = np.uint64(max(24, len(x).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     current = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64))
     n, span = len(hashes) - width + 1, 1
@@ -267,8 +268,18 @@ def extended(contexts: DataFrame) -> DataFrame:
     return map_slices(contexts, start, schema, "context")
 
 
+def sharing(keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys equal a neighbour."""
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    return same[1:] | same[:-1]
+
+
 def judged(contexts: DataFrame) -> DataFrame:
-    """(doc_id, tie, origin, spans): for each context the byte ranges that go, from the start of its document."""
+    """(doc_id, tie, origin, spans): for each context the byte ranges that go, from the start of its document.
+
+    Equal strings have their anchor at the same offset, and all strings of a context have one anchor place, so no two
+    of them are equal. A context that is the only one of its anchor therefore needs no comparison."""
     target = arrow_schema("doc_id long,tie long,origin long,spans array<long>")
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -283,14 +294,21 @@ def judged(contexts: DataFrame) -> DataFrame:
         spans = [[v + s for v in listed] for listed, s in zip(spans, starts.tolist())]
         return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (doc_id, tie, origin)] + [pa.array(spans, target.field("spans").type)], schema=target)
 
+    def settled(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Contexts without another one of their anchor: nothing goes."""
+        return pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "tie", "origin")), pa.array([[]] * part.num_rows, target.field("spans").type)], schema=target)
+
     def run(batches):
         held, size = [], 0
-        for group in grouped(batches, "g"):
-            held.append(group)
-            size += group.column(group.schema.get_field_index("context")).nbytes
-            if size >= CONTEXT_BYTES // 2:
-                yield block(held)
-                held, size = [], 0
+        for part in whole_groups(batches, "g"):
+            shared = sharing(part.column("g").to_numpy(zero_copy_only=False))
+            yield settled(part.filter(pa.array(~shared)))
+            for group in grouped([part.filter(pa.array(shared))], "g"):
+                held.append(group)
+                size += group.column(group.schema.get_field_index("context")).nbytes
+                if size >= CONTEXT_BYTES // 2:
+                    yield block(held)
+                    held, size = [], 0
         if held:
             yield block(held)
 
