@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import GOLDEN, Columns, arrow_schema, grouped, map_slices, mix, partitions, stored, texts, whole_groups
-from sluiceway.llm.repetition import order_by_pair, refine
+from sluiceway.llm.repetition import refine
 
 MIN_BYTES = 100
 ANCHOR = 32
@@ -91,6 +91,15 @@ def occurrences(listed: list[bytes]) -> tuple[np.ndarray, ...]:
 
 # --- equal strings within a block of contexts -----------------------------------------------------------------------
 
+def packed_order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Indices that sort keys below 2**bits stably: one sort of keys with their indices where both fit 64 bits."""
+    index_bits = np.uint64(len(key).bit_length())
+    if bits + int(index_bits) > 64:
+        return np.argsort(key, kind="stable")
+    packed = np.sort((key << index_bits) | np.arange(len(key), dtype=np.uint64))
+    return (packed & ((np.uint64(1) << index_bits) - np.uint64(1))).astype(np.int64)
+
+
 def suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ordered by at least their first MIN_BYTES bytes, and each suffix's rank by its first STEP bytes."""
     n = len(x)
@@ -102,7 +111,7 @@ def suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(STEP):
         key = (key << bits) | symbols[i:i + n]
-    order = order_by_pair(np.zeros(n, np.uint64), key, int(bits) * STEP) if int(bits) * STEP + n.bit_length() <= 63 else np.argsort(key, kind="stable")
+    order = packed_order(key, int(bits) * STEP)
     edge = np.append(True, key[order][1:] != key[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
@@ -115,8 +124,7 @@ def suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         second = np.where(onward < n, rank[np.minimum(onward, n - 1)] + 1, 0)
         rank, active = refine(rank, active, second)
         h *= 2
-    suffix = order_by_pair(np.zeros(n, np.int64), rank, n.bit_length()) if 3 * n.bit_length() <= 64 else np.argsort(rank, kind="stable")
-    return suffix, start
+    return packed_order(rank.astype(np.uint64), n.bit_length()), start
 
 
 def equal_intervals(x: np.ndarray) -> np.ndarray:
@@ -134,13 +142,14 @@ def equal_intervals(x: np.ndarray) -> np.ndarray:
     # The last STEP suffixes have no rest; they are shorter than any string asked about.
     boundary[place[max(0, n - STEP):]] = True
     joint = np.flatnonzero(~boundary)
+    here, before = rest[joint], rest[joint - 1]
     for _ in range(STEP, MIN_BYTES, STEP):
-        passed = np.cumsum(boundary)
-        apart = passed[rest[joint]] != passed[rest[joint - 1]]
+        passed = np.cumsum(boundary, dtype=np.int32)
+        apart = passed[here] != passed[before]
         if not apart.any():
             break
         boundary[joint[apart]] = True
-        joint = joint[~apart]
+        joint, here, before = joint[~apart], here[~apart], before[~apart]
     return np.cumsum(boundary)[place]
 
 
