@@ -10,7 +10,11 @@ tables without a name of their own count as the container around them. A tag's w
 labelled page has shown gets the weight of a word in general. Only the LISTED_KEYS most frequent keys are kept, so the
 model is bounded.
 
-Inside the region, containers that are never article text are left out whole (JUNK, by element, class, id and role).
+Inside the region, containers that are never article text are left out whole, by element or because a whole class, id or
+role token is a junk name: 'sidebar' or 'left-sidebar', not 'has-sidebar' or 'social-science' (see `junk_names`). The
+elements html, body, main and article are never judged by name. A form or named container that holds the page's <main>
+or <article> is not junk, unless another one stands outside such containers, as when comments are marked as articles;
+on a page with neither, a form that holds most of the words is not junk.
 One that interrupts a container's text costs its tags only, so that text after an advert is still reached.
 Defined cases: a null or empty page gives an empty text; without any labelled page the weights are +1 for a word and
 TAG_CEILING for a tag; rows with repeated or null ids get one result each; an empty table gives an empty result.
@@ -21,7 +25,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -48,48 +51,86 @@ UNNAMED = frozenset("ul ol dl table figure details".split())
 PAGE = frozenset(("", "html", "body"))
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 JUNK_ELEMENTS = frozenset("head title nav aside footer header form menu dialog fieldset".split())
+NEVER_NAMED = frozenset("html body main article".split())
 JUNK = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|sidebar\w*|side|footer\w*|header\w*|cookies?|consent|notices?|alert|popup"
-    r"|comments?|replies|discussion|disqus|share|social|related|newsletter|subscri\w*|signup|login|breadcrumbs?|pagination|widget\w*|complementary|contentinfo)(?:$|[\s_-])",
+    r"ads?|advert(?:s|isements?|ising|orials?)?|banners?|promo(?:s|ted|tions?)?|sponsor(?:s|ed|ship)?|nav(?:s|bar|igation)?|menu(?:s|bar)?|sidebars?|side|footers?"
+    r"|headers?|cookies?|consent|notices?|alerts?|popups?|comments?|replies|discussion|disqus|share|social|related|newsletters?"
+    r"|subscri(?:be|bers?|ptions?)|signup|login|breadcrumbs?|pagination|widgets?|complementary|contentinfo",
     re.I,
 )
+# What may stand beside a junk name in one token without changing what the container is.
+BESIDE = re.compile(
+    r"\d*|site|global|main|primary|secondary|top|bottom|left|right|area|bar|box|block|container|wrapper|wrap|inner|outer|list|links?|items?|buttons?|icons?|media"
+    r"|posts|articles|stories|section|slot|unit|panel|form|thread|policy",
+    re.I,
+)
+# Beside these, a header or banner holds the title.
+TITLED = re.compile(r"post|article|entry|page|story", re.I)
 WORD = "\x00word"
 
 
 class Piece:
     """A stretch of text with the container it stands in, or a tag."""
 
-    __slots__ = ("breaks", "inside", "interrupts", "junk", "key", "text")
+    __slots__ = ("breaks", "form", "inside", "interrupts", "junk", "key", "text")
 
     def __init__(self, key: str, text: str | None, within: Container, breaks: bool):
         self.key, self.text, self.breaks = key, text, breaks
-        self.junk, self.inside, self.interrupts = within.junk, within.inside, within.interrupts
+        self.junk, self.inside, self.interrupts, self.form = within.junk, within.inside, within.interrupts, within.form
 
 
 class Container:
-    """An open element that holds other blocks; `worded` once text other than junk stands in it."""
+    """An open element that holds other blocks; `worded` once text other than junk stands in it.
+
+    `layers` are the places of the forms and named containers around and including it that make it junk, None within an
+    element that is junk by itself; `form` is the place of the outermost such form."""
 
-    __slots__ = ("inside", "interrupts", "junk", "label", "tag", "worded")
+    __slots__ = ("form", "inside", "interrupts", "junk", "label", "layers", "tag", "worded")
 
-    def __init__(self, tag: str, label: str, junk: bool, inside: bool, interrupts: bool):
-        self.tag, self.label, self.junk, self.inside, self.interrupts, self.worded = tag, label, junk, inside, interrupts, False
+    def __init__(self, tag: str, label: str, inside: bool, interrupts: bool, layers: tuple | None, form: int):
+        self.tag, self.label, self.inside, self.interrupts, self.layers, self.form, self.worded = tag, label, inside, interrupts, layers, form, False
+        self.junk = layers != ()
 
 
-def opened(tag: str, names: str, around: Container) -> Container:
+def junk_names(names: str) -> bool:
+    """Whether a whole token is a junk name, alone or in a compound with other junk names and words of BESIDE only."""
+    for name in names.split():
+        parts = re.split(r"[_-]+", name)
+        found = [p.lower() for p in parts if JUNK.fullmatch(p)]
+        if any(map(TITLED.fullmatch, parts)):
+            found = [p for p in found if not p.startswith(("header", "banner"))]
+        if found and all(JUNK.fullmatch(p) or BESIDE.fullmatch(p) or TITLED.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
+def opened(tag: str, names: str, around: Container, place: int, lifted: frozenset[int]) -> Container:
     first = names.split()[0].lower() if names.split() else ""
     label = around.label if tag in UNNAMED and not first else f"{tag}.{first}" if first else tag
-    junk = around.junk or tag in JUNK_ELEMENTS or bool(JUNK.search(names))
-    interrupts = around.interrupts or (junk and not around.junk and around.worded)
-    return Container(tag, label, junk, around.inside or tag == "article", interrupts)
+    layers, form = around.layers, around.form
+    if layers is not None:
+        if tag in JUNK_ELEMENTS and tag != "form":
+            layers = None
+        elif place not in lifted and (tag == "form" or (tag not in NEVER_NAMED and junk_names(names))):
+            # Layers are linked, not copied, so deep nesting costs no more than flat.
+            layers = (place, layers, layers[2] + 1 if layers else 1)
+            if tag == "form" and not around.junk:
+                form = place
+    interrupts = around.interrupts or (layers != () and not around.junk and around.worded)
+    return Container(tag, label, around.inside or tag == "article", interrupts, layers, form)
 
 
 def named(attributes: str) -> str:
     return " ".join(next(v for v in m.groups()[1:] if v is not None) for m in NAMED.finditer(attributes)) if "=" in attributes else ""
 
 
-def pieces(html: str) -> Iterator[Piece]:
-    """The page's text stretches and tags in order. Containers nest; a stray end tag closes what it can."""
-    stack = [Container("", "", False, False, False)]
+def scanned(html: str, lifted: frozenset[int] = frozenset()) -> tuple[list[Piece], dict[str, list[tuple]]]:
+    """The page's text stretches and tags in order, and the layers around each of its mains and articles.
+
+    Containers nest; a stray end tag closes what it can. Those that open at a place in `lifted` are not junk."""
+    stack = [Container("", "", False, False, (), -1)]
+    read: list[Piece] = []
+    marked: dict[str, list[tuple]] = {"main": [], "article": []}
 
     def text(stretch: str) -> Piece:
         within = stack[-1]
@@ -103,7 +144,7 @@ def pieces(html: str) -> Iterator[Piece]:
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            yield text(html[at:m.start()])
+            read.append(text(html[at:m.start()]))
         at = m.end()
         if m[3] is None:
             continue
@@ -113,19 +154,49 @@ def pieces(html: str) -> Iterator[Piece]:
                 if any(entry.tag == tag for entry in stack):
                     while stack.pop().tag != tag:
                         pass
-                yield Piece(f"/{tag}", None, within, True)
+                read.append(Piece(f"/{tag}", None, within, True))
             else:
                 names = named(m[4])
-                new = opened(tag, names, within)
+                new = opened(tag, names, within, m.start(), lifted)
+                if tag in marked and new.layers is not None:
+                    marked[tag].append(new.layers)
                 if not m[4].endswith("/"):
                     stack.append(new)
-                yield Piece(f"{tag}.{names.split()[0].lower()}" if names.split() else tag, None, new, True)
+                read.append(Piece(f"{tag}.{names.split()[0].lower()}" if names.split() else tag, None, new, True))
         else:
-            yield Piece(m[2] + tag, None, within, tag not in INLINE)
+            read.append(Piece(m[2] + tag, None, within, tag not in INLINE))
             if tag == "br":
-                yield Piece(within.label, " ", within, False)
+                read.append(Piece(within.label, " ", within, False))
     if at < len(html):
-        yield text(html[at:])
+        read.append(text(html[at:]))
+    return read, marked
+
+
+def wrappers(read: list[Piece], marked: dict[str, list[tuple]]) -> frozenset[int]:
+    """Places of the forms and named containers that only wrap the page's content: those around the main or article with
+    the fewest of them; without any main and article, a form that holds most of the page's words."""
+    found: set[int] = set()
+    for around in marked.values():
+        least = min((layers[2] if layers else 0 for layers in around), default=0)
+        for layers in around:
+            if layers and layers[2] == least:
+                while layers and layers[0] not in found:
+                    found.add(layers[0])
+                    layers = layers[1]
+    if not any(marked.values()) and any(p.form >= 0 for p in read):
+        held: Counter = Counter()
+        for piece in read:
+            if piece.text is not None and piece.key not in ("head", "title"):
+                held[piece.form] += len(piece.text.split())
+        found.update(form for form, n in held.items() if form >= 0 and 2 * n > held.total())
+    return frozenset(found)
+
+
+def pieces(html: str) -> list[Piece]:
+    """The page's text stretches and tags in order, read again if containers taken for junk turn out to wrap its content."""
+    read, marked = scanned(html)
+    lifted = wrappers(read, marked)
+    return scanned(html, lifted)[0] if lifted else read
 
 
 def tag_key(piece: Piece) -> str:
@@ -188,7 +259,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(html: str, weights: dict[str, float]) -> str:
-    read = list(pieces(html))
+    read = pieces(html)
     general, scores = weights[WORD], []
     for piece in read:
         if piece.text is None:

@@ -108,6 +108,41 @@ def test_lists_and_interruptions(given, page, text):
     assert pages.main_text(page, pages.learn_weights(given("pages"))) == text
 
 
+ARTICLE = "<article{}><h1>A b</h1><p>One two three.</p></article>"
+AROUND = "<nav><a>m n</a></nav>{}<div class=comments><p>q r s t u v w</p></div><footer>f g</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body class='{names}'>" + AROUND.format(ARTICLE.format("")) + "</body>" for names in ("home has-sidebar", "no-sidebar", "sidebar")),
+    *("<body>" + AROUND.format(ARTICLE.format(f" class='{names}'")) + "</body>" for names in ("post has-comments", "post related", "with-header")),
+    *("<body>" + AROUND.format(f"<{tag} {names}>{ARTICLE.format('')}</{tag}>") + "</body>" for tag, names in (
+        ("main", "class=layout-side"), ("main", "class=side"), ("section", "class=social-science"), ("div", "id=navbar-offset"), ("div", "class=navy"),
+        ("div", "class=left-sidebar"), ("form", "id=page"), ("form", "class=side"),
+    )),
+    "<body><form>" + AROUND.format(ARTICLE.format("")) + "</form></body>",
+    "<body><form><div class=side>" + AROUND.format(ARTICLE.format("")) + "</div></form></body>",
+    "<body><main><div class=sidebar>" + AROUND.format(ARTICLE.format("")) + "</div></main></body>",
+    "<body>" + AROUND.replace("<p>q r", "<article>c d</article><p>q r").format(ARTICLE.format("")) + "</body>",
+    "<body><form>" + AROUND.replace("<p>q r", "<article>c d</article><p>q r").format(ARTICLE.format("")) + "</form></body>",
+    "<body><a>s</a><form>" + AROUND.format("<section class=text><h1>A b</h1><p>One two three.</p></section>") + "</form></body>",
+])
+def test_wrapped_and_compound_names(given, page):
+    weights = pages.learn_weights(given("pages"))
+    assert pages.main_text(page, weights).replace("s\n", "") == "A b\nOne two three."
+    if page.count("<article") == 1:
+        counts = pages.counted(page)
+        assert counts[(pages.WORD, True)] == 5
+
+
+@pytest.mark.parametrize(("names", "junk"), [
+    ("sidebar", True), ("x site-header", True), ("comment-list", True), ("widget_area", True), ("ad-728", True), ("related-posts", True), ("social-share", True), ("post-comments", True),
+    ("has-sidebar", False), ("no-sidebar", False), ("with-nav", False), ("social-science", False), ("navbar-offset", False), ("layout-side", False),
+    ("entry-header", False), ("article-header", False), ("navy", False), ("main-content", False), ("", False), ("-", False),
+])
+def test_junk_names_are_whole_tokens(names, junk):
+    assert pages.junk_names(names) is junk
+
+
 def test_best_region_is_the_best_of_all():
     r = np.random.default_rng(3)
     for _ in range(200):
