@@ -4,9 +4,10 @@ Features are words and word beginnings (three to five letters), lower-cased, val
 weight per feature, shared by ordered thresholds: P(grade <= k) = sigmoid(threshold_k - x.w). The expected severity is
 the sum over k of P(grade > k); a document is rejected when P(grade > 0) reaches one half.
 
-The label table only says toxic or not, so grades above zero are told apart by how many words of the selected toxic
-features a labelled document has (GRADE_EDGES). Fitting uses at most SAMPLE_ROWS labelled documents of each class, the
-first by a hash of the id, weighted back to the class totals; feature selection keeps FEATURES keys. Everything else is
+The label table only says toxic or not, so grades above zero are told apart by how many words a labelled document has
+with toxic features of CLEAR_GAIN or more (GRADE_EDGES). Fitting uses at most SAMPLE_ROWS labelled documents of each
+class, the first by a hash of the id, weighted back to the class totals. The FEATURES keys that tell the classes apart
+best get a weight, however few documents there are, if more than one has them; the ridge term shrinks them. All else is
 distributed: the sample is found by a broadcast of at most 2 * SAMPLE_ROWS ids, feature counts are summed by Spark, and
 scoring reads every document whole.
 
@@ -31,7 +32,8 @@ from sluiceway.llm.common import Columns, map_slices, slices, texts
 
 SAMPLE_ROWS = 3000
 FEATURES = 2000
-LEAST_GAIN = 30.0
+LEAST_DOCUMENTS = 2
+CLEAR_GAIN = 30.0
 GRADE_EDGES = (3, 6)
 REJECT_AT = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -89,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def select_features(sample: DataFrame, size: int = FEATURES) -> dict[str, bool]:
-    """The features that tell the classes apart best (G statistic), with whether they speak for toxic."""
+    """The features that tell the classes apart best (G statistic), with whether they speak clearly for toxic."""
 
     def start():
         def work(rows: Columns) -> Columns:
@@ -113,8 +115,8 @@ def select_features(sample: DataFrame, size: int = FEATURES) -> dict[str, bool]:
         return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
 
     gain = part(F.col("a"), total * rate) + part(F.col("b"), total * (1 - rate))
-    best = counts.where(total >= 5).withColumn("gain", F.round(gain, 6)).orderBy(F.col("gain").desc(), "feature").limit(size).collect()
-    return {r.feature: r.a / n[1] > r.b / n[0] for r in best if r.gain > LEAST_GAIN}
+    best = counts.where(total >= LEAST_DOCUMENTS).withColumn("gain", F.round(gain, 6)).where("gain > 0").orderBy(F.col("gain").desc(), "feature").limit(size).collect()
+    return {r.feature: r.gain > CLEAR_GAIN and r.a / n[1] > r.b / n[0] for r in best}
 
 
 def grade_of(toxic: int, hits: int) -> int:

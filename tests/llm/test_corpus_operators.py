@@ -234,6 +234,29 @@ def test_toxicity_of_awkward_rows(spark, awkward, no_docs):
     assert toxicity.severity(no_docs, untrained).count() == 0
 
 
+def test_toxicity_learns_rare_cues(spark):
+    """Cues of a few documents get a weight on a small label table, and so does each of many rare ones."""
+    cues = ["zargo", "blimu", "quosk", "fenty"]
+    texts = [(i, f"{prose(500 + i, 30)} {cues[i % 4]}", 1) for i in range(12)] + [(i, prose(500 + i, 30), 0) for i in range(12, 60)]
+    unseen = [prose(600 + k, 30) for k in range(20)]
+    new = [(100 + k, t) for k, t in enumerate(unseen)] + [(200 + k, f"{t} {cues[k % 4]}") for k, t in enumerate(unseen)]
+    docs = spark.createDataFrame([t[:2] for t in texts] + new, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    assert set(cues) <= set(model.weights) and all(model.weights[c] > 0 for c in cues)
+    got = listed(toxicity.severity(docs, model))
+    assert all(got[i].toxic == bool(y) for i, _, y in texts)
+    assert all(got[i + 100].severity > got[i].severity for i in range(100, 120))
+
+
+def test_toxicity_reaches_the_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert "achlichä" in model.weights
+    test = labels.join(toxicity.severity(docs, model).withColumnRenamed("toxic", "rejected"), "doc_id")
+    wrong = {r.toxic: r["count"] for r in test.where(F.col("rejected") != (F.col("toxic") == 1)).groupBy("toxic").count().collect()}
+    assert wrong.get(1, 0) <= 1 and wrong.get(0, 0) <= 1
+
+
 def test_ordinal_fit_orders_grades():
     rows, cols = np.arange(90), np.repeat([0, 1, 2], 30)
     grades = np.repeat([0, 1, 3], 30)
