@@ -47,7 +47,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-# The stages are not expressible in SQL; tests/llm holds the run against brute force.
+# The stages are not expressible in SQL; tests/llm/test_corpus_operators.py computes the run's whole rows again in plain
+# Python, given the fitted toxicity weights, which are tested on held-out labels.
 ORACLE_SQL: str | None = None
 
 

@@ -1,7 +1,9 @@
 """Operators that look across documents, and the pipeline: against brute force, on awkward rows, and on empty tables."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sluiceway.llm import components, fingerprints, mixing, near_copies, repeated_spans, toxicity
 from sluiceway.llm.common import range_bucket
+from sluiceway.llm.queries import tokenizer_path
 
 
 def sha(data):
@@ -273,3 +276,74 @@ def test_pipeline_stage_by_stage(spark):
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect())
+
+
+def brute_redacted(text):
+    """Mails, addresses, cards and phones replaced by plain patterns; of overlapping items the first, then the longest."""
+    found = [(m.start(), -m.end(), "EMAIL") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), -m.end(), "IP") for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([ -]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits[::-1])) % 10 == 0:
+            found.append((m.start(), -m.end(), "CARD"))
+    found += [(m.start(), -m.end(), "PHONE") for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    out, at = "", 0
+    for start, end, kind in sorted(found):
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, -end)
+    return out + text[at:]
+
+
+def brute_copies(rows):
+    """Copies by id of (doc_id, source, text): whole copies, and one more by rank until the words are nearest the target."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in rows}
+    words, sized = Counter(), Counter()
+    for i, s, _ in rows:
+        words[s] += size[i]
+        sized[s] += size[i] > 0
+    copies = {}
+    for s, target in brute_targets(dict(words)).items():
+        whole = min(3, int(target // words[s])) if words[s] else 0
+        ranked = []
+        for i in (i for i, source, _ in rows if source == s):
+            copies[i] = whole
+            if size[i]:
+                u = (int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+                ranked.append((u / (1 - u) * math.sqrt(words[s] / sized[s] / size[i]), i))
+        total, needed = 0, target - whole * words[s]
+        for _, i in sorted(ranked):
+            if total + size[i] / 2 > needed:
+                break
+            copies[i] += 1
+            total += size[i]
+    return copies
+
+
+def test_pipeline_against_brute_force(spark):
+    """Whole rows of the run on the smallest tables, computed again in plain Python with the fitted toxicity weights."""
+    import sentencepiece
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = [(r.doc_id, r.source, r.text or "") for r in docs.collect()]
+    assert len({i for i, _, _ in rows}) == len(rows)
+
+    def toxic(text):
+        counts = Counter(f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in (w, *(w[:k] + "*" for k in (3, 4, 5) if len(w) > k)))
+        score = sum(model.weights[f] * (1 + math.log(n)) for f, n in sorted(counts.items()) if f in model.weights)
+        return 1 / (1 + math.exp(model.thresholds[0] - score)) >= 0.5
+
+    clean = [r for r in rows if not toxic(r[2])]
+    first = {min(c) for c in brute_classes([(i, t) for i, _, t in clean])}
+    kept = [(i, s, brute_redacted(t)) for i, s, t in clean if i in first]
+    assert len(rows) > len(clean) > len(kept) and kept != [r for r in clean if r[0] in first]
+    copies = brute_copies(kept)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    want = Counter()
+    for i, _, text in kept:
+        ids = pieces.encode(text)
+        ends = np.cumsum([len(p.surface.encode()) for p in pieces.encode(text, return_type="proto").pieces])
+        if copies[i]:
+            want[(i, len(ids), sha(",".join(map(str, ids))), sha(pieces.decode(ids)), sha(ends.astype("<i8").tobytes()))] += copies[i]
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()) == want
