@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluiceway.llm import fingerprints, licences, mixing, near_copies, pages, personal, pieces, repeated_spans, repetition, toxicity
+from sluiceway.llm import fingerprints, licences, manifest, mixing, near_copies, oracles, pages, personal, pieces, prefix_trie, repeated_spans, repetition, simhash, toxicity
 from sluiceway.llm.common import open_table
 
 
@@ -60,12 +61,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(open_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tamper_check(open_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(open_table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(open_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_personal_data, op2_near_copies, op3_main_text, op4_licence_scan, op5_toxicity, op6_source_mix, op7_quality_rules,
-        op8_repeated_spans, op9_order_fingerprints, op10_sentencepiece,
+        op8_repeated_spans, op9_order_fingerprints, op10_sentencepiece, op11_merkle_manifest, op12_prefix_trie, op13_simhash,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": oracles.merkle(), "op12_prefix_trie": oracles.prefix_trie()}
