@@ -2,7 +2,9 @@
 
 import hashlib
 import html
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -95,7 +97,7 @@ def test_pages_of_other_shapes(spark, given):
     assert Counter(got) == Counter([(1, article), (2, ""), (3, ""), (None, "5 < 6 & plain words only"), (1, article), (4, "")])
     empty = table.limit(0)
     assert pages.extract_pages(empty, pages.learn_weights(empty)).count() == 0
-    assert pages.learn_weights(empty) == {pages.WORD: 1.0}
+    assert pages.learn_weights(empty) == {pages.WORD_SLOT: 1.0}
 
 
 @pytest.mark.parametrize(("page", "text"), [
@@ -143,6 +145,66 @@ def test_junk_names_are_whole_tokens(names, junk):
     assert pages.junk_names(names) is junk
 
 
+NEVER_TEXT = (
+    "commentlist comment__body commentBody user-comments-list reader-opinions responses reply cookieBanner gdpr-overlay mainNav userComments comment-content comments-area replyForm "
+    "respond discussion__thread disqus_thread kommentare commentaires comentarios-list readerReviews guestbook topAds adBox ad_slot_12 advertisement sponsored-posts promoBox shareButtons "
+    "social-icons relatedStories recommended newsletterSignup searchform siteHeader page_footer breadcrumb pagination sidebarRight widgetArea cookie-consent modal popup paywall werbung "
+    "teaser-list trending-articles login-form subscribe topbar masthead"
+).split()
+
+
+@pytest.mark.parametrize("name", NEVER_TEXT)
+def test_containers_that_are_never_text(given, name):
+    weights = pages.learn_weights(given("pages")) if not _WEIGHTS else _WEIGHTS[0]
+    _WEIGHTS[:] = [weights]
+    box = f"<div class='{name}'><p>q r s t u v w x y z</p></div>"
+    for page in (f"<body><article><h1>A b</h1><p>One two three.</p>{box}<p>End.</p></article></body>", f"<body>{box}<div id=text><h1>A b</h1><p>One two three.</p>{box}<p>End.</p></div>{box}</body>"):
+        assert pages.main_text(page, weights) == "A b\nOne two three.\nEnd."
+    # Nothing else on the page: better the text than nothing.
+    assert pages.main_text(f"<body><nav>m n</nav><div class='{name}'><p>Only this text here.</p></div></body>", weights) == "Only this text here."
+
+
+_WEIGHTS: list = []
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>One two.</p><p hidden>no</p><p>End.</p></article>", "One two.\nEnd."),
+    ("<article><p>One two.</p><div style='color:red; display: none'><p>no</p></div><p>End.</p></article>", "One two.\nEnd."),
+    ("<article><p>One <span style=\"visibility:hidden\">no <span>no</span> no</span>two.</p><button>Click me</button><p>End.</p></article>", "One two.\nEnd."),
+    ("<article><p>One two.</p><p hidden>no no<p>End.</p></article>", "One two.\nEnd."),
+    ("<article><p>One <img alt='a hidden door' hidden>two.</p><p title='hidden'>End.</p></article>", "One two.\nEnd."),
+    ("<div class=story><p>One two three.</p></div><div class=related>" + "x y " * 200 + "</div><div class=story><p>Four five.</p></div>", "One two three.\nFour five."),
+    ("<article><p>One two three four five six seven.</p></article><article><p>a b</p></article><article><p>c d</p></article>", "One two three four five six seven."),
+    ("<article><p>One two.</p><p>a > b, \"c\" and 'd.</p><p class=it's>End.</p></article>", "One two.\na > b, \"c\" and 'd.\nEnd."),
+    ("<article><p>One two.</p><p class='x", "One two."),
+    ("<article><p>One <!-- no --> two.</p><script>if (a < b) '</p>'</SCRIPT ><p>End.</p></article><!-- never closed <p>no</p>", "One two.\nEnd."),
+])
+def test_hidden_broken_and_divided_pages(given, page, text):
+    _WEIGHTS[:] = _WEIGHTS or [pages.learn_weights(given("pages"))]
+    assert pages.main_text(page, _WEIGHTS[0]) == text
+
+
+@pytest.mark.parametrize("unit", ["<div ", "<script ", "<script>", "<div>", "</section>", "<a href=\"", "<a b='", "<!--", "<!x", "< ", "<div class=ad>", "<p hidden>x", "<svg ", "<a =  ", "<b>x</b>"])
+def test_pages_take_time_in_proportion(unit):
+    def seconds(size):
+        page = "<div>" * 2000 + (unit * (size // len(unit) + 1))[:size]
+        started = time.process_time()
+        pages.main_text(page, {pages.WORD_SLOT: 1.0})
+        return time.process_time() - started
+
+    assert seconds(800_000) < 20 * max(seconds(100_000), 0.02)
+
+
+def test_the_scan_covers_the_page():
+    r = random.Random(6)
+    bits = ["<p>", "</p>", "<div class='a>b'>", "text ", "<", ">", "<b", "'", '"', "=", "<!-- ", "-->", "<!", "<script>", "</script>", "<br/>", "&amp;", "<a x=\"y\" z='<i>'>"]
+    for _ in range(3000):
+        page = "".join(r.choices(bits, k=r.randint(0, 12)))
+        places = [place for place, _, _ in pages.tokens(page)]
+        assert places == sorted(set(places)) and all(page[p] == "<" for p, tag, _ in pages.tokens(page) if tag)
+        assert all(page.startswith(rest, p) for p, tag, rest in pages.tokens(page) if not tag)
+
+
 def test_best_region_is_the_best_of_all():
     r = np.random.default_rng(3)
     for _ in range(200):
