@@ -41,8 +41,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = open_table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing.plan_mix(docs))
+    sized = mixing.sizes(open_table(spark, sf_dir, "documents"))
+    return mixing.mix(sized, mixing.plan_sized(sized))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

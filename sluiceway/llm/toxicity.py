@@ -13,7 +13,8 @@ scoring reads every document whole.
 
 Defined cases: a null text reads as empty and scores its thresholds alone; labels that are null, or whose document is
 missing, are left out; a document labelled more than once is toxic if any label says so; without both classes nothing
-is rejected; repeated rows get one result each; an empty table gives an empty result.
+is rejected; of several documents with one id the smallest text is fitted; repeated rows get one result each; an empty
+table gives an empty result. The driver gets at most 2 * SAMPLE_ROWS rows.
 """
 
 from __future__ import annotations
@@ -86,8 +87,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     for value in (0, 1):
         part = clean.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    # At most 2 * rows narrow rows, so the broadcast is bounded.
-    return docs.join(F.broadcast(picked), "doc_id"), {k: n / min(n, rows) for k, n in totals.items()}
+    # At most 2 * rows narrow rows, so the broadcast is bounded; and one row for each of them, however often an id occurs.
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return found, {k: n / min(n, rows) for k, n in totals.items()}
 
 
 def select_features(sample: DataFrame, size: int = FEATURES) -> dict[str, bool]:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from awkward_rows import AWKWARD, DATA, LONG, awkward, frame, given, listed, no_docs, plain, prose  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -193,26 +194,65 @@ def brute_targets(sizes, weights=(5, 2, 1)):
         full |= {s: 3 * sizes[s] for s in over}
 
 
-def test_source_mix(given, awkward, no_docs):
-    for docs in (given("documents"), awkward):
-        plan = mixing.plan_mix(docs)
-        got = mixing.mix(docs, plan).collect()
-        sizes = Counter()
+def repeated(spark, seed=1):
+    """Repeated and null ids: (rows, source) of the same id and text, of the same id, and of no id."""
+    r = random.Random(seed)
+    rows = [(None, "w " * r.randint(0, 3), "nulls") for _ in range(1000)]
+    rows += [(k % 2, "a b c"[: 1 + 2 * (k % 2)], "two") for k in range(1000)] + [(7, "x " * 9, "one")] * 900 + [(7, "y " * k, "one") for k in range(40)]
+    rows += [(k, "z " * r.randint(1, 900), f"s{k % 9}") for k in range(2000, 2400)] + [(None, None, None)] * 3
+    r.shuffle(rows)
+    return spark.createDataFrame([(i, t, "en", s, 1, "clash", 1, "clash") for i, t, s in rows], frame(spark, AWKWARD).schema)
+
+
+def test_source_mix(spark, given, awkward, no_docs):
+    for docs in (given("documents"), awkward, repeated(spark)):
+        sized = mixing.sizes(docs)
+        plan = mixing.plan_sized(sized)
+        got = mixing.mix(sized, plan).collect()
+        words = Counter()
         for r in got:
-            sizes[r.source] += r.size
-        targets, taken = brute_targets(dict(sizes)), Counter()
-        largest = {s: max(r.size for r in got if r.source == s) for s in sizes}
+            words[r.source] += r.size
+        targets, taken = brute_targets(dict(words)), Counter()
+        largest = {s: max(r.size for r in got if r.source == s) for s in words}
+        assert len(got) == docs.count()
         for r in got:
-            assert r.source_size == sizes[r.source] and abs(r.target - targets[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+            assert r.source_size == words[r.source] and abs(r.target - targets[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
             taken[r.source] += r.taken
-        assert sum(targets.values()) == pytest.approx(sum(sizes.values()))
-        dup = 2 if docs is awkward else 1
-        assert all(abs(taken[s] - targets[s]) <= dup * largest[s] + 1e-6 for s in sizes)
-        again = Counter((r.doc_id, r.copies) for r in mixing.mix(docs, mixing.plan_mix(docs)).collect())
-        assert again == Counter((r.doc_id, r.copies) for r in got)
+        assert sum(targets.values()) == pytest.approx(sum(words.values()))
+        assert all(abs(taken[s] - targets[s]) <= largest[s] + 1e-6 for s in words)
+        again = Counter((r.doc_id, r.size, r.copies) for r in mixing.mix(sized, mixing.plan_mix(docs.repartition(3))).collect())
+        assert again == Counter((r.doc_id, r.size, r.copies) for r in got)
         mixed = mixing.mixed_documents(docs, plan)
         assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
-    assert mixing.mix(no_docs, mixing.plan_mix(no_docs)).count() == 0
+    empty = mixing.sizes(no_docs)
+    assert mixing.mix(empty, mixing.plan_sized(empty)).count() == 0
+
+
+def test_level_of_many_sources(spark):
+    r = random.Random(4)
+    for n in (1, 2, 40):
+        words = {f"u{k:03d}": r.choice([0, 1, r.randint(1, 9), r.randint(1, 9000)]) for k in range(n)}
+        words[None] = 5
+        sized = spark.createDataFrame([(s, w) for s, w in words.items()], "source string, size long")
+        assert {t.source: t.target for t in mixing.source_targets(sized).collect()} == pytest.approx({k: float(v) for k, v in brute_targets(words).items()})
+
+
+def test_inclusion_adds_up_to_what_is_needed(spark):
+    r = random.Random(5)
+    for share in (0.01, 0.4, 0.97):
+        found = [r.choice([r.randint(1, 20), r.randint(1, 4000)]) for _ in range(3000)]
+        needed = share * sum(found)
+        sized = spark.createDataFrame([("s", w) for w in found], "source string, size long")
+        targets = spark.createDataFrame([("s", needed)], "source string, needed double")
+        factor = mixing.inclusion_factors(sized, targets).first().factor
+        assert sum(min(1.0, factor * w**0.5) * w for w in found) == pytest.approx(needed, rel=0.02)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "other") for k in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    sample, _ = toxicity.labelled_sample(docs, labels, 5)
+    assert sample.count() <= 10 and sample.select("doc_id").distinct().count() == sample.count()
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -295,23 +335,39 @@ def brute_redacted(text):
     return out + text[at:]
 
 
+def brute_factor(found, needed):
+    classes = {}
+    for w in found:
+        classes.setdefault(math.floor(math.log(w) / math.log(2) * mixing.CLASSES), []).append(w)
+    above, most = 0, 1e-9
+    for c in sorted(classes, reverse=True):
+        factor = (needed - above) / sum(w * math.sqrt(w) for k, listed in classes.items() if k <= c for w in listed)
+        if 0 < factor and factor * math.sqrt(max(classes[c])) < 1:
+            return factor
+        most, above = max(most, factor), above + sum(classes[c])
+    return most
+
+
 def brute_copies(rows):
     """Copies by id of (doc_id, source, text): whole copies, and one more by rank until the words are nearest the target."""
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in rows}
-    words, sized = Counter(), Counter()
+    words = Counter()
     for i, s, _ in rows:
         words[s] += size[i]
-        sized[s] += size[i] > 0
     copies = {}
     for s, target in brute_targets(dict(words)).items():
         whole = min(3, int(target // words[s])) if words[s] else 0
-        ranked = []
-        for i in (i for i, source, _ in rows if source == s):
+        needed, ranked = target - whole * words[s], []
+        factor = brute_factor([size[i] for i, source, _ in rows if source == s and size[i]], needed)
+        for i, text in ((i, t) for i, source, t in rows if source == s):
             copies[i] = whole
             if size[i]:
-                u = (int(hashlib.md5(f"{mixing.SEED}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
-                ranked.append((u / (1 - u) * math.sqrt(words[s] / sized[s] / size[i]), i))
-        total, needed = 0, target - whole * words[s]
+                digest = xxhash.xxh64_intdigest(text.encode(), seed=42)
+                digest -= (digest >> 63) << 64
+                u = (int(hashlib.md5(f"{mixing.SEED}|{i}|{digest}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+                p = factor * math.sqrt(size[i])
+                ranked.append((u - 1 if p >= 1 else u / (1 - u) * ((1 - p) / p), i))
+        total = 0
         for _, i in sorted(ranked):
             if total + size[i] / 2 > needed:
                 break
