@@ -10,14 +10,16 @@ Equal texts are one node from the start. Signatures are cut into BANDS bands; no
 1. Every node is compared with the smallest node of each of its buckets, and components of the links are formed.
 2. Buckets whose other members are not all in one component yet are searched again: every member outside the bucket's
    largest component is held against all members of other components, in blocks of bounded size, by signatures of
-   LONG places of which a byte each is kept; pairs that agree in LEAST_AGREEMENT of them are compared as texts as well
-   (a pair at similarity 0.8 agrees in fewer with a probability below 0.001).
+   LONG places of which a byte each is kept; pairs that agree in `least` of them are compared as texts as well (a pair
+   at similarity 0.8 agrees in less than LEAST_AGREEMENT of them with a probability below 1e-8; 0 compares all).
+   Members of the largest component are only sent to blocks of others, never to each other.
 So no pair of a bucket is left out, and pairs within a component are not needed. A pair at similarity 0.8 shares no
 bucket with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.1e-7. Comparison is exact, on the shingles of both texts.
 
 Defined cases: a null text reads as empty; texts without words are only ever copies of equal texts; texts of fewer than
-five words have one shingle of all of them; rows that share an id are one document; rows with a null id and equal text
-are one document, whose negative node number comes from the text; an empty table gives an empty result.
+five words have one shingle of all of them; texts are compared, not ids, so rows that share an id but not a text may be
+of different classes; a class is named by its smallest id, or by a negative number from its texts if no row has one;
+of a class the row with the smallest id (null last) and text digest stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ BANDS = 30
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 LONG = 768
-LEAST_AGREEMENT = 0.75
+LEAST_AGREEMENT = 0.72
 BLOCK = 2000
 
 
@@ -185,16 +187,15 @@ def verified(pairs: DataFrame, involved: DataFrame) -> DataFrame:
 def cross_pairs(members: dict[str, np.ndarray], least: int) -> tuple[list[int], list[int]]:
     """Pairs of different components whose signatures agree in at least `least` places, one of each outside the largest.
 
-    A pair that shares several buckets belongs to the one of its first common band, and in a part made of two blocks a
-    pair has one member of each, so every pair comes up once."""
-    node, sig, bands, block = (members[k] for k in ("node", "sig", "bands", "block"))
-    _, at, counts = np.unique(members["root"], return_inverse=True, return_counts=True)
-    outside, apart = at != counts.argmax(), members["crossed"]
+    A pair that shares several buckets belongs to the one of its first common band. In a part made of two blocks a pair
+    has one member of each; members of the largest component lie in blocks of their own. So every pair comes up once."""
+    node, sig, bands, block, root, outside = (members[k] for k in ("node", "sig", "bands", "block", "root", "outside"))
+    apart = members["crossed"]
     a: list[int] = []
     b: list[int] = []
     for i in np.flatnonzero(outside):
-        may = (at != at[i]) & (~outside | (node > node[i]))
-        others = np.flatnonzero(may & (block != block[i]) if apart else may)
+        may = (root != root[i]) & (~outside | (node > node[i]))
+        others = np.flatnonzero(may & ((block != block[i]) | ~outside) if apart else may)
         hits = others[(sig[others] == sig[i]).sum(1) >= least]
         common = bands[hits] == bands[i]
         first = bands[i][common.argmax(1)] == members["key"]
@@ -204,29 +205,40 @@ def cross_pairs(members: dict[str, np.ndarray], least: int) -> tuple[list[int],
     return a, b
 
 
-def second_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
+def second_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, involved: DataFrame, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """Candidate pairs among the members of a bucket other than its smallest, where they are not one component."""
     rows = buckets.where("node <> pivot").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = stored(rows.join(open_keys, "key").select("key", "node", "root", "blocks"), "open-buckets")
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("inner"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = open_keys.select("key", "largest", F.ceil((F.col("n") - F.col("inner")) / BLOCK).cast("int").alias("outer_blocks"), F.ceil(F.col("inner") / BLOCK).cast("int").alias("inner_blocks"))
+    members = stored(rows.join(blocks, "key").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "open-buckets")
     wanted = members.select("node").distinct()
-    known = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min_by("bands", "digest").alias("bands"))
+    known = nodes.join(wanted, "node", "left_semi").select("node", "bands")
     long = stored(long_signatures(involved.join(wanted, "node", "left_semi")).join(known, "node"), "long-signatures")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = members.join(long, "node").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def numbers(blocks: str) -> Column:
+        return F.sequence(F.lit(0), F.col(blocks) - 1)
+
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("outer_blocks")).otherwise(F.col("inner_blocks"))).cast("int")
+    placed = members.join(long, "node").withColumn("block", block)
+    # Outsiders meet each other in pairs of blocks (kind 0), and the largest component's members in others (kind 1).
+    meet = F.transform(numbers("outer_blocks"), lambda o: F.struct(F.lit(0).alias("kind"), F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    cross = F.transform(numbers("inner_blocks"), lambda o: F.struct(F.lit(1).alias("kind"), F.col("block").alias("x"), o.alias("y")))
+    from_inside = F.transform(numbers("outer_blocks"), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("x"), F.col("block").alias("y")))
+    spread = placed.withColumn("part", F.explode(F.when(F.col("outside"), F.concat(meet, cross)).otherwise(from_inside)))
     keyed = spread.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "sig", "bands", "key", "block",
-        (F.col("block") != F.col("other")).alias("crossed"))
+        F.xxhash64("key", "part").alias("part"), "node", "root", "sig", "bands", "key", "block", "outside",
+        ((F.col("part.kind") == 1) | (F.col("part.x") != F.col("part.y"))).alias("crossed"))
     target = arrow_schema("a long,b long")
-    least = int(np.ceil(LEAST_AGREEMENT * LONG))
+    least = int(np.ceil(least_agreement * LONG))
 
     def run(batches):
         for group in grouped(batches, "part"):
             column = {name: group.column(i) for i, name in enumerate(group.schema.names)}
             node, once = np.unique(column["node"].to_numpy(zero_copy_only=False), return_index=True)
-            members = {
-                "node": node, "root": column["root"].to_numpy(zero_copy_only=False)[once], "block": column["block"].to_numpy(zero_copy_only=False)[once],
-                "sig": np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint8).reshape(-1, LONG)[once],
+            members = {name: column[name].to_numpy(zero_copy_only=False)[once] for name in ("root", "block", "outside")} | {
+                "node": node, "sig": np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint8).reshape(-1, LONG)[once],
                 "bands": column["bands"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)[once],
                 "key": column["key"][0].as_py(), "crossed": column["crossed"][0].as_py(),
             }
@@ -240,48 +252,49 @@ def second_pairs(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, involve
 
 # --- classes -------------------------------------------------------------------------------------------------------------
 
-def node_id(doc_id: Column, digest: Column) -> Column:
-    """The id, or for a null id a negative number from the text's digest."""
-    return F.coalesce(doc_id.cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(digest), 1))
-
-
-def near_copy_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest) of every row, and (digest, node, root) of every different text."""
+def near_copy_nodes(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, and (digest, id, root, class_id, stays) of every different text: its smallest id, the
+    node that its class is known by, the class's smallest id, and whether this text is the one that stays."""
     read = texts(docs)
     rows = stored(signatures(read), "signatures")
+    # Numbers given while writing: different for different texts, whatever their ids are.
     nodes = stored(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-        .select("digest", node_id(F.col("id"), F.col("digest")).alias("node"), "bands"), "nodes")
+        rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
     buckets = stored(spread.join(shared, "key"), "buckets")
 
-    wanted = buckets.select("node").distinct()
-    named = read.withColumn("node", node_id(F.col("doc_id"), F.unhex(F.md5("text"))))
-    involved = stored(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "involved")
+    # One row of each text is read again: that of its smallest id, so a text's copies are not gathered.
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "digest", F.coalesce("id", F.lit(0)).alias("known"), F.col("id").isNull().alias("unnamed"))
+    named = read.select(F.unhex(F.md5("text")).alias("digest"), F.coalesce("doc_id", F.lit(0)).alias("known"), F.col("doc_id").isNull().alias("unnamed"), "text")
+    involved = stored(named.join(wanted, ["digest", "known", "unnamed"]).groupBy("node").agg(F.min("text").alias("text")), "involved")
 
     first = stored(verified(buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), involved), "star-links")
     roots = components(first)
-    second = stored(verified(stored(second_pairs(buckets, roots, nodes, involved), "second-pairs"), involved), "second-links")
+    second = stored(verified(stored(second_pairs(buckets, roots, nodes, involved, least_agreement), "second-pairs"), involved), "second-links")
     if not second.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-    classed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("root"))
-    return rows.select("doc_id", "digest"), classed
+    linked = stored(nodes.select("digest", "id", "node").join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root")), "linked-texts")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")
+    heads = linked.groupBy("root").agg(F.min(order).alias("head"))
+    unnamed = -1 - F.shiftrightunsigned(F.xxhash64("head.digest"), 1)
+    classed = linked.join(heads, "root").select("digest", "id", "root", F.coalesce("head.id", unnamed).alias("class_id"), (F.col("digest") == F.col("head.digest")).alias("stays"))
+    return rows.select("doc_id", "digest"), stored(classed, "classes")
 
 
-def near_copy_classes(docs: DataFrame) -> DataFrame:
+def near_copy_classes(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), and whether it is the one that stays."""
-    rows, classed = near_copy_nodes(docs)
+    rows, classed = near_copy_nodes(docs, least_agreement)
     joined = rows.join(classed, "digest")
-    return joined.select("doc_id", F.col("root").alias("class_id"), (node_id(F.col("doc_id"), F.col("digest")) == F.col("root")).alias("stays"))
-
-
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each class, with all their columns; of rows that share an id, the one whose
-    text has the smallest digest."""
-    _, classed = near_copy_nodes(docs)
-    kept = classed.where("node = root").select(F.col("node").alias("__node")).distinct()
-    keyed = docs.withColumn("__digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("__node", node_id(F.col("doc_id"), F.unhex("__digest")))
-    one = keyed.join(kept, "__node", "left_semi").groupBy("__node").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__digest").alias("row"))
-    return one.select("row.*")
+    return joined.select("doc_id", "class_id", (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("id"))).alias("stays"))
+
+
+def keep_one_of_each(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """The documents that stay, one of each class, with all their columns."""
+    _, classed = near_copy_nodes(docs, least_agreement)
+    kept = classed.where("stays").select(F.col("digest").alias("__digest"), F.coalesce("id", F.lit(0)).alias("__known"), F.col("id").isNull().alias("__unnamed"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("__digest"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__known"), F.col("doc_id").isNull().alias("__unnamed"))
+    keys = ["__digest", "__known", "__unnamed"]
+    return keyed.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")

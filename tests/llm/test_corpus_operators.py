@@ -43,16 +43,64 @@ def brute_classes(rows):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_near_copies(given, awkward, no_docs):
+def listed_classes(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    return Counter(tuple(sorted(g, key=lambda i: (i is None, i or 0))) for g in got.values())
+
+
+def brute_list(rows):
+    """As listed_classes, with classes of the same name joined."""
+    by = {}
+    for k, g in enumerate(brute_groups(rows)):
+        ids = sorted(g, key=lambda i: (i is None, i or 0))
+        by.setdefault(ids[0] if ids[0] is not None else f"unnamed {k}", []).extend(ids)
+    return Counter(tuple(sorted(g, key=lambda i: (i is None, i or 0))) for g in by.values())
+
+
+def brute_groups(rows):
+    places = brute_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    return [[rows[k][0] for k in sorted(places_of)] for places_of in places]
+
+
+@pytest.mark.parametrize("least", [near_copies.LEAST_AGREEMENT, 0.0])
+def test_near_copies(given, awkward, no_docs, least):
     docs = given("documents")
     got = {}
-    for r in near_copies.near_copy_classes(docs).collect():
+    for r in near_copies.near_copy_classes(docs, least).collect():
         got.setdefault(r.class_id, set()).add(r.doc_id)
     assert {frozenset(g) for g in got.values()} == brute_classes(plain(docs)) and all(k == min(v) for k, v in got.items())
     assert near_copies.near_copy_classes(no_docs).count() == 0
-    by = listed(near_copies.near_copy_classes(awkward.where("doc_id is not null and doc_id <> 11")))
-    assert by[5].class_id == by[6].class_id == 5 and by[7].class_id == by[8].class_id == by[9].class_id == by[-3].class_id == -3
-    assert by[1].class_id == by[2].class_id == 1 and by[3].class_id == 3 and by[4].class_id == 4
+    assert listed_classes(near_copies.near_copy_classes(awkward, least)) == brute_list([(i, t or "") for i, t in AWKWARD])
+
+
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    same = prose(21, 90)
+    rows = [(5, prose(20, 60)), (5, same), (7, same + " tail"), (None, same + " other end"), (None, prose(22, 40)), (None, prose(22, 40)), (None, prose(23, 40)), (5, same), (9, prose(20, 60) + " x")]
+    docs = frame(spark, rows)
+    got = near_copies.near_copy_classes(docs).collect()
+    assert Counter((r.doc_id, r.class_id if r.class_id >= 0 else "none") for r in got) == Counter(
+        {(5, 5): 3, (7, 5): 1, (None, 5): 1, (9, 5): 1, (None, "none"): 3}) and len({r.class_id for r in got if r.class_id < 0}) == 2
+    assert Counter((r.doc_id, r.text) for r in near_copies.keep_one_of_each(docs).collect()) == Counter(
+        [(5, prose(20, 60)), (5, same), (None, prose(22, 40)), (None, prose(23, 40))])
+
+
+def test_copies_at_many_distances(spark):
+    """Planted copies with more and more words changed: exactly those at 0.8 or more are linked to their original."""
+    r, rows, want = random.Random(11), [], 0
+    for k in range(120):
+        words = prose(1000 + k, 120).split()
+        own = list(words)
+        for p in r.sample(range(120), k % 9):
+            own[p] = f"new{p}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(own))]
+    by = listed(near_copies.near_copy_classes(frame(spark, rows)))
+    for k in range(120):
+        close = near_copies.probability_jaccard(near_copies.shingles(rows[2 * k][1]), near_copies.shingles(rows[2 * k + 1][1])) >= 0.8
+        want += close
+        assert by[2 * k + 1].class_id == (2 * k if close else 2 * k + 1)
+    assert 40 < want < 110
 
 
 def test_one_of_each_stays(awkward, no_docs):
