@@ -11,7 +11,7 @@ Equal texts are one node from the start. Signatures are cut into BANDS bands; no
 2. Buckets whose other members are not all in one component yet are searched again: every member outside the bucket's
    largest component is held against all members of other components, in blocks of bounded size, by signatures of
    LONG places of which a byte each is kept; pairs that agree in `least` of them are compared as texts as well (a pair
-   at similarity 0.8 agrees in less than LEAST_AGREEMENT of them with a probability below 1e-8; 0 compares all).
+   at similarity 0.8 agrees in less than LEAST_AGREEMENT of them with a probability below 1e-4; 0 compares all).
    Members of the largest component are only sent to blocks of others, never to each other.
 So no pair of a bucket is left out, and pairs within a component are not needed. A pair at similarity 0.8 shares no
 bucket with a probability of (1 - 0.8 ** ROWS) ** BANDS = 1.1e-7. Comparison is exact, on the shingles of both texts.
@@ -41,8 +41,8 @@ SIMILAR = 0.8
 BANDS = 30
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-LONG = 768
-LEAST_AGREEMENT = 0.72
+LONG = 1024
+LEAST_AGREEMENT = 0.75
 BLOCK = 2000
 
 
