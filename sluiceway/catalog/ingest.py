@@ -144,6 +144,30 @@ def incremental_row_counts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "load int, mode string, extracted bigint")
 
 
+@query("widened_merge", "S4", """
+    select o_orderkey, cast(o_custkey as decimal(20,0)) as o_custkey, cast(o_totalprice as decimal(18,3)) as price,
+           case when o_orderkey % 3 = 0 then cast(cast(o_orderdate as date) as timestamp) else o_orderdate end as moment,
+           case when o_orderkey % 3 = 0 then substr(o_orderpriority, 1, 1) else o_orderpriority end as priority,
+           case when o_orderkey % 3 = 2 then o_orderstatus end as status
+    from orders""")
+def widened_merge(t: Tables) -> DataFrame:
+    """Three loads whose columns grow: int to long to decimal, a date to a timestamp, a number to text, and a new column."""
+    def load(third: int, custkey: str, price: str, moment: str, priority, *more):
+        return t.orders.where(F.col("o_orderkey") % 3 == third).select(
+            "o_orderkey", F.col("o_custkey").cast(custkey).alias("o_custkey"), F.col("o_totalprice").cast(price).alias("price"),
+            F.col("o_orderdate").cast(moment).alias("moment"), priority.alias("priority"), *more)
+
+    store, code = _store(t, "widened"), F.substring("o_orderpriority", 1, 1).cast("int")
+    rule = Incremental("moment", ["o_orderkey"])
+    first = load(0, "int", "decimal(12,2)", "date", code)
+    second = load(1, "bigint", "decimal(17,2)", "timestamp_ntz", F.col("o_orderpriority"))
+    third = load(2, "decimal(20,0)", "decimal(14,3)", "timestamp_ntz", F.col("o_orderpriority"), F.col("o_orderstatus").alias("status"))
+    load_table(store, "landing", "orders", first, "1", rule)
+    for version, more in (("2", second), ("3", third)):
+        store.merge(store.current("landing", "orders"), more, version)
+    return store.read("landing", "orders")
+
+
 @query("full_refresh", "S5 S6", "select user_id, event_type, event_id, ts, value from events where event_type <> 'error'")
 def full_refresh(t: Tables) -> DataFrame:
     """Rows deleted at the source go only with a full refresh."""

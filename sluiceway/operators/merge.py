@@ -20,10 +20,14 @@ def past_cursor(df: DataFrame, cursor: str, last) -> DataFrame:
     return df.where((F.col(cursor) >= (last if isinstance(last, Column) else F.lit(last))) | F.col(cursor).isNull())
 
 
-def latest_versions(delta: DataFrame, keys: Sequence[str], cursor: str, load: str | None = None) -> DataFrame:
-    """The newest row of each key by the cursor; of equal ones that of the latest `load`."""
-    rest = [asc(c) for c in delta.columns if c not in {*keys, cursor, load}]
-    return keep_first(delta, keys, [desc(cursor), *([desc(load)] if load else []), *rest])
+def latest_versions(delta: DataFrame, keys: Sequence[str], cursor: str) -> DataFrame:
+    """The newest row of each key by the cursor."""
+    return _newest(delta, keys, cursor)
+
+
+def _newest(rows: DataFrame, keys: Sequence[str], cursor: str, load: str | None = None) -> DataFrame:
+    rest = [asc(c) for c in rows.columns if c not in {*keys, cursor, load}]
+    return keep_first(rows, keys, [desc(cursor), *([desc(load)] if load else []), *rest])
 
 
 LOAD = "__load"
@@ -32,16 +36,15 @@ LOAD = "__load"
 def merge_changes(base: DataFrame, delta: DataFrame, keys: Sequence[str], cursor: str) -> DataFrame:
     """`base` with the rows of `delta` inserted or replaced on `keys`; a second run changes nothing.
 
-    The newest row by the cursor wins wherever it lies, and `delta` wins between equal ones (its own rows by an optional
-    column `__load`). A NULL key is a key like any other. Only base rows whose key changed are regrouped; when the
-    changed keys fit a broadcast, the rest of `base` is filtered in place and never shuffled.
+    The newest row by the cursor wins wherever it lies, and `delta` wins between equal ones. A NULL key is a key like any
+    other. Only base rows whose key changed are regrouped; when the changed keys fit a broadcast, the rest of `base` is
+    filtered in place and never shuffled.
     """
-    loaded = delta if LOAD in delta.columns else delta.withColumn(LOAD, F.lit(1))
     changed = stored_side(delta.select(*keys).distinct(), "changed-keys").alias("c")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}"))
     known = base.alias("b")
     touched = known.join(changed, same, "left_semi").withColumn(LOAD, F.lit(0))
-    newest = latest_versions(touched.unionByName(loaded.withColumn(LOAD, F.col(LOAD).cast("int"))), keys, cursor, LOAD).drop(LOAD)
+    newest = _newest(touched.unionByName(delta.withColumn(LOAD, F.lit(1))), keys, cursor, LOAD).drop(LOAD)
     return known.join(changed, same, "left_anti").select(*base.columns).unionByName(newest.select(*base.columns))

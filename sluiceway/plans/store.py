@@ -1,8 +1,7 @@
 """Versioned tables on plain files.
 
-A table version is a set of directories that never change: one base, and for merged tables the
-deltas since. What is current is decided by publish records: one small file names every table of a
-publish, so several tables change together or not at all.
+A table version is one folder that never changes, written by one job under one schema. What is current is decided by
+publish records: one small file names every table of a publish, so several tables change together or not at all.
 """
 
 from __future__ import annotations
@@ -10,32 +9,30 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from functools import reduce
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators.merge import LOAD, merge_changes
+from sluiceway.operators.merge import merge_changes
+from sluiceway.operators.widen import TypeConflict, common_schema, under_schema, widest
 from sluiceway.records import append_records, read_records
+from sluiceway.session import scratch_path
 
 PUBLISHED = (
     "namespace string, table string, version string, path string, schema string, rows bigint, "
-    "deltas array<string>, delta_rows bigint, keys array<string>, cursor string, high string, seq bigint"
+    "keys array<string>, cursor string, high string, seq bigint"
 )
-
-# Deltas are folded into the base when they pass this share of it, or this many directories. What a table holds does
-# not depend on that: the newest row by the cursor wins in a delta, in the base and between both.
-FOLD_SHARE = 0.1
-FOLD_DELTAS = 50
+REJECTED = "namespace string, table string, run string, schema string, seq bigint"
 
 
 @dataclass(frozen=True)
 class Version:
-    """A publish record. `rows` counts the base, `high` is the highest cursor value as text, and `merged`
-    (not stored) the rows of the merge that made this version."""
+    """A publish record. `high` is the highest cursor value as text, and `merged` (not stored) the rows of the merge
+    that made this version."""
 
     namespace: str
     table: str
@@ -43,8 +40,6 @@ class Version:
     path: str
     schema: str
     rows: int
-    deltas: tuple[str, ...] = ()
-    delta_rows: int = 0
     keys: tuple[str, ...] = ()
     cursor: str | None = None
     high: str | None = None
@@ -56,10 +51,6 @@ class Version:
         return T.StructType.fromJson(json.loads(self.schema))
 
 
-def replace_nullable(field: T.StructField) -> T.StructField:
-    return T.StructField(field.name, field.dataType, True)
-
-
 def landing_namespace(flow_name: str, override: str | None = None) -> str:
     return override or f"{flow_name}_landing"
 
@@ -87,7 +78,7 @@ class TableStore:
         if record is None:
             return None
         values = record.asDict()
-        return Version(**{**values, "deltas": tuple(values["deltas"] or ()), "keys": tuple(values["keys"] or ())})
+        return Version(**{**values, "keys": tuple(values["keys"] or ())})
 
     def read(self, namespace: str, table: str) -> DataFrame:
         version = self.current(namespace, table)
@@ -96,15 +87,9 @@ class TableStore:
         return self.read_version(version)
 
     def read_version(self, version: Version) -> DataFrame:
-        schema = version.struct
         if version.rows == 0:
-            base = self.spark.createDataFrame([], schema)
-        else:
-            base = self.spark.read.schema(schema).parquet(version.path)
-        if not version.deltas:
-            return base
-        loads = [self.spark.read.schema(schema).parquet(path).withColumn(LOAD, F.lit(i + 1)) for i, path in enumerate(version.deltas)]
-        return merge_changes(base, reduce(DataFrame.unionByName, loads), version.keys, version.cursor)
+            return self.spark.createDataFrame([], version.struct)
+        return self.spark.read.schema(version.struct).parquet(version.path)
 
     # ---- writing
 
@@ -122,14 +107,6 @@ class TableStore:
             raise ValueError(f"rows without a value cannot be merged: {missing} (column: rows) in {path}")
         return seen.get["n"], seen.get.get("high")
 
-    def higher(self, schema: T.StructType, cursor: str, *values: str | None) -> str | None:
-        """The greatest of cursor values kept as text, compared in the cursor's type."""
-        kind = schema[cursor].dataType
-        known = [F.lit(v).cast(kind) for v in values if v is not None]
-        if len(known) < 2:
-            return next((v for v in values if v is not None), None)
-        return self.spark.range(1).select(F.greatest(*known).cast("string").alias("high")).first()["high"]
-
     def publish(self, versions: Sequence[Version]) -> None:
         """Make versions current, all of them by one record file."""
         seq = time.time_ns()
@@ -152,29 +129,30 @@ class TableStore:
         return {v.table: v.rows for v in staged}
 
     def merge(self, old: Version, delta: DataFrame, version: str) -> Version:
-        """Merge changed rows into the current version of a table that has keys and a cursor.
+        """Merge changed rows into the current version of a table that has keys and a cursor, as one new version.
 
-        Only the changed rows are written. They are merged when the table is read, without a shuffle
-        of the base while they are few, and folded into a new base once they are not.
+        Columns may be new, and their types may grow (see `widen`): the old rows are then read under the wider type, so
+        one version has one schema. A column that is gone, or whose types have nothing in common, is refused by name
+        before anything is written. While the changed keys fit a broadcast the old rows are copied without a shuffle.
         """
         if not old.keys or old.cursor is None:
             raise LookupError(f"{old.namespace}.{old.table} was not published with keys and a cursor")
-        gone = [c for c in old.struct.names if c not in delta.columns]
+        known = {c.lower() for c in delta.columns}
+        gone = [c for c in old.struct.names if c.lower() not in known]
         if gone:
             raise ValueError(f"{old.namespace}.{old.table}: the source no longer has column(s) {gone}; load it in full")
-        # Columns the source has gained are landed; rows from before have NULL there.
-        gained = [replace_nullable(delta.schema[c]) for c in delta.columns if c not in old.struct.names]
-        schema = T.StructType([*old.struct.fields, *gained])
-        path = self.path_for(old.namespace, old.table, version, "d")
-        rows, high = self.write(path, delta.select(*schema.names), old.keys, old.cursor)
+        try:
+            schema = common_schema(old.struct, delta.schema, keep=[old.cursor])
+        except TypeConflict as exc:
+            raise TypeConflict(f"{old.namespace}.{old.table}: {exc}; load it in full") from None
+        # Written apart first, so that the source is read once and its rows are measured before they are merged.
+        changes = scratch_path(self.spark, "changes")
+        rows, _ = self.write(changes, under_schema(delta, schema), old.keys, old.cursor)
         if rows == 0:
             return old
-        deltas = (*old.deltas, path)
-        new = replace(
-            old, version=version, schema=schema.json(), deltas=deltas, delta_rows=old.delta_rows + rows, high=self.higher(schema, old.cursor, old.high, high))
-        if new.delta_rows > FOLD_SHARE * old.rows or len(deltas) > FOLD_DELTAS:
-            high = new.high
-            new = replace(self.stage(old.namespace, old.table, self.read_version(new), version, old.keys, old.cursor), high=high)
+        base = under_schema(self.read_version(old), schema)
+        merged = merge_changes(base, self.spark.read.schema(schema).parquet(changes), old.keys, old.cursor)
+        new = self.stage(old.namespace, old.table, merged, version, old.keys, old.cursor)
         self.publish([new])
         return replace(new, merged=rows)
 
@@ -185,7 +163,22 @@ class TableStore:
 
     def add_rejected(self, namespace: str, table: str, rejected: DataFrame, run: str) -> None:
         rejected.write.mode("overwrite").parquet(f"{self.quarantine_path(namespace, table)}/run={run}")
+        record = {"namespace": namespace, "table": table, "run": run, "schema": rejected.schema.json(), "seq": time.time_ns()}
+        append_records(self.spark, f"{self.root}/_rejected", [record], REJECTED)
 
     def read_rejected(self, namespace: str, table: str) -> DataFrame:
-        """All rejected rows of all runs; rows written under older table shapes keep NULL in newer columns."""
-        return self.spark.read.option("mergeSchema", "true").parquet(self.quarantine_path(namespace, table)).drop("run")
+        """All rejected rows of all runs, each run's files under the schema they were written with and then under one that
+        holds all; rows written under older table shapes keep NULL in newer columns."""
+        mine = read_records(self.spark, f"{self.root}/_rejected", REJECTED).where((F.col("namespace") == namespace) & (F.col("table") == table))
+        newest = mine.groupBy("run").agg(F.max_by("schema", "seq").alias("schema"), F.max("seq").alias("seq"))
+        # One row for every table shape.
+        shapes = newest.groupBy("schema").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.min("seq").alias("seq")).orderBy("seq").collect()
+        if not shapes:
+            raise LookupError(f"{namespace}.{table} has no rejected rows")
+        schemas = [T.StructType.fromJson(json.loads(s["schema"])) for s in shapes]
+        schema, path = widest(schemas), self.quarantine_path(namespace, table)
+        parts = [
+            under_schema(self.spark.read.schema(own).parquet(*[f"{path}/run={run}" for run in shape["runs"]]), schema)
+            for own, shape in zip(schemas, shapes)
+        ]
+        return reduce(DataFrame.unionByName, parts)

@@ -1,12 +1,15 @@
 """Store, loads, bronze, ledger, staged runs and the stream."""
 
 import datetime as dt
+import itertools
 import json
 import random
 import os
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import rows
 from sluiceway import bronze
@@ -15,6 +18,8 @@ from sluiceway.gates import NotNull, Quarantine, RowCountBounds, Unique
 from sluiceway.gates.model import GateError
 from sluiceway.ledger import reports
 from sluiceway.ledger.store import Ledger
+from sluiceway.operators.merge import merge_changes
+from sluiceway.operators.widen import TypeConflict, common_schema, common_type
 from sluiceway.plans.staged import Flow, Stage, build_models, run_flow
 from sluiceway.plans.store import TableStore, landing_namespace
 from sluiceway.plans.validate import Expected, validate
@@ -71,20 +76,81 @@ def test_incremental_load(store, table):
     assert rows(store.read("l", "t"), "id") == [(3,), (4,), (9,)]
 
 
-def test_few_changes_do_not_rewrite_the_base(store, spark):
+def test_few_changes_do_not_shuffle_the_base(store, spark):
     base = spark.range(1000).selectExpr("id", "timestamp_ntz'2026-01-01' as at", "'a' as v")
     rule = Incremental("at", "id")
     load_table(store, "l", "t", base, "1", rule)
-    path = store.current("l", "t").path
     newer = spark.range(5).selectExpr("id", "timestamp_ntz'2026-01-02' as at", "'b' as v")
+    merged = merge_changes(store.read("l", "t"), newer, ["id"], "at")
+    assert "Union\n   :- BroadcastHashJoin" in merged._jdf.queryExecution().executedPlan().toString()
     load_table(store, "l", "t", newer, "2", rule)
-    now = store.current("l", "t")
-    assert now.path == path and len(now.deltas) == 1
-    assert store.read("l", "t").where("v = 'b'").count() == 5 and store.read("l", "t").count() == 1000
-    plan = store.read("l", "t")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+    assert store.read("l", "t").where("v = 'b'").count() == 5 and store.read("l", "t").count() == store.current("l", "t").rows == 1000
     load_table(store, "l", "t", base.withColumn("at", F.col("at") + F.expr("interval 9 days")), "3", rule)
-    assert store.current("l", "t").deltas == () and store.read("l", "t").where("v = 'a'").count() == 1000
+    assert store.read("l", "t").where("v = 'a'").count() == 1000
+
+
+TYPES = {
+    "tinyint": 7, "smallint": 300, "int": 70_000, "bigint": 5_000_000_000, "decimal(5,2)": "123.45", "decimal(30,4)": "12345678901234567890.1234", "float": 1.5, "double": 2.25,
+    "date": "2026-01-02", "timestamp_ntz": "2026-01-02 03:04:05", "timestamp": "2026-01-02 03:04:05", "string": "text", "boolean": "true", "binary": "x",
+}
+
+
+def test_common_types_hold_every_value_of_both(spark):
+    """Every pair of plain types: both values survive the way into the common type and back, or there is none."""
+    kinds = {name: T.StructType.fromDDL(f"v {name}")["v"].dataType for name in TYPES}
+    refused = set()
+    for a, b in itertools.combinations(TYPES, 2):
+        common = common_type(kinds[a], kinds[b])
+        assert common == common_type(kinds[b], kinds[a])
+        if common is None:
+            refused.add((a, b))
+            continue
+        for name in (a, b):
+            value = F.lit(TYPES[name]).cast(kinds[name])
+            r = spark.range(1).select(value.alias("x"), value.cast(common).cast(kinds[name]).alias("y")).first()
+            assert r.x == r.y is not None, (a, b, common)
+    assert {("bigint", "float"), ("bigint", "double"), ("timestamp_ntz", "timestamp"), ("string", "binary"), ("int", "date"), ("double", "date")} <= refused
+    assert not {("int", "bigint"), ("bigint", "decimal(5,2)"), ("date", "timestamp_ntz"), ("int", "double"), ("double", "string")} & refused
+
+
+def test_common_types_inside_and_their_limits():
+    def kind(ddl):
+        return T.StructType.fromDDL(f"v {ddl}")["v"].dataType
+
+    assert common_type(kind("struct<a:int,b:date>"), kind("struct<B:timestamp,c:string>")) == kind("struct<a:int,b:timestamp,c:string>")
+    assert common_type(kind("array<int>"), kind("array<decimal(12,1)>")) == kind("array<decimal(12,1)>")
+    assert common_type(kind("map<string,int>"), kind("map<string,bigint>")) == kind("map<string,bigint>")
+    for a, b in (("decimal(38,0)", "decimal(38,1)"), ("decimal(30,20)", "bigint"), ("array<int>", "int"), ("struct<a:int>", "string"), ("struct<a:int>", "struct<a:date>"), ("map<int,int>", "map<string,int>")):
+        assert common_type(kind(a), kind(b)) is None
+    with pytest.raises(TypeConflict, match="a: int and date; b: bigint and double"):
+        common_schema(T.StructType.fromDDL("a int, b bigint, c int"), T.StructType.fromDDL("a date, b double, c string"))
+
+
+def test_merges_widen_columns_or_refuse_before_they_publish(store, table):
+    store.publish([store.stage("n", "t", table({"id": "int", "at": "date", "v": "int"}, (1, dt.date(2026, 1, 1), 5), (2, dt.date(2026, 1, 1), 6)), "1", ["id"], "at")])
+    for n, kind in enumerate(("bigint", "decimal(20,2)", "string")):
+        value = {"bigint": 7 << 40, "decimal(20,2)": Decimal("8.25"), "string": "nine"}[kind]
+        store.merge(store.current("n", "t"), table({"ID": "bigint", "at": "timestamp_ntz", "v": kind}, (1, at(2 + n), value)), str(n))
+        held = store.read("n", "t")
+        assert held.count() == 2 and held.columns == ["id", "at", "v"] and dict(held.dtypes)["v"] == ["bigint", "decimal(21,2)", "string"][n]
+    assert rows(store.read("n", "t"), "id", "v") == [(1, "nine"), (2, "6.00")]
+    before = store.current("n", "t")
+    for columns, row in (({"id": "bigint", "at": "timestamp", "v": "string"}, (1, at(9) + "Z", "x")), ({"id": "bigint", "at": "string", "v": "string"}, (1, "2026-02-02", "x"))):
+        with pytest.raises(TypeConflict, match="n.t: no common type for at: timestamp_ntz"):
+            store.merge(before, table(columns, row), "9")
+    assert store.current("n", "t") == before and store.read("n", "t").count() == 2
+    # Narrower rows land under the wide type.
+    store.merge(before, table({"id": "int", "at": "date", "v": "int"}, (3, dt.date(2026, 3, 1), 4)), "10")
+    assert rows(store.read("n", "t"), "id", "v") == [(1, "nine"), (2, "6.00"), (3, "4")]
+
+
+def test_rejected_rows_of_all_shapes_stay_readable(store, table):
+    store.add_rejected("n", "t", table({"id": "int", "v": "date"}, (1, dt.date(2026, 1, 1))), "a")
+    store.add_rejected("n", "t", table({"id": "bigint", "v": "string", "w": "int"}, (2, "x", 3)), "b")
+    store.add_rejected("n", "t", table({"id": "int", "v": "date"}, (4, None)), "c")
+    for _ in range(2):
+        assert rows(store.read_rejected("n", "t"), "id", "v", "w") == [(1, "2026-01-01", None), (2, "x", 3), (4, None, None)]
+        store.add_rejected("n", "t", table({"id": "bigint", "v": "string", "w": "int"}, (2, "x", 3)), "b")
 
 
 def test_initial_value(store, table):
@@ -422,22 +488,20 @@ def test_loading_a_version_again_changes_nothing(spark, store, table):
     assert rows(open_reader, "id") == [(1,), (2,)] and rows(store.read("n", "u"), "id") == [(9,)] and rows(held, "id") == [(1,), (2,)]
 
 
-def test_late_rows_with_and_without_folding(spark, tmp_path, table, monkeypatch):
-    from sluiceway.plans import store as module
-
-    r, answers = random.Random(6), []
+def test_merges_equal_the_newest_row_of_each_key(spark, store, table):
+    r = random.Random(6)
     loads = [[(r.randint(1, 12), at(r.randint(1, 9)), f"{n}-{k}") for k in range(6)] for n in range(4)]
-    for share, name in ((0.0, "folded"), (1e9, "kept")):
-        monkeypatch.setattr(module, "FOLD_SHARE", share)
-        own = TableStore(spark, str(tmp_path / name))
-        own.publish([own.stage("n", "t", table(COLUMNS, (1, at(5), "base"), (500, at(3), "late")), "0", ["id"], "at")])
-        own.merge(own.current("n", "t"), table(COLUMNS, (500, at(1), "older")), "early")
-        assert own.current("n", "t").high.startswith(str(at(5))[:10])
-        for n, load in enumerate(loads):
-            newest = {i: (i, when, v) for i, when, v in sorted(load, key=lambda x: (x[1], x[2]))}
-            own.merge(own.current("n", "t"), table(COLUMNS, *newest.values()), str(n))
-        answers.append(rows(own.read("n", "t")))
-    assert answers[0] == answers[1] and (500, "late") in [(a[0], a[2]) for a in answers[0]]
+    store.publish([store.stage("n", "t", table(COLUMNS, (1, at(5), "base"), (500, at(3), "late")), "0", ["id"], "at")])
+    store.merge(store.current("n", "t"), table(COLUMNS, (500, at(1), "older")), "early")
+    assert store.current("n", "t").high.startswith(str(at(5))[:10])
+    held = {1: (1, at(5), "base"), 500: (500, at(3), "late")}
+    for n, load in enumerate(loads):
+        newest = {i: (i, when, v) for i, when, v in sorted(load, key=lambda x: (x[1], x[2]))}
+        store.merge(store.current("n", "t"), table(COLUMNS, *newest.values()), str(n))
+        for i, row in newest.items():
+            if i not in held or row[1] >= held[i][1]:
+                held[i] = row
+        assert rows(store.read("n", "t")) == sorted((i, dt.datetime.fromisoformat(when), v) for i, when, v in held.values())
 
 
 def test_merges_refuse_or_land_what_they_used_to_drop(spark, store, table):
