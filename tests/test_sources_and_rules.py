@@ -1,6 +1,8 @@
-import re
-
+import csv
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from sluiceway.functions import textrules
 from sluiceway.functions.textrules import Rule
 from sluiceway.operators.compare import same_rows
 from sluiceway.plans.metrics import Chart, ChartError, Dataset, DatasetColumn, check_chart
-from sluiceway.sources.files import csv_tables, read_seed, rows_per_file
+from sluiceway.sources.files import csv_tables, ends_inside, read_csv, read_seed, rows_per_file
 from sluiceway.sources.shape import child_table, flatten, sheet_header, sheet_table
 from sluiceway.sources.web import read_index, read_rest
 
@@ -24,7 +26,7 @@ def test_csv_files_land_as_text(spark, tmp_path):
     assert sorted(tables) == ["customers", "orders"]
     assert tables["orders"].dtypes == [("order_id", "string"), ("amount", "string")]
     assert rows(tables["orders"]) == [("007", " 1.50 "), ("008", None), ("009", None)]
-    assert rows(rows_per_file(tables["customers"]), "rows") == [(1,)]
+    assert rows(rows_per_file(spark, f"{tmp_path}/customers.csv"), "rows") == [(1,)]
 
 
 def test_no_match_is_an_error(spark, tmp_path):
@@ -220,9 +222,94 @@ def test_a_server_with_a_page_cap_is_read_whole(style):
     assert sorted(got) == list(range(120))
 
 
-def test_csv_dialect(spark, tmp_path):
-    from sluiceway.sources.files import read_csv
+def serial(path, columns):
+    """What a serial reader makes of a file: rows under the columns, empty and missing fields as None."""
+    with open(path, newline="") as f:
+        found = [r for r in csv.reader(f) if r]
+    header = found[0]
+    return [tuple(dict(zip(header, r)).get(c) or None for c in columns) for r in found[1:]]
+
+
+def random_field(r):
+    return "".join(r.choices(["a", "bc", " ", ",", '"', "\n", "\r\n", "é", '""', ""], k=r.randint(0, 5)))
+
+
+def written_field(r, value):
+    if any(c in value for c in ',"\n\r') or r.random() < 0.3:
+        return '"' + value.replace('"', '""') + '"' + r.choice(["", "", "tail"])
+    return value + r.choice(["", "", '"'] if value else [""])
+
+
+@pytest.mark.parametrize("block", [40, 300, 1 << 20])
+def test_csv_splits_equal_a_serial_reader(spark, tmp_path, block):
+    r = random.Random(block)
+    for n in range(2):
+        lines = []
+        for _ in range(r.randint(30, 120)):
+            lines.append(",".join(written_field(r, random_field(r)) for _ in range(r.randint(1, 3))) + r.choice(["\n", "\n", "\r\n", "\n\n"]))
+        (tmp_path / f"{n}.csv").write_bytes(('"a","b, ""x""\ny",c\n' + "".join(lines).rstrip("\r\n") + r.choice(["", "\n"])).encode())
+    (tmp_path / "one-long.csv").write_bytes(b'a,c\n1,"' + b"line of the field\n" * 40 + b'"\n2,3\n')
+    names = ["a", 'b, "x"\ny', "c"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = read_csv(spark, str(tmp_path))
+        assert got.columns == names
+        assert Counter(map(tuple, got.collect())) == Counter(row for f in ("0.csv", "1.csv", "one-long.csv") for row in serial(tmp_path / f, names))
+        if block == 40:
+            assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_end_as_a_serial_reader_sees_them():
+    r = random.Random(2)
+    for _ in range(4000):
+        line = "".join(r.choices(["a", ",", '"', '""', " "], k=r.randint(0, 8)))
+        for inside in (False, True):
+            # A mark on the next line is a field of its own exactly if the line ended outside of quotes.
+            first = 'q"' if not inside else '"q'
+            found = list(csv.reader([(first if inside else "") + line + "\n", "mark\n"]))
+            assert ends_inside(line, inside) is (found[-1] != ["mark"])
+
+
+def test_splits_whose_states_are_too_many_to_broadcast(spark, tmp_path, monkeypatch):
+    from sluiceway.sources import files
+
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f'{k},"v\n{k}"\n' for k in range(300)))
+    monkeypatch.setattr(files, "is_small", lambda df: False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert sorted(map(tuple, read_csv(spark, str(tmp_path / "x.csv")).collect())) == sorted((str(k), f"v\n{k}") for k in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_of_one_stem_are_one_table(spark, tmp_path):
+    for folder, text in (("x", "id,v\n1,a\n"), ("y", "v,id\nb,2\nc,3\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "orders.csv").write_text(text)
+    (tmp_path / "y/other.csv").write_text("n\n9\n")
+    tables = csv_tables(spark, f"{tmp_path}/*/*.csv")
+    assert sorted(tables) == ["orders", "other"] and rows(tables["orders"], "id", "v") == [("1", "a"), ("2", "b"), ("3", "c")]
+
+
+def test_fields_beyond_the_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2,3,\n4\n")
+    with pytest.raises(Exception, match="a record has 4 fields under 2 columns"):
+        read_csv(spark, str(tmp_path / "x.csv")).collect()
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "x.csv"), land_rest=True).collect())) == [("1", "2", ["3", ""]), ("4", None, None)]
+    (tmp_path / "twice.csv").write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError, match=r"column\(s\) \['a'\] twice"):
+        read_csv(spark, str(tmp_path / "twice.csv"))
+    (tmp_path / "bom.csv").write_bytes("\ufeffa,b\nx,é\n".encode())
+    assert rows(read_csv(spark, str(tmp_path / "bom.csv"))) == [("x", "é")]
+
 
+def test_csv_dialect(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.csv").write_text('a,b\n"say ""hi"", ok","two\nlines"\n1,2\n')
     (tmp_path / "in/2.csv").write_text("b,a\nB,A\n")
