@@ -5,19 +5,26 @@ micro-batch is gated and merged by the functions of the scheduled path. A publis
 checkpoint's own id and the batch number: a batch that was published and is replayed from the same
 checkpoint is skipped, and everything a new checkpoint reads is merged, which changes nothing for
 rows that have landed before. A new checkpoint quarantines what it reads again once more.
+
+A unique gate holds for the whole stream: a key's copies are counted over all batches (see `seen`). When a copy comes
+later, it is rejected, and the one that has landed is moved to quarantine in the same publish. A referential gate may
+name tables that have landed already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway.gates import Gate, Quarantine, run_gates
+from sluiceway.gates.model import rejected_with_reason
 from sluiceway.operators.merge import latest_versions
 from sluiceway.plans.store import TableStore
+from sluiceway.streaming.seen import SeenBefore, flag_names, judged_by_state, with_state_provider
 
 
 class GateFailed(RuntimeError):
@@ -49,8 +56,14 @@ def ingest(
     checkpoint: str,
     gates: Sequence[Gate] = (),
     quarantine: Quarantine | None = None,
+    parents: Mapping[str, tuple[str, str]] | None = None,
 ) -> StreamingQuery:
-    """Start a run over everything that has arrived; it stops by itself when that is done."""
+    """Start a run over everything that has arrived; it stops by itself when that is done.
+
+    `parents` names tables of the store, as (namespace, table), that the gates may refer to."""
+    columns = stream.columns
+    judged, placed = judged_by_state(stream, table, gates) if quarantine else (stream, list(gates))
+    stateful = [(n, g) for n, g in enumerate(placed) if isinstance(g, SeenBefore)]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         origin = f"batch-{checkpoint_id(batch.sparkSession, checkpoint)}-"
@@ -58,15 +71,33 @@ def ingest(
         landed = store.current(namespace, table)
         if landed is not None and landed.version.startswith(origin) and landed.version >= version:
             return
-        outcome = run_gates({table: batch}, gates, quarantine, run_id=batch_id)
-        for name, bad in outcome.rejected.items():
-            store.add_rejected(namespace, name, bad, version)
-        if not outcome.passed:
-            raise GateFailed("; ".join(outcome.failures))
-        if landed is None:
-            first = latest_versions(outcome.tables[table], keys, cursor)
-            store.publish([store.stage(namespace, table, first, version, keys, cursor)])
-        else:
-            store.merge(landed, outcome.tables[table], version)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        known = {name: store.read(*where) for name, where in (parents or {}).items()}
+        batch = batch.persist()
+        try:
+            outcome = run_gates({**known, table: batch}, placed, quarantine, run_id=batch_id)
+            for name, bad in outcome.rejected.items():
+                store.add_rejected(namespace, name, bad.drop(*[f for n, _ in stateful for f in flag_names(n)]), version)
+            if not outcome.passed:
+                raise GateFailed("; ".join(outcome.failures))
+            clean = outcome.tables[table].select(*columns)
+            if landed is None:
+                store.publish([store.stage(namespace, table, latest_versions(clean, keys, cursor), version, keys, cursor)])
+                return
+            rest = store.read_version(landed)
+            recalled = None
+            for n, gate in stateful:
+                repeated, before = flag_names(n)
+                again = batch.where(F.col(repeated) & (F.col(before) > 0)).select(*gate.columns).distinct()
+                moved = rejected_with_reason(rest.join(again, list(gate.columns), "left_semi").select(*rest.columns), F.lit(gate.reason), batch_id)
+                recalled = moved if recalled is None else recalled.unionByName(moved)
+                rest = rest.join(again, list(gate.columns), "left_anti").select(*rest.columns)
+            if recalled is not None:
+                store.add_rejected(namespace, table, recalled, f"{version}-recalled")
+            store.merge(landed, clean, version, rest if recalled is not None else None)
+        finally:
+            batch.unpersist()
+
+    def start() -> StreamingQuery:
+        return judged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    return with_state_provider(stream.sparkSession, start) if stateful else start()

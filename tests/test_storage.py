@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from conftest import rows
 from sluiceway import bronze
 from sluiceway.bronze.batch import REGISTRY, registry
-from sluiceway.gates import NotNull, Quarantine, RowCountBounds, Unique
+from sluiceway.gates import NotNull, Quarantine, ReferentialIntegrity, RowCountBounds, Unique
 from sluiceway.gates.model import GateError
 from sluiceway.ledger import reports
 from sluiceway.ledger.store import Ledger
@@ -522,3 +522,40 @@ def test_a_refused_batch_leaves_landing_alone(spark, store, table, tmp_path):
     with pytest.raises(Exception, match="above the 50% threshold"):
         query.awaitTermination()
     assert store.current("s", "t") is None and store.read_rejected("s", "t").count() == 1
+
+
+def test_unique_keys_across_batches(spark, store, table, tmp_path):
+    columns = {"id": "bigint", "code": "string", "at": "timestamp_ntz", "v": "string", "big": "bigint", "exact": "decimal(30,2)"}
+    folder, schema = str(tmp_path / "in"), table(columns).schema
+    gates = [NotNull("t", ["v"]), Unique("t", ["code"])]
+
+    def arrive(*listed):
+        table(columns, *[(*r, None if r[0] % 3 else (1 << 62) + r[0], "12345678901234567890.12") for r in listed]).coalesce(1).write.mode("append").parquet(folder)
+
+    def go(checkpoint="c"):
+        ingest(file_stream(spark, folder, schema), store, "s", "t", ["id"], "at", str(tmp_path / checkpoint), gates, Quarantine(100)).awaitTermination()
+        return rows(store.read("s", "t"), "id"), rows(store.read_rejected("s", "t"), "id", "run_id")
+
+    arrive((1, "a", at(1), "x"), (2, "b", at(1), "x"), (3, "c", at(1), "x"), (4, None, at(1), "x"), (5, None, at(1), "x"), (6, "d", at(1), None))
+    assert go() == ([(1,), (2,), (3,), (4,), (5,)], [(6, 0)])
+    # b comes again, twice: both copies and the landed one are moved. d did not count, a null never does.
+    arrive((7, "b", at(2), "x"), (8, "b", at(2), "x"), (9, "d", at(2), "x"), (10, None, at(2), "x"), (11, "e", at(2), "x"))
+    second = ([(1,), (3,), (4,), (5,), (9,), (10,), (11,)], [(2, 1), (6, 0), (7, 1), (8, 1)])
+    assert go() == second and go() == second
+    assert {r.reason for r in store.read_rejected("s", "t").where("id in (2, 7, 8)").collect()} == {"unique: duplicate code"}
+    # A batch of rejected rows alone still moves what has landed.
+    arrive((12, "e", at(3), "x"), (13, "b", at(3), "x"))
+    assert go() == ([(1,), (3,), (4,), (5,), (9,), (10,)], [(2, 1), (6, 0), (7, 1), (8, 1), (11, 2), (12, 2), (13, 2)])
+    assert rows(store.read("s", "t").where("id in (1, 9)"), "big", "exact") == [(None, Decimal("12345678901234567890.12")), ((1 << 62) + 9, Decimal("12345678901234567890.12"))]
+
+
+def test_children_of_landed_parents(spark, store, table, tmp_path):
+    columns = {"id": "bigint", "parent": "bigint", "at": "timestamp_ntz"}
+    folder, schema = str(tmp_path / "in"), table(columns).schema
+    gates = [ReferentialIntegrity("t", "parent", {"table": "p", "column": "key"})]
+    for keys, child, landed in (((1, 2), (10, 1, at(1)), [(10,)]), ((1, 2), (11, 3, at(1)), [(10,)]), ((1, 2, 3), (12, 3, at(2)), [(10,), (12,)])):
+        store.replace("s", {"parents": table({"key": "bigint"}, *[(k,) for k in keys])}, str(len(keys)))
+        table(columns, child).coalesce(1).write.mode("append").parquet(folder)
+        ingest(file_stream(spark, folder, schema), store, "s", "t", ["id"], "at", str(tmp_path / "c"), gates, Quarantine(100), {"p": ("s", "parents")}).awaitTermination()
+        assert rows(store.read("s", "t"), "id") == landed
+    assert rows(store.read_rejected("s", "t"), "id") == [(11,)]
