@@ -7,7 +7,7 @@ all shingles of a slice at once, and a shingle stops as soon as its last arrival
 still waits for.
 
 Equal texts are one node from the start. Signatures are cut into BANDS bands; nodes that share a band share a bucket.
-1. Every node is compared with the smallest node of each of its buckets, and components of the links are formed.
+1. Every node is compared with the node of the smallest id in each of its buckets, and components of the links are formed.
 2. Buckets whose other members are not all in one component yet are searched again: every member outside the bucket's
    largest component is held against all members of other components, in blocks of bounded size, by signatures of
    LONG places of which a byte each is kept; pairs that agree in `least` of them are compared as texts as well (a pair
@@ -260,9 +260,11 @@ def near_copy_nodes(docs: DataFrame, least_agreement: float = LEAST_AGREEMENT) -
     # Numbers given while writing: different for different texts, whatever their ids are.
     nodes = stored(
         rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    spread = nodes.select("node", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    buckets = stored(spread.join(shared, "key"), "buckets")
+    spread = nodes.select("node", "id", F.explode("bands").alias("key"))
+    # The smallest id is likely an original, which copies are more like than each other.
+    first = F.min_by("node", F.struct(F.col("id").isNull().alias("unnamed"), "id", "node"))
+    shared = spread.groupBy("key").agg(first.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
+    buckets = stored(spread.select("node", "key").join(shared, "key"), "buckets")
 
     # One row of each text is read again: that of its smallest id, so a text's copies are not gathered.
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "digest", F.coalesce("id", F.lit(0)).alias("known"), F.col("id").isNull().alias("unnamed"))
