@@ -197,10 +197,10 @@ def non_blank(t: Tables) -> DataFrame:
 # ---- joins
 
 @query("inner_join", "T24", """
-    select l_orderkey, l_linenumber, o_custkey, l_quantity from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'P'""")
+    select l_orderkey, l_linenumber, o_custkey, l_quantity from lineitem join orders on l_orderkey = o_orderkey""")
 def inner_join(t: Tables) -> DataFrame:
-    pending = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return joins.inner_on(t.lineitem, pending, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey", "l_quantity")
+    owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return joins.inner_on(t.lineitem, owners, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey", "l_quantity")
 
 
 @query("inner_cast_join", "T25 T27", """
@@ -389,11 +389,12 @@ def json_documents(t: Tables) -> DataFrame:
 
 
 @query("union_rows", "T50", """
-    select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'
-    union all select o_orderkey, o_orderstatus from orders where o_totalprice > 300000""")
+    select o_orderkey as key, o_orderstatus as kind from orders
+    union all select l_orderkey, l_linestatus from lineitem""")
 def union_rows(t: Tables) -> DataFrame:
-    a = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
-    return a.unionByName(t.orders.where("o_totalprice > 300000").select("o_orderkey", "o_orderstatus"))
+    """Two whole tables, whose rows occur many times over."""
+    orders = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("kind"))
+    return orders.unionByName(t.lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_linestatus").alias("kind")))
 
 
 @query("user_models", "T46", """

@@ -72,6 +72,18 @@ def _records(body: dict | list, path: str | None) -> list:
     return lists[0] if len(lists) == 1 else [body]
 
 
+def _listed(body: dict | list, path: str | None) -> list:
+    """The records of a numbered page, which must be a list: only an empty one tells where the pages end."""
+    if not path and isinstance(body, dict):
+        lists = sorted(k for k, v in body.items() if isinstance(v, list))
+        if len(lists) != 1:
+            raise ValueError(f"a numbered page holds {len(lists)} lists {lists}: name the one to read in the option 'records'")
+    found = _records(body, path)
+    if not isinstance(found, list):
+        raise ValueError(f"{path!r} is no list in a numbered page")
+    return found
+
+
 class RestReader(DataSourceReader):
     """Pages of one endpoint. `page_number` splits pages over tasks; links, cursors and offsets are followed in one task."""
 
@@ -106,13 +118,15 @@ class RestReader(DataSourceReader):
     def _numbered(self, number: int, path: str | None) -> Iterator:
         """Pages until an empty one: a server may return fewer records than were asked for. An offset advances by what came."""
         size, first = int(self.options.get("page_size", "100")), int(self.options.get("first_page", "1"))
-        offset, page = 0, first + number
+        offset, page, before = 0, first + number, None
         while True:
             url = self._url(offset=offset, limit=size) if self.paginator == "offset" else self._url(page=page, per_page=size)
             body = _reply(self._get(url)).body
-            received = len(_records(body, path))
-            if not received:
+            received = len(_listed(body, path))
+            # A server that knows no pages answers alike for ever.
+            if not received or body == before:
                 return
+            before = body
             yield body
             offset, page = offset + received, page + self.slices
 

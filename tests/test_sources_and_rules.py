@@ -41,6 +41,32 @@ def test_seed_types(spark, tmp_path):
         read_seed(spark, str(tmp_path / "seed.csv"), "stock_id string, n date").collect()
 
 
+@pytest.mark.parametrize("paginator", ["page_number", "offset"])
+def test_numbered_pages_end(paginator):
+    from sluiceway.sources.web import RestReader, _Slice
+
+    def read(answer, **options):
+        asked = []
+
+        def get(url, headers, body):
+            asked.append(url)
+            assert len(asked) < 20
+            return answer(len(asked))
+
+        reader = RestReader({"base_url": "http://x", "endpoint": "items", "paginator": paginator, **options}, get)
+        return [json.loads(r[0]) for r in reader.read(_Slice(0))]
+
+    two = lambda n: {"data": [{"id": n}] if n < 4 else [], "links": []}
+    with pytest.raises(ValueError, match=r"holds 2 lists \['data', 'links'\]"):
+        read(two)
+    assert read(two, records="data") == [{"id": 1}, {"id": 2}, {"id": 3}]
+    with pytest.raises(ValueError, match="0 lists"):
+        read(lambda n: {"id": 1})
+    with pytest.raises(ValueError, match="'data' is no list"):
+        read(lambda n: {"data": {"id": 1}}, records="data")
+    assert read(lambda n: [{"id": 1}]) == [{"id": 1}]
+
+
 # ---- web readers on captured pages
 
 def pages(count, size):
