@@ -168,6 +168,41 @@ def widened_merge(t: Tables) -> DataFrame:
     return store.read("landing", "orders")
 
 
+_LATE = """with first as (select * from events where ts < timestamp '2024-01-20' and event_id % 7 <> 3),
+    bound as (select max(ts) as high, max(ts) - interval 5 day as low from first),
+    second as (select e.* from events e, bound where ts >= low and not (ts < timestamp '2024-01-20' and event_id % 7 <> 3)),
+    missed as (select e.* from events e, bound where ts < low and event_id % 7 = 3)"""
+
+
+def _late_loads(t: Tables) -> tuple[TableStore, list[dict]]:
+    """Before the split every seventh event comes a load too late."""
+    store, events = _store(t, "late"), _kept_events(t)
+    rule = Incremental("ts", ["event_id"], look_back=dt.timedelta(days=5), count_missed=True)
+    early = events.where((F.col("ts") < F.lit(SPLIT)) & (F.col("event_id") % 7 != 3))
+    done = [
+        load_table(store, "landing", "events", source, version, rule)
+        for version, source in (("1", early), ("2", events), ("3", events))
+    ]
+    return store, done
+
+
+@query("late_rows", "S3 S4", _LATE + """
+    select user_id, event_type, event_id, ts, value from first
+    union all select user_id, event_type, event_id, ts, value from second""")
+def late_rows(t: Tables) -> DataFrame:
+    """Late rows land inside the look-back window only; a third load reads nothing new."""
+    return _late_loads(t)[0].read("landing", "events")
+
+
+@query("late_row_counts", "S3 S13", _LATE + """
+    select 1 as load, count(*) as extracted, 0 as late, 0 as missed from first
+    union all select 2, (select count(*) from second), (select count(*) from second, bound where ts < high), (select count(*) from missed)
+    union all select 3, 0, 0, (select count(*) from missed m, (select max(ts) - interval 5 day as low from events) where ts < low)""")
+def late_row_counts(t: Tables) -> DataFrame:
+    rows = [(i, d["extracted"], d["late"], d["missed"]) for i, d in enumerate(_late_loads(t)[1], 1)]
+    return t.spark.createDataFrame(rows, "load int, extracted bigint, late bigint, missed bigint")
+
+
 @query("full_refresh", "S5 S6", "select user_id, event_type, event_id, ts, value from events where event_type <> 'error'")
 def full_refresh(t: Tables) -> DataFrame:
     """Rows deleted at the source go only with a full refresh."""

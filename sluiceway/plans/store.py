@@ -128,13 +128,15 @@ class TableStore:
         self.publish(staged)
         return {v.table: v.rows for v in staged}
 
-    def merge(self, old: Version, delta: DataFrame, version: str, rest: DataFrame | None = None) -> Version:
+    def merge(
+        self, old: Version, delta: DataFrame, version: str, rest: DataFrame | None = None, along: Sequence[Version] = (),
+    ) -> Version:
         """Merge changed rows into the current version of a table that has keys and a cursor, as one new version.
 
         Columns may be new, and their types may grow (see `widen`): the old rows are then read under the wider type, so
         one version has one schema. A column that is gone, or whose types have nothing in common, is refused by name
         before anything is written. While the changed keys fit a broadcast the old rows are copied without a shuffle.
-        `rest` may stand for the old rows, with some of them taken out.
+        `rest` may stand for the old rows, with some of them taken out. Staged versions `along` are published with it.
         """
         if not old.keys or old.cursor is None:
             raise LookupError(f"{old.namespace}.{old.table} was not published with keys and a cursor")
@@ -154,7 +156,7 @@ class TableStore:
         base = under_schema(self.read_version(old) if rest is None else rest, schema)
         merged = merge_changes(base, self.spark.read.schema(schema).parquet(changes), old.keys, old.cursor)
         new = self.stage(old.namespace, old.table, merged, version, old.keys, old.cursor)
-        self.publish([new])
+        self.publish([new, *along])
         return replace(new, merged=rows)
 
     # ---- quarantine: one directory per run, so a repeated run replaces its own rows only

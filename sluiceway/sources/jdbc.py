@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.operators.merge import latest_versions, past_cursor
-from sluiceway.plans.store import TableStore
+from sluiceway.operators.merge import DIGEST, latest_versions, missed_rows, not_seen, past_cursor, with_digest
+from sluiceway.plans.store import TableStore, Version
+from sluiceway.session import cut_lineage
 
 # The schema a table lives in when none is named.
 DEFAULT_SCHEMA = {"postgresql": "public", "sqlserver": "dbo"}
@@ -18,11 +19,18 @@ DEFAULT_SCHEMA = {"postgresql": "public", "sqlserver": "dbo"}
 
 @dataclass(frozen=True)
 class Incremental:
-    """Load only rows whose `cursor` moved, and merge them on `primary_key`."""
+    """Load only rows whose `cursor` moved, and merge them on `primary_key`.
+
+    With `look_back` (a time span, or a number for a numeric cursor) each load also reads so far behind the newest landed
+    cursor, and lands what it has not read before: rows that were committed late. `count_missed` asks for the number of
+    rows that came later still, for which each load reads the keys and cursors of all older rows.
+    """
 
     cursor: str
     primary_key: Sequence[str]
     initial_value: int | str | dt.datetime | None = None
+    look_back: int | dt.timedelta | None = None
+    count_missed: bool = False
 
     def __post_init__(self):
         if not self.cursor or not str(self.cursor).strip():
@@ -36,6 +44,11 @@ class Incremental:
             raise ValueError(f"incremental: initial_value {start!r} must be an integer or an ISO date-time")
         if isinstance(start, str):
             object.__setattr__(self, "initial_value", dt.datetime.fromisoformat(start))
+        back = self.look_back
+        if back is not None and (isinstance(back, bool) or not isinstance(back, (int, dt.timedelta)) or back < type(back)(0)):
+            raise ValueError(f"incremental: look_back {back!r} must be a time span or an integer, and not negative")
+        if self.count_missed and back is None:
+            raise ValueError("incremental: count_missed needs look_back")
 
 
 @dataclass(frozen=True)
@@ -99,6 +112,10 @@ def load_table(
     Without `incremental`, or on a full refresh, the landing copy is replaced (this is also the
     only way deletions in the source get through). Otherwise rows at or past the newest landed
     cursor are read and merged, so a repeated load changes nothing.
+
+    With a look-back window the result also tells the rows that landed behind the cursor (`late`) and, if asked for, those
+    behind the window that did not land (`missed`). What was read inside the window is kept as a table of its own, published
+    together with the landed one. An older version of a row that the first load dropped may be read once more.
     """
     landed = None if full_refresh or incremental is None else store.current(namespace, table)
     if landed is None:
@@ -107,10 +124,51 @@ def load_table(
             keys, cursor = incremental.primary_key, incremental.cursor
             rows = latest_versions(past_cursor(source, cursor, incremental.initial_value), keys, cursor)
         staged = store.stage(namespace, table, rows, version, keys, cursor)
-        store.publish([staged])
-        return {"table": table, "mode": "replace", "extracted": staged.rows, "high": staged.high}
+        done = {"table": table, "mode": "replace", "extracted": staged.rows, "high": staged.high}
+        if incremental is None or incremental.look_back is None:
+            store.publish([staged])
+            return done
+        # Taken from what landed, not from a second read of the source, so that no row is remembered that did not land.
+        recent = past_cursor(store.read_version(staged), cursor, _window_start(staged, incremental))
+        store.publish([staged, _seen_version(store, staged, recent, version)])
+        return {**done, "late": 0, **({"missed": 0} if incremental.count_missed else {})}
     last = incremental.initial_value
     if landed.high is not None:
         last = F.lit(landed.high).cast(landed.struct[incremental.cursor].dataType)
-    merged = store.merge(landed, past_cursor(source, incremental.cursor, last), version)
-    return {"table": table, "mode": "merge", "extracted": merged.merged, "high": merged.high}
+    if incremental.look_back is None or landed.high is None:
+        merged = store.merge(landed, past_cursor(source, incremental.cursor, last), version)
+        return {"table": table, "mode": "merge", "extracted": merged.merged, "high": merged.high}
+    return _load_window(store, landed, source, version, incremental, last)
+
+
+def _window_start(landed: Version, rule: Incremental):
+    """The newest landed cursor less the window, but not before the initial value; None where nothing has landed."""
+    if landed.high is None:
+        return rule.initial_value
+    start = F.lit(landed.high).cast(landed.struct[rule.cursor].dataType) - F.lit(rule.look_back)
+    return start if rule.initial_value is None else F.greatest(start, F.lit(rule.initial_value))
+
+
+def _seen_table(table: str) -> str:
+    return f"{table}__seen"
+
+
+def _seen_version(store: TableStore, landed: Version, rows: DataFrame, version: str) -> Version:
+    marks = with_digest(rows) if DIGEST not in rows.columns else rows
+    return store.stage(landed.namespace, _seen_table(landed.table), marks.select(*landed.keys, landed.cursor, DIGEST).distinct(), version)
+
+
+def _load_window(store: TableStore, landed: Version, source: DataFrame, version: str, rule: Incremental, last: Column) -> dict:
+    keys, cursor, start = rule.primary_key, rule.cursor, _window_start(landed, rule)
+    # Stored, so that what is landed and what is remembered come from one read of the source.
+    window = cut_lineage(with_digest(past_cursor(source, cursor, start)), "window")
+    fresh = window
+    if store.current(landed.namespace, _seen_table(landed.table)) is not None:
+        fresh = not_seen(window, store.read(landed.namespace, _seen_table(landed.table)), keys, cursor)
+    late = fresh.where(F.col(cursor) < last).count()
+    merged = store.merge(landed, fresh.drop(DIGEST), version, along=[_seen_version(store, landed, window, version)])
+    done = {"table": landed.table, "mode": "merge", "extracted": merged.merged, "high": merged.high, "late": late}
+    if rule.count_missed:
+        older = source if rule.initial_value is None else source.where(F.col(cursor) >= F.lit(rule.initial_value))
+        done["missed"] = missed_rows(older, store.read_version(merged), keys, cursor, start).count()
+    return done

@@ -1,10 +1,15 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
-from sluiceway.operators.compare import bag_diff, compare_answer_key, compare_expected, compare_tables, exact_columns, same_rows
+from sluiceway.operators.compare import (
+    _moment, bag_diff, bag_diff_by_range, compare_answer_key, compare_expected, compare_tables, differing_ranges, exact_columns, moment,
+    row_counts, same_rows,
+)
 from sluiceway.plans import marts, synth
 from sluiceway.sources.literal import literal_table, literal_tables
 
@@ -16,6 +21,87 @@ def test_bags_count_copies_and_ignore_order(table):
     assert not same_rows(a, b) and same_rows(a, a.orderBy("x"))
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(20,3)", "date", "timestamp", "timestamp_ntz"])
+def test_range_diff_equals_bag_diff(spark, kind):
+    r = random.Random(kind)
+    exact = spark.range(400).select(F.when(F.col("id") % 41 > 0, F.expr({
+        "date": "date_add(date '2024-01-01', cast(id as int))", "timestamp": "timestamp_micros(id * 7777777777)",
+        "timestamp_ntz": "cast(timestamp_micros(id * 7777777777 - 5) as timestamp_ntz)",
+    }.get(kind, f"cast(id * 3.25 - 200 as {kind})"))).alias("k"), (F.col("id") % 5).alias("v"))
+    if kind == "double":
+        exact = exact.unionByName(spark.sql("select explode(array(double('NaN'), double('infinity'), -double('infinity'), -0.0d)) as k, 1L as v"))
+    listed = exact.collect()
+    for _ in range(3):
+        changed = [x for x in listed if r.random() > 0.02] + r.sample(listed, 3) + [(r.choice(listed)[0], 9)]
+        other = spark.createDataFrame(changed, exact.schema)
+        for a, b in ((exact, other), (other, exact)):
+            assert rows(bag_diff_by_range(a, b, "k", 16).select(F.col("k").cast("string"), "v", "surplus")) == rows(
+                bag_diff(a, b).select(F.col("k").cast("string"), "v", "surplus"))
+    spread = exact.repartition(7)
+    assert differing_ranges(exact, spread, "k").count() == 0 and bag_diff_by_range(spread, exact, "k").count() == 0
+
+
+def test_range_diff_of_awkward_tables(spark, table):
+    columns = {"k": "bigint", "v": "string"}
+    none, one, gone = table(columns), table(columns, (5, "a"), (5, "a")), table(columns, (None, "x"))
+    assert rows(bag_diff_by_range(none, one, "k")) == [(5, "a", -2)] and rows(bag_diff_by_range(one, none, "k")) == [(5, "a", 2)]
+    assert rows(bag_diff_by_range(one, table(columns, (5, "a")), "k")) == [(5, "a", 1)]
+    assert rows(bag_diff_by_range(gone, one, "k")) == [(None, "x", 1), (5, "a", -2)]
+    assert rows(bag_diff_by_range(gone, none, "k")) == [(None, "x", 1)] and bag_diff_by_range(none, none, "k").count() == 0
+    # Equal numbers of different types are equal; clashing names do no harm.
+    assert bag_diff_by_range(one, table({"v": "string", "k": "decimal(9,2)"}, ("a", "5.00"), ("a", "5")), "k").count() == 0
+    clash = {"n": "bigint", "_range": "string", "_low": "int", "p0": "int"}
+    a = table(clash, (1, "x", 2, 3), (2, None, None, None))
+    assert rows(bag_diff_by_range(a, a.where("n = 1"), "n")) == [(2, None, None, None, 1)]
+    with pytest.raises(TypeError):
+        differing_ranges(one, one, "v")
+
+
+def test_equal_tables_move_no_rows(spark):
+    wide = spark.range(200_000).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    plan = differing_ranges(wide, wide, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_range") == 1 and plan.count("Exchange") == 1 and "partial_sum" in plan
+
+
+def test_only_differing_ranges_are_counted(spark):
+    a = spark.range(100_000).withColumn("v", F.col("id") % 7)
+    b = a.withColumn("v", F.when(F.col("id").isin(500, 50_000), 9).otherwise(F.col("v")))
+    diff = bag_diff_by_range(a, b, "id", 100)
+    assert rows(diff, "id", "surplus") == [(500, -1), (500, 1), (50_000, -1), (50_000, 1)]
+    bounds = differing_ranges(a, b, "id", 100).select("_low", "_high")
+    assert all(high - low <= 1000 for low, high in rows(bounds)) and bounds.count() == 2
+
+
+MOMENTS = [
+    "2024-01-01T00:00:00+00:00", "2024-01-01T07:00:00+07", "2024-01-01 07:30:00 +0730", " 2024-01-01T00:00Z ", "2024-01-01T00:00:00.1234560Z",
+    "2024-01-01T00:00:00.0000001Z", "2024-01-01", "2024-01-01T10:00", "2024-01-01T10:00.5", "2024-02-30T00:00:00Z", "2024-01-01T25:00:00Z",
+    "2024-01-01T00:00:00-05:30", "2024-01-01Z", "yesterday", "", "2024-01-01T00:00:00Z x", "\t2024-01-01T00:00:00.5+01\n",
+]
+
+
+@pytest.mark.parametrize("with_zone", [True, False])
+def test_moments_of_a_column_equal_those_of_literals(table, with_zone):
+    def literal(text):
+        try:
+            value = _moment(text, with_zone)
+        except ValueError:
+            return None
+        return (value.astimezone(dt.timezone.utc) if with_zone else value).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    seen = table({"t": "string"}, *[(m,) for m in MOMENTS], (None,)).select("t", F.date_format(moment(F.col("t"), with_zone), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m"))
+    assert dict(rows(seen)) == {m: literal(m) for m in MOMENTS} | {None: None}
+
+
+def test_row_counts(table):
+    a = table({"x": "int"}, (1,), (None,))
+    assert rows(row_counts({"a": a, "none": a.where("x = 7")}, {"a": 2, "none": 1})) == [("a", 2, 2, True), ("none", 0, 1, False)]
+    for wrong in ({}, {"a": 2, "b": 1}):
+        with pytest.raises(ValueError):
+            row_counts({"a": a}, wrong)
+    with pytest.raises(ValueError):
+        row_counts({}, {})
+
+
 def test_null_is_not_empty(table):
     assert not same_rows(table({"y": "string"}, (None,)), table({"y": "string"}, ("",)))
 

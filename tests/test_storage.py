@@ -159,7 +159,52 @@ def test_initial_value(store, table):
     assert rows(store.read("l", "t"), "id") == [(2,)]
 
 
-@pytest.mark.parametrize("args", [("", ["id"]), ("at", []), ("at", None), ("at", ["id"], True), ("at", ["id"], "soon")])
+def test_late_rows_land_once_inside_the_window(store, table):
+    rule = Incremental("at", ["id"], look_back=dt.timedelta(days=3), count_missed=True)
+
+    def load(version, *data):
+        done = load_table(store, "ns", "t", table(COLUMNS, *data), version, rule)
+        return done["extracted"], done["late"], done["missed"]
+
+    old = [(1, at(1), "a"), (2, at(10), "b")]
+    assert load("1", *old) == (2, 0, 0)
+    # Behind the cursor: 3 and 5 inside the window (5 on its edge), 4 outside; 6 is past it.
+    late = [(3, at(8), "c"), (4, at(5), "d"), (5, at(7), "e"), (6, at(11), "f")]
+    assert load("2", *old, *late) == (3, 2, 1)
+    assert load("3", *old, *late) == (0, 0, 1)
+    assert rows(store.read("ns", "t"), "id") == [(1,), (2,), (3,), (5,), (6,)]
+    # One row changes without its cursor, one comes with a cursor value that has landed.
+    assert load("4", (1, at(1), "a"), (2, at(10), "B"), *late, (7, at(11), "g")) == (2, 1, 1)
+    assert rows(store.read("ns", "t"), "id", "v")[1] == (2, "B")
+    assert load("5", (1, at(20), "z"), *late, (7, at(11), "g"))[::2] == (1, 1)
+
+
+def test_windows_over_numbers_with_an_initial_value(store, table):
+    rule = Incremental("n", ["id"], initial_value=100, look_back=10, count_missed=True)
+    columns = {"id": "bigint", "n": "bigint"}
+    assert load_table(store, "ns", "t", table(columns, (1, 50), (2, 105)), "1", rule)["extracted"] == 1
+    done = load_table(store, "ns", "t", table(columns, (1, 50), (2, 105), (3, 99), (4, 100), (5, 130)), "2", rule)
+    assert (done["extracted"], done["late"], done["missed"]) == (2, 1, 0)
+    done = load_table(store, "ns", "t", table(columns, (6, 119), (7, 120), (8, 60)), "3", rule)
+    assert (done["extracted"], done["late"], done["missed"]) == (1, 1, 1)
+    with pytest.raises(ValueError, match="without a value"):
+        load_table(store, "ns", "t", table(columns, (9, None)), "4", rule)
+    assert store.read("ns", "t").count() == 4
+
+
+def test_a_first_load_without_rows_and_wider_types_keep_the_window(store, table):
+    rule = Incremental("n", ["id"], look_back=5)
+    assert load_table(store, "ns", "t", table({"id": "int", "n": "int"}), "1", rule)["extracted"] == 0
+    assert load_table(store, "ns", "t", table({"id": "int", "n": "int"}, (1, 10)), "2", rule)["extracted"] == 1
+    assert load_table(store, "ns", "t", table({"id": "bigint", "n": "int"}, (1, 10), (2, 6)), "3", rule)["late"] == 1
+    assert load_table(store, "ns", "t", table({"id": "string", "n": "int"}, ("x", 9)), "4", rule)["extracted"] == 1
+    assert rows(store.read("ns", "t"), "id") == [("1",), ("2",), ("x",)]
+    for wrong in (dict(look_back=-1), dict(look_back="1 day"), dict(count_missed=True)):
+        with pytest.raises(ValueError):
+            Incremental("n", ["id"], **wrong)
+
+
+@pytest.mark.parametrize("args",[("", ["id"]), ("at", []), ("at", None), ("at", ["id"], True), ("at", ["id"], "soon")])
 def test_wrong_incremental_settings(args):
     with pytest.raises(ValueError):
         Incremental(*args)
