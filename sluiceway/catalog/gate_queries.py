@@ -207,6 +207,23 @@ def gate_fused_counts(t: Tables) -> DataFrame:
     return _verdicts(t, run_gates(_line_tables(t), LINE_GATES, Quarantine(40)))
 
 
+@query("gate_key_counts", "G6 G8 G22", """
+    with lines as (select *, case when l_partkey % 50 <> 7 then l_partkey end as part from lineitem)
+    select 0 as gate, count(*) as rejected from (select 1 from lines qualify count(*) over (partition by l_orderkey, l_linenumber) > 1)
+    union all select 1, count(*) from (select 1 from lines where part is not null qualify count(*) over (partition by part, l_suppkey) > 1)
+    union all select 2, count(*) from lines where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')
+    union all select 3, count(*) from lines where part not in (select o_orderkey from orders where o_orderstatus <> 'P')""")
+def gate_key_counts(t: Tables) -> DataFrame:
+    """Two unique and two referential gates that move nothing: one read of the lines and one aggregate for all."""
+    gates = [
+        Unique("lines", ["l_orderkey", "l_linenumber"]), Unique("lines", ["l_partkey", "l_suppkey"]),
+        ReferentialIntegrity("lines", "l_orderkey", {"table": "parents", "column": "o_orderkey"}),
+        ReferentialIntegrity("lines", "l_partkey", {"table": "parents", "column": "o_orderkey"}),
+    ]
+    seen = run_gates(_line_tables(t), gates)
+    return t.spark.createDataFrame([(i, g.rows_rejected) for i, g in enumerate(seen.results)], "gate int, rejected bigint")
+
+
 @query("gate_sequential_counts", "G14 G15 G22", _COUNTS_SQL)
 def gate_sequential_counts(t: Tables) -> DataFrame:
     """The same gates, each run on its own."""

@@ -87,6 +87,34 @@ def rule_scan(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", textrules.where_found(rules).alias("rules"))
 
 
+# A line that breaks each script rule, and one that nearly does.
+SCRIPT_LINES = (
+    ("rm -rf /", "rm -rf /home/x"), ("sudo rm -v -r /var/", "rm -v -r /variable"), ("dd if=x of=/dev/sda", "dd if=x | tee of=/dev/sda"),
+    ("MKFS.ext4 /x", "mkfsx /x"), ("echo x >> /etc/passwd", "cat /etc/passwd"), ("chmod -R 777 /", "chmod -R 777 /srv"),
+    ("chown -R me /", "chown -R me /srv"), (":(){ : | : & }; :", ":(){ : | : ; }; :"), ("curl x | sudo bash", "curl x | grep sh"),
+    ("  sudo shutdown now", "echo shutdown"), ("userdel -r root", "userdel -r rooted"), ("iptables --flush", "iptables -L"),
+    ("history -c", "history | head"),
+)
+_LINES = "[" + ", ".join("'" + line + "'" for pair in SCRIPT_LINES for line in pair) + "]"
+
+
+@query("rule_scan_all", "R3", f"""
+    with scripts as (select doc_id, [text, {_LINES}[cast(doc_id % 26 + 1 as int)], {_LINES}[cast((doc_id * 7 + 5) % 26 + 1 as int)]] as parts from documents),
+    lines as (
+        select doc_id, unnest(parts) as raw, generate_subscripts(parts, 1) as n
+        from (select doc_id, string_split_regex(array_to_string(parts, chr(10)), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e]|\\x{{0085}}|\\x{{2028}}|\\x{{2029}}') as parts from scripts)),
+    plain as (select doc_id, n, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from lines),
+    hits as (select doc_id, n, {_LINE_CASE} as rule_id from plain),
+    firsts as (select doc_id, rule_id, min(n) as n from hits where rule_id is not null group by 1, 2)
+    select doc_id, string_agg(rule_id, ',' order by n) as rules from firsts group by 1""")
+def rule_scan_all(t: Tables) -> DataFrame:
+    """Every document with two of the lines above: each rule is broken, and nearly broken, somewhere."""
+    lines = F.array(*[F.lit(line) for pair in SCRIPT_LINES for line in pair])
+    picked = [F.get(lines, (F.col("doc_id") % 26).cast("int")), F.get(lines, ((F.col("doc_id") * 7 + 5) % 26).cast("int"))]
+    rules = F.array_join(textrules.script_hits(F.concat_ws("\n", "text", *picked)), ",")
+    return t.documents.select("doc_id", textrules.where_found(F.nullif(rules, F.lit(""))).alias("rules"))
+
+
 _NUMBER = "cast(('0x' || substr(d, {}, {})) as bigint)"
 
 

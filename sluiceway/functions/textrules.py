@@ -41,7 +41,49 @@ SCRIPT_RULES = (
     ("iptables-flush", r"\biptables\s+(-F|--flush)\b", ("iptables",)),
     ("history-wipe", r"\bhistory\s+-c\b|>\s*~?/?\.bash_history", ("history",)),
 )
-_PLAIN = re.compile(r"[A-Za-z0-9 _@:;,'/<>=-]+(\|[A-Za-z0-9 _@:;,'/<>=-]+)*")
+
+
+def necessary_words(pattern: str) -> tuple[str, ...]:
+    """Words that every match of a pattern contains, read off the parsed pattern, as a `needs` list.
+
+    Only what is certain is listed: runs of plain characters outside of options, and alternatives of which each has a word.
+    Looked up in lower-cased text they hide no match. A pattern without such words, or with syntax that means something else
+    to Java than to the parser used here (nested classes, vertical blanks), gives an empty list and is tried on every text.
+    """
+    tokens = re.findall(r"\\.|.", pattern, re.DOTALL)
+    bare = "".join("x" if len(token) > 1 else token for token in tokens)
+    if r"\v" in tokens or "&&" in bare or re.search(r"\[\^?\]?[^\]]*\[", bare):
+        return ()
+    try:
+        parsed = re._parser.parse(pattern, re.IGNORECASE | re.MULTILINE)
+    except re.error:
+        return ()
+    return tuple("|".join(sorted(words)) for words in dict.fromkeys(_certain(parsed)))
+
+
+def _certain(sequence) -> list[frozenset[str]]:
+    """Sets of words of which each match contains at least one; all sets hold."""
+    found, run = [], ""
+    for kind, value in [*sequence, (None, None)]:
+        kind = str(kind)
+        # A bar separates words in a list.
+        if kind == "LITERAL" and chr(value) != "|":
+            run += chr(value).lower()
+            continue
+        if run.strip():
+            found.append(frozenset([run]))
+        run = ""
+        if kind == "SUBPATTERN":
+            found += _certain(value[-1])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            found += _certain(value[2])
+        elif kind == "ATOMIC_GROUP":
+            found += _certain(value)
+        elif kind == "BRANCH":
+            ways = [_certain(way) for way in value[1]]
+            if all(ways):
+                found.append(frozenset().union(*[max(way, key=lambda words: min(map(len, words))) for way in ways]))
+    return found
 
 
 @dataclass(frozen=True)
@@ -49,7 +91,7 @@ class Rule:
     """A log rule. `steps` and `code` narrow it to rows that name such a step or return code.
 
     `needs` lists words every match of the patterns contains (see SCRIPT_RULES). It may be left out,
-    and is read off a pattern that is nothing but words joined by '|'.
+    and is then read off each pattern.
     """
 
     rule_id: str
@@ -96,7 +138,7 @@ def classify(text: Column, rules: Sequence[Rule], step: Column | None = None, co
         for rule in rules:
             scope = _applies(rule, step, code) & _has(row["low"], rule.needs)
             for pattern in rule.patterns:
-                words = (pattern,) if not rule.needs and _PLAIN.fullmatch(pattern) else ()
+                words = () if rule.needs else necessary_words(pattern)
                 found = scope & _has(row["low"], words) & row["plain"].rlike(SEARCH + pattern)
                 hit = F.struct(F.lit(rule.rule_id).alias("rule_id"), excerpt(row["plain"], SEARCH + pattern).alias("excerpt"))
                 out = F.when(found, hit) if out is None else out.when(found, hit)

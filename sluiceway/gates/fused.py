@@ -13,10 +13,12 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluiceway.gates.keys import fits, key_counts
 from sluiceway.gates.model import (
     ROW_GATES, BusinessRule, Freshness, Gate, GateResult, NotNull, Quarantine, ReferentialIntegrity,
     RowCountBounds, SchemaContract, StageOutcome, Unique, count_verdict, crashed, freshness_verdict,
@@ -94,9 +96,11 @@ def run_gates(
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     states = {t: _Table(df, df.withColumn(FLAG, F.lit(None).cast("int"))) for t, df in tables.items()}
     early: dict[int, GateResult] = {}
-    rule_counts: dict[int, int] = {}
+    rule_counts: dict[int, int] = _keys_alone(tables, gates) if quarantine is None else {}
     for number, gate in enumerate(gates):
         try:
+            if number in rule_counts:
+                continue
             if isinstance(gate, SchemaContract):
                 early[number] = schema_verdict(gate, {t: s.source for t, s in states.items()})
             elif isinstance(gate, ROW_GATES):
@@ -143,6 +147,19 @@ def run_gates(
     return StageOutcome(results, clean, rejected, {t: s.counts["clean"] for t, s in states.items() if t in named}, paths)
 
 
+def _keys_alone(tables: Mapping[str, DataFrame], gates: Sequence[Gate]) -> dict[int, int]:
+    """Rejected rows of the unique and referential gates where nothing is moved, by one aggregate for each table. Gates of a
+    table whose aggregate fails are left out: each of them is then tried, and fails, on its own."""
+    counts: dict[int, int] = {}
+    for table, df in tables.items():
+        try:
+            mine = {n: g for n, g in enumerate(gates) if isinstance(g, (Unique, ReferentialIntegrity)) and g.table == table and fits(g, df, tables)}
+            counts |= key_counts(df, mine, tables)
+        except (PySparkException, KeyError):
+            continue
+    return counts
+
+
 def _materialise(table: str, state: _Table, gates: Sequence[Gate], early: Mapping[int, GateResult], run_id: int | None, path: str):
     """One wide pass over a table: write clean and rejected rows apart. Counts are then read from the
     stored files' footers, so they describe exactly what was written."""

@@ -2,12 +2,14 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from sluiceway.gates import (
     BusinessRule, Freshness, NotNull, Quarantine, ReferentialIntegrity, RowCountBounds, SchemaContract, Unique,
     gate_from_dict, run_gates, run_gates_one_by_one,
 )
+from sluiceway.gates.keys import key_counts
 from sluiceway.gates.model import GateError
 from sluiceway.gates.verdict import ColumnTest, required_gate_problems, required_test_problems, run_column_tests
 from sluiceway.gates.verdict import test_run_verdict as run_verdict
@@ -278,3 +280,26 @@ def test_required_gates():
     assert required_gate_problems(stages, [{**need, "stage": "raw", "columns": ["a"]}])
     assert required_gate_problems(stages, [{**need, "stage": "gone", "columns": None}])
     assert required_gate_problems(stages, [{"type": "unique", "table": "c", "stage": "raw", "columns": None}]) == []
+
+
+def test_key_gates_counted_by_one_aggregate_equal_gates_on_their_own(spark, table):
+    r = random.Random(11)
+    pick = lambda *values: r.choice([None, *values])
+    for _ in range(3):
+        df = table({"a": "bigint", "b": "string", "n": "int"}, *[(pick(1, 2, 3, 4), pick("x", "y"), pick(1, 2)) for _ in range(r.choice([0, 9, 25]))])
+        tables = {"t": df, "p": table({"id": "bigint", "n": "bigint"}, (1, 1), (1, 2), (None, 3), (3, 3)), "none": table({"id": "bigint"})}
+        gates = [
+            Unique("t", ["a"]), Unique("t", ["b", "a"]), ReferentialIntegrity("t", "a", {"table": "p", "column": "id"}), Unique("t", ["a"]),
+            ReferentialIntegrity("t", "a", {"table": "none", "column": "id"}), ReferentialIntegrity("t", "a", {"table": "p", "column": "n"}),
+            ReferentialIntegrity("t", "n", {"table": "p", "column": "id"}), Unique("p", ["id"]), ReferentialIntegrity("t", "a", {"table": "t", "column": "a"}),
+        ]
+        seen, wanted = run_gates(tables, gates), run_gates_one_by_one(tables, gates)
+        assert [(g.rows_checked, g.rows_rejected, g.status) for g in seen.results] == [(g.rows_checked, g.rows_rejected, g.status) for g in wanted.results]
+
+
+def test_many_keys_and_a_gate_that_crashes(spark, table):
+    wide = spark.range(6).select(*[(F.col("id") % (i % 7 + 1)).alias(f"c{i}") for i in range(70)])
+    gates = [Unique("t", [f"c{i}"]) for i in range(70)]
+    assert key_counts(wide, dict(enumerate(gates)), {"t": wide}) == {i: sum(1 for v in range(6) if sum(w % (i % 7 + 1) == v % (i % 7 + 1) for w in range(6)) > 1) for i in range(70)}
+    out = run_gates({"t": wide}, [Unique("t", ["nope"]), Unique("t", ["c0"]), ReferentialIntegrity("t", "c1", {"table": "gone", "column": "x"})])
+    assert [g.rows_rejected for g in out.results] == [None, 6, None] and "raised" in out.results[0].detail

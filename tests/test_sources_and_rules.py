@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from sluiceway.catalog.text_queries import SCRIPT_LINES
 from sluiceway.functions import textrules
 from sluiceway.functions.textrules import Rule
 from sluiceway.operators.compare import same_rows
@@ -187,6 +188,56 @@ def test_script_hits(spark):
     assert got == {i: script_rules(s) for i, s in enumerate(scripts)}
 
 
+def test_every_script_rule_has_a_hit_and_a_near_miss(spark):
+    lines = [(i, hit, miss) for i, (hit, miss) in enumerate(SCRIPT_LINES)]
+    seen = spark.createDataFrame(lines, "i int, hit string, miss string").select(
+        "i", textrules.script_hits(F.col("hit")).alias("h"), textrules.script_hits(F.col("miss")).alias("m"))
+    assert rows(seen) == [(i, [rule[0]], []) for i, rule in enumerate(textrules.SCRIPT_RULES)]
+
+
+@pytest.mark.parametrize("pattern,words", [
+    ("copyright|all rights reserved", ("all rights reserved|copyright",)), (r"licen[cs]ed? under", ("licen", "e", " under")),
+    ("(a|)b+", ("b",)), ("(?:Ab|c.dd)?x", ("x",)), ("x{0,3}", ()), ("(?!no)yes", ("yes",)), (r"a\|b", ("a", "b")), ("[a-z&&[^b]]", ()), (r"a\vb", ()),
+    (r"\Qa.b\E", ()), (r"[\w[ab]]c", ()), ("(", ()), ("", ()), ("(foo|b(ar|oz))!", ("ar|foo|oz", "!")), (r"(ab)\1", ("ab",)),
+])
+def test_necessary_words(pattern, words):
+    assert textrules.necessary_words(pattern) == words
+
+
+def test_necessary_words_hide_no_match():
+    """Random patterns, and the fixed ones with the words listed for them, against random texts made of their pieces."""
+    r = random.Random(5)
+
+    def make(depth):
+        if depth == 0:
+            return r.choice(["a", "B", "ab", "c d", ".", "[ab]", r"\s", r"\b", "^", "-"])
+        a, b = make(depth - 1), make(depth - 1)
+        return r.choice([a + b, f"({a}|{b})", f"({a})?{b}", f"(?:{a})+{b}", f"({a}){{0,2}}", f"(?={a}){b}", f"(?!{a}){b}", f"({a}|{b}|)"])
+
+    def passes(needs, text):
+        return all(any(w in text.lower() for w in entry.lower().split("|")) for entry in needs)
+
+    matched = 0
+    for _ in range(1500):
+        pattern = make(r.randint(1, 4))
+        needs = textrules.necessary_words(pattern)
+        for _ in range(10):
+            text = "".join(r.choice("aAbBcd -\n") for _ in range(r.randint(0, 9)))
+            if re.search(pattern, text, re.I | re.M):
+                matched += 1
+                assert passes(needs, text), (pattern, needs, text)
+    assert matched > 1000
+    hits = set()
+    for _ in range(4000):
+        line = "".join(r.choice([c.lower(), c.upper()]) + (" " if c == " " and r.random() < 0.3 else "") for c in r.choice(r.choice(SCRIPT_LINES)))
+        text = r.choice(["", "x; ", " "]) + line + r.choice(["", " ", " && y"])
+        for name, pattern, listed in textrules.SCRIPT_RULES:
+            if re.search(pattern, text, re.I):
+                hits.add(name)
+                assert passes(listed, text) and passes(textrules.necessary_words(pattern), text), (name, text)
+    assert len(hits) == len(textrules.SCRIPT_RULES)
+
+
 # ---- metrics
 
 SALES = Dataset([DatasetColumn("region"), DatasetColumn("id", groupby=False), DatasetColumn("amount", groupby=False, filterable=False)],
