@@ -237,6 +237,70 @@ def test_licence_expressions():
             licences.postfix(broken.split())
 
 
+@pytest.mark.parametrize("text, labels, duty", [
+    ("SPDX-License-Identifier: MIT.", "mit", 1), ("SPDX-License-Identifier: MIT or later is fine", "mit", 1),
+    ("A License-Identifier: tag names the licence", "", None), ("spdx-License-identifier: apache-2.0", "apache-2.0", 1),
+    ("// SPDX-License-Identifier: (MIT OR\n//   GPL-2.0-or-later)", "gpl-2.0-or-later,mit", 1),
+    ("# SPDX-License-Identifier: EPL-2.0 OR\n# GPL-2.0+ WITH Classpath-exception-2.0", "classpath-exception-2.0,epl-2.0,gpl-2.0+", 2),
+    ("SPDX-License-Identifier: MIT\nOR not", "mit", 1), ("SPDX-License-Identifier: (MIT OR Nothing-4.2)", "mit", None),
+    ("SPDX-License-Identifier: LicenseRef-Own-1. Then", "licenseref-own-1", 5),
+    ("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b AND ISC", "documentref-a:licenseref-b,isc", 5),
+    ("SPDX-License-Identifier: NOASSERTION", "", None), ("SPDX-License-Identifier:GPL-9.9", "", None), ("İSPDX-License-Identifier: Zlib", "zlib", 1),
+    ("SPDX-License-Identifier: MIT AND (whatever", "mit", 1), ("SPDX-License-Identifier: GPL-2.0-only WITH MIT", "gpl-2.0-only", 3),
+])
+def test_licence_tags(text, labels, duty):
+    row = licences.Scanner().scan(text)
+    assert (row["labels"], row["duty"]) == (labels, duty)
+
+
+def licences_by_hand(text):
+    """Labels and score of a text of one-line expressions, by trying every prefix of what follows a tag."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)) + " "
+    labels = {label for listed in (licences.NOTICES, licences.BASE) for phrase, label in listed.items() if f" {phrase} " in words}
+    grammar = r"E(?:(?:and|or)E)*"  # E: an operand, with its exception if any
+    named = set()
+    for line in lowered.split("\n"):
+        for rest in re.split(r"license-(?:identifier|expression):", line)[1:]:
+            tokens = re.findall(r"[()]|[a-z0-9][a-z0-9.+-]*", rest)
+            for size in range(len(tokens), 0, -1):
+                shape = " ".join(t if t in ("and", "or", "(", ")") else "with" if t == "with" else "X" if "exception" in t else "E" if t in licences.KNOWN else "?" for t in tokens[:size])
+                shape = re.sub("E with X", "E", shape).replace(" ", "")
+                while (smaller := re.sub(rf"\({grammar}\)", "E", shape)) != shape:
+                    shape = smaller
+                if re.fullmatch(grammar, shape):
+                    named |= {t for t in tokens[:size] if t not in ("and", "or", "with", "(", ")")}
+                    break
+    return labels | named, 1 - 0.5 ** (len(labels | named) + len(named))
+
+
+def test_random_licence_expressions():
+    r, scan = random.Random(4), licences.Scanner().scan
+    operands = ["MIT", "gpl-2.0+", "Apache-2.0", "CC-BY-SA-4.0", "EPL-2.0 WITH gcc-exception-3.1", "cc by"]
+
+    def made(depth):
+        if depth == 0 or r.random() < 0.4:
+            return r.choice(operands[:5])
+        inner = made(depth - 1) + r.choice([" AND ", " or ", " Or "]) + made(depth - 1)
+        return f"({inner})" if r.random() < 0.7 else inner
+
+    for _ in range(2000):
+        text = "\n".join(
+            r.choice(["All rights  reserved", "plain, words", "Mozilla (Public) License", f"// {r.choice(['SPDX-', ''])}License-Identifier: {made(3)}{r.choice(['', ' ', ' today', ' or so', ' and others'])}"])
+            for _ in range(r.randint(0, 4)))
+        row, (labels, score) = scan(text), licences_by_hand(text)
+        assert (set(filter(None, row["labels"].split(","))), row["score"]) == (labels, score), text
+
+
+@pytest.mark.parametrize("unit", ["SPDX-License-Identifier: MIT ", "SPDX-License-Identifier:(", "(", "license-identifier:mit or ", "a.", "exception", "\n//"])
+def test_licence_scan_is_linear(unit):
+    scan = licences.Scanner().scan
+    for head in ("", "SPDX-License-Identifier: ( GPL-2.0 WITH "):
+        started = time.process_time()
+        scan(head + unit * (2_000_000 // len(unit)))
+        assert time.process_time() - started < 5
+
+
 def test_quality_rules(awkward, no_docs, given):
     for docs in (awkward, given("documents")):
         want = Counter()
