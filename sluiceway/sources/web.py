@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 Transport = Callable[[str, Mapping[str, str], dict | None], dict | list]
 
@@ -110,7 +110,7 @@ class RestReader(DataSourceReader):
         if self.paginator in ("page_number", "offset"):
             bodies = self._numbered(partition.number, path)
         else:
-            bodies = self._linked()
+            bodies = (body for _, body in self.linked(self._url()))
         for body in bodies:
             for record in _records(body, path):
                 yield (json.dumps(record, ensure_ascii=False),)
@@ -120,8 +120,7 @@ class RestReader(DataSourceReader):
         size, first = int(self.options.get("page_size", "100")), int(self.options.get("first_page", "1"))
         offset, page, before = 0, first + number, None
         while True:
-            url = self._url(offset=offset, limit=size) if self.paginator == "offset" else self._url(page=page, per_page=size)
-            body = _reply(self._get(url)).body
+            body = self._page(page, size) if self.paginator == "page_number" else self._from(offset, size)
             received = len(_listed(body, path))
             # A server that knows no pages answers alike for ever.
             if not received or body == before:
@@ -130,13 +129,19 @@ class RestReader(DataSourceReader):
             yield body
             offset, page = offset + received, page + self.slices
 
-    def _linked(self) -> Iterator:
-        """Pages that name the next one: by a link in the body, a Link header, or a cursor to ask with."""
-        url, seen = self._url(), set()
+    def _page(self, page: int, size: int) -> dict | list:
+        return _reply(self._get(self._url(page=page, per_page=size))).body
+
+    def _from(self, offset: int, size: int) -> dict | list:
+        return _reply(self._get(self._url(offset=offset, limit=size))).body
+
+    def linked(self, url: str) -> Iterator[tuple[str, dict | list]]:
+        """Pages from `url` on that name the next one: by a link in the body, a Link header, or a cursor to ask with."""
+        seen = set()
         while url and url not in seen:
             seen.add(url)
-            reply = _reply(self._get(url))
-            yield reply.body
+            reply, asked = _reply(self._get(url)), url
+            yield asked, reply.body
             url = None
             if self.paginator == "header_link":
                 url = _next_link(reply.headers)
@@ -170,7 +175,124 @@ class SearchReader(DataSourceReader):
             body = _reply(self.transport(f"{host}/_search/scroll", headers, {"scroll": "5m", "scroll_id": body["_scroll_id"]})).body
 
 
-def _source(short_name: str, reader: type, transport: Transport) -> type[DataSource]:
+class _Range(InputPartition):
+    """Places to read, from one up to another; what they are depends on the paginator."""
+
+    def __init__(self, start: dict, end: dict):
+        self.start, self.end = start, end
+
+
+class RestStream(DataSourceStreamReader):
+    """An endpoint that grows at its end, as a stream: a micro-batch holds the records that came since the last one.
+
+    An offset is a place between two records: a page (its number or its address) and how many of its records were read,
+    or a record number. Between two offsets always the same records are read, and a page that was read is not asked for
+    again, but for the last one, which may have grown. Numbered pages and offsets are fetched by `slices` tasks; the
+    driver only looks for the end, with a number of requests that grows with the logarithm of what is new. Links and
+    cursors can only be followed: the driver follows the new ones, holding one page at a time, and one task fetches them.
+    """
+
+    def __init__(self, options: Mapping[str, str], transport: Transport):
+        self.pages = RestReader(options, transport)
+        self.records, self.size = options.get("records"), int(options.get("page_size", "100"))
+        self.slices = int(options.get("slices", "1"))
+        self.reached = self.initialOffset()
+
+    def initialOffset(self) -> dict:
+        if self.pages.paginator == "page_number":
+            return {"page": int(self.pages.options.get("first_page", "1")), "taken": 0}
+        return {"offset": 0} if self.pages.paginator == "offset" else {"url": self.pages._url(), "taken": 0}
+
+    def latestOffset(self) -> dict:
+        if self.pages.paginator == "page_number":
+            first = self.pages._page(self.reached["page"], self.size)
+            last, taken = self._last(self.reached["page"], first, self.pages._page, 1)
+            found = {"page": last, "taken": taken}
+        elif self.pages.paginator == "offset":
+            start = self.reached["offset"]
+            first = self.pages._from(start, self.size)
+            last, taken = self._last(start, first, self.pages._from, max(1, len(_listed(first, self.records))))
+            return {"offset": max(start, last + taken)}
+        else:
+            for url, body in self.pages.linked(self.reached["url"]):
+                found = {"url": url, "taken": len(_records(body, self.records))}
+        # A page that became shorter holds nothing new.
+        here = "page" if "page" in found else "url"
+        return self.reached if found[here] == self.reached[here] and found["taken"] < self.reached["taken"] else found
+
+    def _last(self, start: int, first: dict | list, ask: Callable, step: int) -> tuple[int, int]:
+        """The last place with records from `start` on, and how many a request for it gets: steps double, then halve."""
+        held = {start: len(_listed(first, self.records))}
+
+        def has(place: int) -> bool:
+            if place not in held:
+                body = ask(place, self.size)
+                # A server that knows no pages answers alike for ever.
+                held[place] = 0 if body == first else len(_listed(body, self.records))
+            return held[place] > 0
+
+        last = start
+        while held[start] and has(last + step):
+            last, step = last + step, step * 2
+        end = last + step
+        while held[start] and end - last > 1:
+            middle = (last + end) // 2
+            last, end = (middle, end) if has(middle) else (last, middle)
+        return last, held[last]
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        # Also called with the last offset of the checkpoint when a stream starts again.
+        self.reached = end
+        if start == end:
+            return []
+        if "url" in start:
+            return [_Range(start, end)]
+        low, high = (start["page"], end["page"] + 1) if "page" in start else (start["offset"], end["offset"])
+        cuts = sorted({low + (high - low) * i // self.slices for i in range(self.slices + 1)})
+        if "offset" in start:
+            return [_Range({"offset": a}, {"offset": b}) for a, b in zip(cuts, cuts[1:])]
+        return [
+            _Range({"page": a, "taken": start["taken"] if a == low else 0}, end if b == high else {"page": b - 1, "taken": None})
+            for a, b in zip(cuts, cuts[1:])
+        ]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        start, end = partition.start, partition.end
+        if "offset" in start:
+            pages = self._ranged(start["offset"], end["offset"])
+        elif "page" in start:
+            numbered = ((p, _listed(self.pages._page(p, self.size), self.records)) for p in range(start["page"], end["page"] + 1))
+            pages = self._between(numbered, start, end, "page")
+        else:
+            linked = ((url, _records(body, self.records)) for url, body in self.pages.linked(start["url"]))
+            pages = self._between(linked, start, end, "url")
+        for found in pages:
+            for record in found:
+                yield (json.dumps(record, ensure_ascii=False),)
+
+    def _between(self, pages: Iterator[tuple], start: dict, end: dict, here: str) -> Iterator[list]:
+        for place, found in pages:
+            last = place == end[here]
+            if last and end["taken"] is not None and len(found) < end["taken"]:
+                raise ValueError(f"{here} {place} has {len(found)} records, {end['taken']} were seen before")
+            yield found[start["taken"] if place == start[here] else 0 : end["taken"] if last else None]
+            if last:
+                return
+        raise ValueError(f"the pages end before {here} {end[here]}, which was seen before")
+
+    def _ranged(self, offset: int, end: int) -> Iterator[list]:
+        while offset < end:
+            found = _listed(self.pages._from(offset, min(self.size, end - offset)), self.records)[: end - offset]
+            if not found:
+                raise ValueError(f"there is no record {offset}, {end} were seen before")
+            yield found
+            offset += len(found)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _source(short_name: str, reader: type, transport: Transport, stream: type | None = None) -> type[DataSource]:
     class WebSource(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -182,6 +304,11 @@ def _source(short_name: str, reader: type, transport: Transport) -> type[DataSou
         def reader(self, schema):
             return reader(self.options, transport)
 
+        def streamReader(self, schema):
+            if stream is None:
+                raise NotImplementedError(f"{short_name} is no stream source")
+            return stream(self.options, transport)
+
     return WebSource
 
 
@@ -191,6 +318,12 @@ def read_rest(spark: SparkSession, schema: str, transport: Transport = http_json
     return records_as(spark.read.format("sluiceway_rest").options(**options).load(), schema)
 
 
+def stream_rest(spark: SparkSession, schema: str, transport: Transport = http_json, **options: str) -> DataFrame:
+    """Records of an endpoint that grows, in the declared columns, as a stream."""
+    spark.dataSource.register(_source("sluiceway_rest", RestReader, transport, RestStream))
+    return records_as(spark.readStream.format("sluiceway_rest").options(**options).load(), schema)
+
+
 def read_index(spark: SparkSession, schema: str, transport: Transport = http_json, **options: str) -> DataFrame:
     """Documents of one index in the declared columns, with their `_id`."""
     spark.dataSource.register(_source("sluiceway_search", SearchReader, transport))

@@ -15,7 +15,7 @@ from sluiceway.operators.compare import same_rows
 from sluiceway.plans.metrics import Chart, ChartError, Dataset, DatasetColumn, check_chart
 from sluiceway.sources.files import csv_tables, ends_inside, read_csv, read_seed, rows_per_file
 from sluiceway.sources.shape import child_table, flatten, sheet_header, sheet_table
-from sluiceway.sources.web import read_index, read_rest
+from sluiceway.sources.web import read_index, read_rest, stream_rest
 
 
 # ---- files
@@ -92,6 +92,87 @@ def test_rest_pages(spark, count, paginator, slices):
     assert count == 0 or df.first()["auth"] == "Bearer t0k"
 
 
+def growing_server(folder, size):
+    """Pages of as many records as the file says; every request is logged. Read by the driver and by tasks."""
+    def get(url, headers, body):
+        with open(f"{folder}/log", "a") as f:
+            f.write(url + "\n")
+        with open(f"{folder}/count") as f:
+            total = int(f.read())
+        asked = {k: int(v) for k, v in re.findall(r"(\w+)=(\d+)", url)}
+        start = asked["offset"] if "offset" in asked else (asked["page"] - 1) * size if "page" in asked else asked.get("cursor", 0)
+        found, end = [{"id": i} for i in range(start, min(total, start + size))], start + size
+        return {"items": found, "next": f"http://h/x?page={end // size + 1}" if end < total else None, "next_cursor": end if end < total else None}
+
+    return get
+
+
+@pytest.mark.parametrize("paginator", ["page_number", "offset", "json_link", "cursor"])
+def test_a_stream_asks_for_new_pages_only(spark, tmp_path, paginator):
+    out, sizes = str(tmp_path / "out"), [0, 43, 43, 45, 50, 131]
+    asked = []
+    for total in sizes:
+        (tmp_path / "count").write_text(str(total))
+        (tmp_path / "log").write_text("")
+        # A new stream each time, from the same checkpoint.
+        rows_in = stream_rest(spark, "id bigint", growing_server(str(tmp_path), 10), base_url="http://h", endpoint="x", records="items", paginator=paginator, slices="3", page_size="10")
+        rows_in.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        asked.append((tmp_path / "log").read_text().split())
+        assert rows(spark.read.schema("id bigint").parquet(out)) == [(i,) for i in range(total)]
+
+    def place(url):
+        found = re.search(r"(page|offset|cursor)=(\d+)", url)
+        return 0 if found is None else int(found[2]) - 1 if found[1] == "page" else int(found[2]) // 10
+
+    # The last page may have grown and is asked for again; none before it is.
+    for before, now in zip(sizes, asked[1:]):
+        assert min(map(place, now)) >= max(0, (before - 1) // 10)
+    assert len(asked[2]) <= 4
+
+
+def test_the_end_of_numbered_pages_takes_few_requests():
+    from sluiceway.sources.web import RestStream
+
+    for total in [*range(0, 60), 99_991, 100_000]:
+        for paginator in ("page_number", "offset"):
+            asked = []
+
+            def get(url, headers, body):
+                asked.append(url)
+                q = {k: int(v) for k, v in re.findall(r"(\w+)=(\d+)", url)}
+                start, size = (q["offset"], min(q["limit"], 7)) if "offset" in q else ((q["page"] - 1) * 7, 7)
+                return [{"id": i} for i in range(start, min(total, start + size))]
+
+            stream = RestStream({"base_url": "http://h", "endpoint": "x", "paginator": paginator, "slices": "4"}, get)
+            start, end = stream.initialOffset(), stream.latestOffset()
+            assert len(asked) < 50
+            got = [json.loads(r[0])["id"] for part in stream.partitions(start, end) for r in stream.read(part)]
+            assert got == list(range(total))
+            assert stream.latestOffset() == end
+
+
+def test_a_stream_whose_pages_vanish_stops():
+    from sluiceway.sources.web import RestStream
+
+    served = [{"id": i} for i in range(25)]
+    for paginator in ("page_number", "offset"):
+        def get(url, headers, body):
+            q = {k: int(v) for k, v in re.findall(r"(\w+)=(\d+)", url)}
+            start = q["offset"] if "offset" in q else (q["page"] - 1) * 10
+            return served[start : start + 10]
+
+        stream = RestStream({"base_url": "http://h", "endpoint": "x", "paginator": paginator, "page_size": "10"}, get)
+        start, end = stream.initialOffset(), stream.latestOffset()
+        parts, kept = stream.partitions(start, end), served[:]
+        del served[22:]
+        with pytest.raises(ValueError, match="seen before|were seen"):
+            [list(stream.read(p)) for p in parts]
+        assert stream.latestOffset() == end
+        served[:] = kept
+    alike = RestStream({"base_url": "http://h", "endpoint": "x", "paginator": "page_number"}, lambda *a: [{"id": 1}])
+    assert alike.latestOffset() == {"page": 1, "taken": 1}
+
+
 def test_unknown_paginator(spark):
     with pytest.raises(Exception, match="paginator"):
         read_rest(spark, "id int", pages(1, 1), base_url="http://x", endpoint="e", paginator="guess").collect()
