@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -98,6 +99,92 @@ class Database:
         return spark.read.format("jdbc").options(**self.reader_options(table, split)).load()
 
 
+    def read_cut(self, spark: SparkSession, keys: Mapping[str, str], ranges: int = 1) -> dict[str, DataFrame]:
+        """Several tables as of one moment, named with the key column that new rows come with at its upper end.
+
+        The largest keys of all tables are taken first, by one statement; whatever is read afterwards lies at or below
+        them, so that rows added meanwhile are in no table. Rows changed or deleted meanwhile are not held back. Each
+        table is read in `ranges` of about equal numbers of rows, as its database measures them, one connection each;
+        rows without a key are in the first range.
+        """
+        def ask(query: str) -> DataFrame:
+            options = {k: v for k, v in self.reader_options("").items() if k != "dbtable"}
+            return spark.read.format("jdbc").options(**options, query=query).load()
+
+        return read_cut(self, keys, ranges, ask, lambda table, predicates: spark.read.jdbc(
+            self.url, self.qualified(table), predicates=predicates,
+            properties={k: v for k, v in self.reader_options(table).items() if k not in ("url", "dbtable")},
+        ))
+
+
+def read_cut(database: Database, keys: Mapping[str, str], ranges: int, ask, read) -> dict[str, DataFrame]:
+    """`Database.read_cut` with its two ways to the database: a query's rows, and a table's rows by predicates."""
+    if ranges < 1:
+        raise ValueError(f"{ranges} ranges")
+    if not keys:
+        return {}
+    highs = ask(bounds_query(database, keys)).first()
+    found = {}
+    for n, (table, key) in enumerate(keys.items()):
+        high, starts = highs[n], []
+        if high is not None and ranges > 1:
+            # In the order of the database, which for text need not be Python's.
+            starts = [r[1] for r in sorted(ask(starts_query(database, table, key, high, ranges)).collect(), key=lambda r: r[0])]
+        found[table] = read(table, range_predicates(key, high, starts, database.dialect))
+    return found
+
+
+def bounds_query(database: Database, keys: Mapping[str, str]) -> str:
+    """The largest key of every table, as columns of one row: one statement sees all tables at one moment."""
+    return "select " + ", ".join(
+        f"(select max({quoted(key)}) from {database.qualified(table)}) as high_{n}" for n, (table, key) in enumerate(keys.items())
+    )
+
+
+def starts_query(database: Database, table: str, key: str, high, ranges: int) -> str:
+    """Where ranges of equal numbers of rows begin, at or below `high`: at most one row per range."""
+    column = quoted(key)
+    numbered = (
+        f"select {column} as place, ntile({ranges}) over (order by {column}) as piece "
+        f"from {database.qualified(table)} where {column} <= {written(high, database.dialect)}"
+    )
+    return f"select piece, min(place) as place from ({numbered}) numbered group by piece"
+
+
+def range_predicates(key: str, high, starts: Sequence, dialect: str) -> list[str]:
+    """Conditions of which each row at or below `high`, or without a key, meets exactly one, and no other row meets any.
+
+    `starts` are the first keys of the ranges in ascending order. A key may begin several ranges; they become one then.
+    """
+    column = quoted(key)
+    if high is None:
+        return [f"{column} is null"]
+    top = f"{column} <= {written(high, dialect)}"
+    cuts = [written(s, dialect) for s in dict.fromkeys(starts)]
+    if len(cuts) < 2:
+        return [f"({top} or {column} is null)"]
+    first = f"({column} < {cuts[1]} or {column} is null)"
+    between = [f"{column} >= {a} and {column} < {b}" for a, b in zip(cuts[1:], cuts[2:])]
+    return [first, *between, f"{column} >= {cuts[-1]} and {top}"]
+
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def written(value, dialect: str) -> str:
+    """A key as a literal of the database."""
+    if isinstance(value, dt.datetime):
+        return f"cast('{value.isoformat(sep=' ')}' as {'datetime2' if dialect == 'sqlserver' else 'timestamp'})"
+    if isinstance(value, dt.date):
+        return f"cast('{value.isoformat()}' as date)"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, (int, decimal.Decimal)) and not isinstance(value, bool):
+        return f"{value:f}" if isinstance(value, decimal.Decimal) else str(value)
+    raise ValueError(f"a cut needs a key of whole or decimal numbers, text, dates or times, not {value!r}")
+
+
 def load_table(
     store: TableStore,
     namespace: str,

@@ -473,3 +473,108 @@ def test_csv_dialect(spark, tmp_path):
     (tmp_path / "in/2.csv").write_text("b,a\nB,A\n")
     got = {(r.a, r.b) for r in read_csv(spark, str(tmp_path / "in")).collect()}
     assert got == {('say "hi", ok', "two\nlines"), ("1", "2"), ("A", "B")}
+
+
+class Shop:
+    """A database of this process that answers as the reader would; `later` runs after the first statement."""
+
+    def __init__(self, later=()):
+        import duckdb
+
+        self.db, self.later, self.asked = duckdb.connect(), list(later), []
+
+    def ask(self, query):
+        self.asked.append(query)
+        found = self.db.execute(query).fetchall()
+        while self.later:
+            self.db.execute(self.later.pop())
+
+        class Answer:
+            first = staticmethod(lambda: found[0])
+            collect = staticmethod(lambda: found)
+
+        return Answer
+
+    def read(self, table, predicates):
+        return [self.db.execute(f"select rowid from {table} where {p}").fetchall() for p in predicates]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(20,3)", "varchar", "date", "timestamp"])
+def test_ranges_of_a_cut_hold_each_row_once(kind):
+    import datetime as dt
+    import decimal
+
+    from sluiceway.sources.jdbc import Database, read_cut
+
+    r = random.Random(kind)
+    made = {
+        "bigint": lambda: r.randint(-50, 50), "decimal(20,3)": lambda: decimal.Decimal(r.randint(-900, 900)) / 1000,
+        "varchar": lambda: "".join(r.choices("aB'\"é z", k=r.randint(0, 2))), "date": lambda: dt.date(2024, 1, 1) + dt.timedelta(r.randint(0, 40)),
+        "timestamp": lambda: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=r.randint(0, 10**8)),
+    }[kind]
+    for n in range(60):
+        shop, count = Shop(), r.choice([0, 1, 3, 200])
+        keys = [None if r.random() < 0.1 else made() for _ in range(count)]
+        if r.random() < 0.3:
+            keys = [keys[0] if r.random() < 0.7 else k for k in keys]
+        shop.db.execute(f'create table t ("the ""key" {kind})')
+        if keys:
+            shop.db.executemany("insert into t values (?)", [(k,) for k in keys])
+        ranges = r.choice([1, 2, 7, 300])
+        parts = read_cut(Database("jdbc:duckdb:x"), {"t": 'the "key'}, ranges, shop.ask, shop.read)["t"]
+        assert sorted(row for part in parts for row, in part) == list(range(count)) and len(parts) <= ranges
+        if len(set(keys)) == count == 200 and ranges == 7:
+            assert max(map(len, parts)) <= 200 // 7 + 30
+
+
+def test_a_cut_holds_all_tables_at_one_moment():
+    from sluiceway.sources.jdbc import Database, read_cut
+
+    shop = Shop(["insert into lines values (5, 3), (null, 9)", "insert into orders values (3)"])
+    shop.db.execute("create table orders (id bigint); insert into orders values (1), (2); create table lines (n bigint, id bigint)")
+    shop.db.execute("insert into lines values (1, 1), (2, 1), (3, 2), (4, 2); create table none (id bigint)")
+    found = read_cut(Database("jdbc:duckdb:x"), {"orders": "id", "lines": "n", "none": "id"}, 2, shop.ask, shop.read)
+    # What came after the first statement is in no table, but for rows without a key.
+    assert [sum(map(len, found[t])) for t in ("orders", "lines", "none")] == [2, 5, 0]
+    assert len(shop.asked) == 3 and len(found["lines"]) == 2
+    assert read_cut(Database("jdbc:duckdb:x"), {}, 2, shop.ask, shop.read) == {}
+    with pytest.raises(ValueError, match="0 ranges"):
+        read_cut(Database("jdbc:duckdb:x"), {"orders": "id"}, 0, shop.ask, shop.read)
+
+
+def test_literals_of_a_cut():
+    import datetime as dt
+
+    from sluiceway.sources.jdbc import Database, bounds_query, range_predicates, written
+
+    moment = dt.datetime(2024, 5, 1, 3, 4, 5, 6)
+    assert written(moment, "sqlserver") == "cast('2024-05-01 03:04:05.000006' as datetime2)"
+    assert written(moment, "postgresql") == "cast('2024-05-01 03:04:05.000006' as timestamp)"
+    for odd in (1.5, True, b"x"):
+        with pytest.raises(ValueError, match="a cut needs a key"):
+            written(odd, "postgresql")
+    assert bounds_query(Database("jdbc:postgresql://h/d"), {"a": "id", "b": "no"}) == 'select (select max("id") from public.a) as high_0, (select max("no") from public.b) as high_1'
+    assert range_predicates("id", 9, [1, 4, 4, 8], "sqlserver") == ['("id" < 4 or "id" is null)', '"id" >= 4 and "id" < 8', '"id" >= 8 and "id" <= 9']
+
+
+def test_the_reader_gets_a_range_per_connection(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from sluiceway.sources.jdbc import Database
+
+    given, options = {}, []
+    monkeypatch.setattr(DataFrameReader, "options", lambda self, **o: options.append(o) or self)
+    answers = [[(90, None)], [(2, 50), (1, 10)]]
+
+    class Answer:
+        def __init__(self, found):
+            self.first, self.collect = (lambda: found[0]), (lambda: found)
+
+    monkeypatch.setattr(DataFrameReader, "load", lambda self: Answer(answers.pop(0)))
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, predicates, properties: given.update({table: (predicates, properties)}) or table)
+    database = Database("jdbc:postgresql://h/d", {"user": "u"})
+    assert database.read_cut(spark, {"a": "id", "b": "id"}, ranges=2) == {"a": "public.a", "b": "public.b"}
+    assert given["public.a"] == (['("id" < 50 or "id" is null)', '"id" >= 50 and "id" <= 90'], {"user": "u", "fetchsize": "50000", "preferTimestampNTZ": "true"})
+    assert given["public.b"][0] == ['"id" is null']
+    # A query and a table exclude each other.
+    assert all("dbtable" not in o and o["query"].startswith("select") for o in options)
