@@ -1,7 +1,8 @@
 """Extract, verify and load of a batch.
 
-Hashing, counting and checking files is done by the tasks that read them. The driver sees one
-registry row per table and at most 4 096 partial hashes, however many files a table has.
+Hashing, counting and checking files is done by the tasks that read them, for all tables of a batch together: what the
+files, their rows and the manifests say is united, and brought together per object by one aggregate. The driver sees one
+registry row and at most 4 096 partial hashes per table, however many files a table has.
 """
 
 from __future__ import annotations
@@ -10,24 +11,33 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.bronze.types import BronzeError, stored_columns, stored_schema, typed_columns
 from sluiceway.plans.store import TableStore, Version, landing_namespace
 from sluiceway.records import append_records, read_records
+from sluiceway.session import scratch_path
 
 FORMAT_VERSION = 1
-CHUNK_ROWS = 50_000
+# An object holds rows of about so many bytes, written as JSON; compressed columns take less. The width of a table's rows
+# is measured on at most PROBE_ROWS of them, which only decides how the same rows are dealt over objects.
+OBJECT_BYTES = 128 * 1024 * 1024
+PROBE_ROWS = 10_000
+# A message names so many objects, and says how many more there are.
+NAMED = 5
 MAX_TABLES = 20
 
 REGISTRY = (
     "batch_id string, flow string, table string, status string, path string, schema string, total_rows bigint, "
     "objects bigint, manifest_hash string, batch_tables int, batch_hash string, extracted_at bigint, seq bigint"
 )
+MANIFEST_COLUMNS = ("object", "sha256", "size_bytes", "rows")
 MANIFEST = "object string, sha256 string, size_bytes bigint, rows bigint"
 
 
@@ -42,38 +52,60 @@ def _record(spark: SparkSession, root: str, rows: list[dict]) -> None:
     append_records(spark, f"{root}/_registry", [{**r, "seq": seq} for r in rows], REGISTRY)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Name, hash and size of each data file under `path`. An object holds one chunk of rows, so it fits a task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+def file_hashes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Table, name, hash and size of each data file of the tables in `paths`. An object fits a task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(paths.values()))
+    # A batch's folders are told apart by the last two parts of their paths: the table's and the batch's.
+    names = F.create_map(*[F.lit(x) for table, path in paths.items() for x in ("/".join(path.split("/")[-2:]), table)])
+    folder = F.concat_ws("/", F.slice(F.split("path", "/"), -3, 2))
     return files.select(
-        F.substring_index("path", "/", -1).alias("object"), F.sha2("content", 256).alias("sha256"),
+        names[folder].alias("table"), F.substring_index("path", "/", -1).alias("object"), F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("size_bytes"),
     )
 
 
-def file_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-    return rows.groupBy(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("object")).agg(
-        F.count(F.lit(1)).alias("rows")
+def file_rows(spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, T.StructType]) -> DataFrame:
+    """Table and name of the file of every row; only row counts are read of columnar files."""
+    found = None
+    for table, path in paths.items():
+        rows = spark.read.schema(schemas[table]).option("pathGlobFilter", "*.parquet").parquet(path).select(
+            F.lit(table).alias("table"), F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("object")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def object_facts(
+    spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, T.StructType] | None, manifests: DataFrame | None = None,
+) -> DataFrame:
+    """One row per table and object: what its file is (`sha256`, `size_bytes`), the rows read from it (`rows`), and what a
+    manifest declares (`declared`). A file without rows (an empty table) is still an object: its count is 0. Without
+    `schemas` no rows are read."""
+    facts = file_hashes(spark, paths).withColumn("one", F.lit(None).cast("long"))
+    if schemas is not None:
+        facts = facts.unionByName(file_rows(spark, paths, schemas).withColumn("one", F.lit(1).cast("long")), allowMissingColumns=True)
+    if manifests is not None:
+        facts = facts.unionByName(manifests.select("table", "object", F.struct(*MANIFEST_COLUMNS).alias("declared")), allowMissingColumns=True)
+    return facts.groupBy("table", "object").agg(
+        F.max("sha256").alias("sha256"), F.max("size_bytes").alias("size_bytes"), F.coalesce(F.sum("one"), F.lit(0)).alias("rows"),
+        *([F.max("declared").alias("declared")] if manifests is not None else []),
     )
 
 
-def build_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # A file without rows (an empty table) is still an object: its count is 0.
-    files = file_hashes(spark, path)
-    return files.join(file_rows(spark, path, schema), "object", "left").select(
-        "object", "sha256", "size_bytes", F.coalesce("rows", F.lit(0)).alias("rows")
-    )
+def _digest_groups(*more: Column) -> list[Column]:
+    """Aggregates over manifest lines whose table and objects' group (`g`) they were grouped by."""
+    line = F.concat_ws("|", *MANIFEST_COLUMNS)
+    hashed = F.sha2(F.array_join(F.sort_array(F.collect_list(F.when(F.col("object").isNotNull(), line))), "\n"), 256).alias("h")
+    return [hashed, F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("rows") > 0).alias("objects"), *more]
+
+
+def _group() -> Column:
+    return F.substring(F.sha2("object", 256), 1, 3).alias("g")
 
 
-def manifest_hash(manifest: DataFrame, flow: str, table: str, batch_id: str, schema: str) -> str:
+def manifest_hash(parts: Sequence, flow: str, table: str, batch_id: str, schema: str) -> str:
     """Hash of a manifest: its lines hashed in up to 4 096 groups, then the groups and the header."""
-    line = F.concat_ws("|", "object", "sha256", "size_bytes", "rows")
-    groups = manifest.groupBy(F.substring(F.sha2("object", 256), 1, 3).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h")
-    )
-    parts = sorted((r["g"], r["h"]) for r in groups.collect())
-    header = [FORMAT_VERSION, flow, table, batch_id, schema, parts]
+    header = [FORMAT_VERSION, flow, table, batch_id, schema, sorted((r["g"], r["h"]) for r in parts)]
     return hashlib.sha256(json.dumps(header, sort_keys=True).encode()).hexdigest()
 
 
@@ -82,10 +114,26 @@ def batch_hash(flow: str, batch_id: str, tables: Mapping[str, str]) -> str:
     return hashlib.sha256(json.dumps([FORMAT_VERSION, flow, batch_id, sorted(tables.items())]).encode()).hexdigest()
 
 
+def rows_per_object(tables: Mapping[str, DataFrame], columns: Mapping[str, list[Column]], object_bytes: int = OBJECT_BYTES) -> dict[str, int]:
+    """How many rows of each table fill an object, by the measured width of its rows."""
+    probes = [
+        df.select(*columns[t]).limit(PROBE_ROWS).select(F.lit(t).alias("table"), F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+        for t, df in tables.items()
+    ]
+    united = probes[0]
+    for probe in probes[1:]:
+        united = united.unionByName(probe)
+    widths = {r["table"]: r["w"] for r in united.groupBy("table").agg(F.avg("b").alias("w")).collect()}
+    return {t: max(1, int(object_bytes / max(1.0, widths.get(t, 1.0)))) for t in tables}
+
+
 def extract(
-    spark: SparkSession, root: str, flow: str, tables: Mapping[str, DataFrame], chunk_rows: int = CHUNK_ROWS
+    spark: SparkSession, root: str, flow: str, tables: Mapping[str, DataFrame], chunk_rows: int | None = None
 ) -> str:
-    """Snapshot tables into a new batch; all become `extracted` by one registry record, or none."""
+    """Snapshot tables into a new batch; all become `extracted` by one registry record, or none.
+
+    Objects hold `chunk_rows` rows at most, or what `rows_per_object` finds.
+    """
     if not 1 <= len(tables) <= MAX_TABLES:
         raise BronzeError(f"a batch holds 1 to {MAX_TABLES} tables, got {len(tables)}")
     batch_id, started = str(uuid.uuid4()), time.time_ns()
@@ -93,48 +141,40 @@ def extract(
     base = {"batch_id": batch_id, "flow": flow, "batch_tables": len(tables), "extracted_at": started}
     _record(spark, root, [{**base, "table": t, "status": "extracting"} for t in tables])
     try:
-        done = []
+        chunks = dict.fromkeys(tables, chunk_rows) if chunk_rows else rows_per_object(tables, columns)
+        paths = {t: f"{root}/{flow}/{t}/{batch_id}-{n}" for n, t in enumerate(tables)}
+        schemas = {t: df.schema.json() for t, df in tables.items()}
         for table, df in tables.items():
-            path, schema = f"{root}/{flow}/{table}/{batch_id}", df.schema.json()
-            df.select(*columns[table]).write.option("maxRecordsPerFile", chunk_rows).parquet(path)
-            build_manifest(spark, path, stored_schema(df.schema)).write.parquet(f"{path}/_manifest")
-            manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
-            sums = manifest.agg(
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count_if(F.col("rows") > 0).alias("objects")
-            ).first()
+            df.select(*columns[table]).write.option("maxRecordsPerFile", chunks[table]).parquet(paths[table])
+        whole = scratch_path(spark, "manifests")
+        object_facts(spark, paths, {t: stored_schema(df.schema) for t, df in tables.items()}).write.parquet(whole)
+        manifests = spark.read.schema(f"table string, {MANIFEST}").parquet(whole)
+        for table, path in paths.items():
+            manifests.where(F.col("table") == table).select(*MANIFEST_COLUMNS).write.parquet(f"{path}/_manifest")
+        groups = manifests.groupBy("table", _group()).agg(*_digest_groups()).collect()
+        done = []
+        for table, path in paths.items():
+            mine = [g for g in groups if g["table"] == table]
             done.append({
-                **base, "table": table, "status": "extracted", "path": path, "schema": schema, "total_rows": sums["rows"],
-                "objects": sums["objects"], "manifest_hash": manifest_hash(manifest, flow, table, batch_id, schema),
+                **base, "table": table, "status": "extracted", "path": path, "schema": schemas[table], "total_rows": sum(g["rows"] for g in mine),
+                "objects": sum(g["objects"] for g in mine), "manifest_hash": manifest_hash(mine, flow, table, batch_id, schemas[table]),
             })
-        whole = batch_hash(flow, batch_id, {d["table"]: d["manifest_hash"] for d in done})
+        signed = batch_hash(flow, batch_id, {d["table"]: d["manifest_hash"] for d in done})
     except Exception:
         _record(spark, root, [{**base, "table": t, "status": "failed"} for t in tables])
         raise
-    _record(spark, root, [{**d, "batch_hash": whole} for d in done])
+    _record(spark, root, [{**d, "batch_hash": signed} for d in done])
     return batch_id
 
 
-def mismatches(spark: SparkSession, entry) -> DataFrame:
-    """Objects whose hash, size, row count or presence differs from the manifest."""
-    schema = T.StructType.fromJson(json.loads(entry["schema"]))
-    manifest = spark.read.schema(MANIFEST).parquet(f"{entry['path']}/_manifest").alias("m")
-    actual = file_hashes(spark, entry["path"]).alias("a")
-    joined = manifest.join(actual, F.col("m.object") == F.col("a.object"), "full_outer")
-    problem = (
-        F.when(F.col("a.object").isNull(), "missing").when(F.col("m.object").isNull(), "not in the manifest")
-        .when(F.col("m.size_bytes") != F.col("a.size_bytes"), "size differs")
-        .when(F.col("m.sha256") != F.col("a.sha256"), "sha256 differs")
-    )
-    return joined.select(F.coalesce("m.object", "a.object").alias("object"), problem.alias("problem")).where("problem is not null")
-
-
 def verify(spark: SparkSession, root: str, flow: str, batch_id: str) -> list:
     """Everything that can be checked before landing is touched; returns the batch's registry rows."""
     try:
         uuid.UUID(batch_id)
     except ValueError:
         raise BronzeError(f"{batch_id!r} is not a batch id") from None
-    entries = registry(spark, root).where(F.col("batch_id") == batch_id).orderBy("table").collect()
+    entries = registry(spark, root).where(F.col("batch_id") == batch_id).collect()
+    entries.sort(key=lambda e: e["table"])
     if not entries:
         raise BronzeError(f"batch {batch_id} is not in the registry")
     if {e["flow"] for e in entries} != {flow}:
@@ -149,32 +189,62 @@ def verify(spark: SparkSession, root: str, flow: str, batch_id: str) -> list:
     whole = batch_hash(flow, batch_id, {e["table"]: e["manifest_hash"] for e in entries})
     if {e["batch_hash"] for e in entries} != {whole}:
         raise BronzeError(f"batch {batch_id}: its tables do not agree with the batch manifest")
-    for e in entries:
-        _verify_table(spark, flow, batch_id, e)
+    _verify_files(spark, flow, batch_id, entries)
     return entries
 
 
-def _verify_table(spark: SparkSession, flow: str, batch_id: str, e) -> None:
-    manifest = spark.read.schema(MANIFEST).parquet(f"{e['path']}/_manifest")
-    if manifest_hash(manifest, flow, e["table"], batch_id, e["schema"]) != e["manifest_hash"]:
-        raise BronzeError(f"{e['table']}: the manifest changed after it was registered")
-    bad = mismatches(spark, e).limit(5).collect()
-    if bad:
-        raise BronzeError(f"{e['table']}: " + "; ".join(f"{b['object']} {b['problem']}" for b in bad))
-    schema = stored_schema(T.StructType.fromJson(json.loads(e["schema"])))
-    if e["total_rows"]:
-        stored = spark.read.option("pathGlobFilter", "*.parquet").parquet(e["path"]).schema
-        if [f.name for f in stored] != schema.names:
-            raise BronzeError(f"{e['table']}: columns {stored.names} are not the manifest's {schema.names}")
-    counts = manifest.select("object", F.col("rows").alias("declared")).join(
-        file_rows(spark, e["path"], schema), "object", "left"
+def judged_groups(spark: SparkSession, entries: Sequence, read_rows: bool = True) -> DataFrame:
+    """Per table and group of objects: the digest of the manifest's lines, the rows read, and the objects whose hash, size,
+    row count or presence differs from the manifest."""
+    paths = {e["table"]: e["path"] for e in entries}
+    schemas = {e["table"]: stored_schema(T.StructType.fromJson(json.loads(e["schema"]))) for e in entries}
+    manifests = None
+    for table, path in paths.items():
+        lines = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest").withColumn("table", F.lit(table))
+        manifests = lines if manifests is None else manifests.unionByName(lines)
+    problem = (
+        F.when(F.col("sha256").isNull(), "missing").when(F.col("declared").isNull(), "not in the manifest")
+        .when(F.col("size_bytes") != F.col("declared.size_bytes"), "size differs")
+        .when(F.col("sha256") != F.col("declared.sha256"), "sha256 differs")
+    )
+    told = object_facts(spark, paths, schemas if read_rows else None, manifests).select(
+        "table", _group(), F.when(problem.isNotNull(), F.concat_ws(" ", "object", problem)).alias("problem"),
+        F.col("rows").alias("read"), "declared.*",
     )
-    seen = counts.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
-        F.count_if(F.coalesce("rows", F.lit(0)) != F.col("declared")).alias("bad"),
-    ).first()
-    if seen["bad"] or seen["n"] != e["total_rows"]:
-        raise BronzeError(f"{e['table']}: {seen['n']} rows read, the manifest says {e['total_rows']}")
+    return told.groupBy("table", "g").agg(*_digest_groups(
+        F.count_if(F.col("object").isNotNull()).alias("lines"), F.sum("read").alias("read"),
+        F.count_if(F.col("problem").isNull() & (F.col("read") != F.col("rows"))).alias("miscounted"),
+        F.count("problem").alias("bad"), F.slice(F.sort_array(F.collect_list("problem")), 1, NAMED).alias("named"),
+    ))
+
+
+def _verify_files(spark: SparkSession, flow: str, batch_id: str, entries: Sequence) -> None:
+    failure = None
+    try:
+        groups = judged_groups(spark, entries).collect()
+    except (PySparkException, Py4JJavaError) as exc:
+        # A damaged file need not be readable as rows; its hash tells which one it is.
+        failure, groups = exc, judged_groups(spark, entries, read_rows=False).collect()
+    for e in entries:
+        mine = [g for g in groups if g["table"] == e["table"]]
+        if manifest_hash([g for g in mine if g["lines"]], flow, e["table"], batch_id, e["schema"]) != e["manifest_hash"]:
+            raise BronzeError(f"{e['table']}: the manifest changed after it was registered")
+        bad, named = sum(g["bad"] for g in mine), sorted(n for g in mine for n in g["named"])[:NAMED]
+        if bad:
+            more = f" and {bad - len(named)} more" if bad > len(named) else ""
+            raise BronzeError(f"{e['table']}: " + "; ".join(named) + more)
+        if failure is not None:
+            continue
+        read = sum(g["read"] for g in mine)
+        if read != e["total_rows"] or any(g["miscounted"] for g in mine):
+            raise BronzeError(f"{e['table']}: {read} rows read, the manifest says {e['total_rows']}")
+        names = T.StructType.fromJson(json.loads(e["schema"])).names
+        if e["total_rows"]:
+            stored = spark.read.option("pathGlobFilter", "*.parquet").parquet(e["path"]).schema
+            if stored.names != names:
+                raise BronzeError(f"{e['table']}: columns {stored.names} are not the manifest's {names}")
+    if failure is not None:
+        raise failure
 
 
 def load(spark: SparkSession, root: str, flow: str, batch_id: str, store: TableStore, namespace: str | None = None) -> dict:
@@ -196,8 +266,9 @@ def load(spark: SparkSession, root: str, flow: str, batch_id: str, store: TableS
     if newer:
         raise BronzeError(f"a newer batch ({newer[0]['batch_id']}) is already loaded for {newer[0]['table']}")
     schemas = {e["table"]: T.StructType.fromJson(json.loads(e["schema"])) for e in entries}
+    current = store.current_tables(namespace, list(tables))
     for e in entries:
-        landed = store.current(namespace, e["table"])
+        landed = current.get(e["table"])
         if landed is not None and _shape(landed.struct) != _shape(schemas[e["table"]]):
             raise BronzeError(f"landing table {namespace}.{e['table']} has other columns than the batch; drift is refused")
     staged = []

@@ -73,12 +73,14 @@ class TableStore:
 
     def current(self, namespace: str, table: str) -> Version | None:
         """The newest publish record of a table, or None."""
-        mine = self.records().where((F.col("namespace") == namespace) & (F.col("table") == table))
-        record = mine.agg(F.max_by(F.struct("*"), "seq").alias("r")).first()["r"]
-        if record is None:
-            return None
-        values = record.asDict()
-        return Version(**{**values, "keys": tuple(values["keys"] or ())})
+        return self.current_tables(namespace, [table]).get(table)
+
+    def current_tables(self, namespace: str, tables: Sequence[str]) -> dict[str, Version]:
+        """The newest publish records of those of the tables that have one."""
+        mine = self.records().where((F.col("namespace") == namespace) & F.col("table").isin(list(tables)))
+        found = mine.groupBy("table").agg(F.max_by(F.struct("*"), "seq").alias("r")).collect()
+        records = [row["r"].asDict() for row in found]
+        return {r["table"]: Version(**{**r, "keys": tuple(r["keys"] or ())}) for r in records}
 
     def read(self, namespace: str, table: str) -> DataFrame:
         version = self.current(namespace, table)

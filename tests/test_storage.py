@@ -288,6 +288,51 @@ def test_a_changed_object_is_refused_before_anything_is_replaced(spark, batch, s
     refused(spark, root, batch_id, store, "sha256 differs")
 
 
+def test_a_cut_off_object_is_named(spark, batch, store):
+    root, _, batch_id = batch
+    path = data_files(entry_of(spark, root, "typed"))[0]
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-9])
+    os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
+    refused(spark, root, batch_id, store, f"{os.path.basename(path)} size differs")
+
+
+def test_all_missing_objects_are_counted(spark, tmp_path, store, table):
+    root = str(tmp_path / "bronze")
+    batch_id = bronze.extract(spark, root, "f", {"plain": table({"id": "bigint"}, *[(i,) for i in range(9)]).coalesce(1)}, chunk_rows=1)
+    for path in data_files(entry_of(spark, root, "plain"))[1:]:
+        os.remove(path)
+    refused(spark, root, batch_id, store, r"(part-\S+ missing; ){4}part-\S+ missing and 3 more$")
+
+
+def test_objects_are_sized_by_bytes(spark, tmp_path, monkeypatch, table):
+    from sluiceway.bronze import batch as batches
+
+    wide = table({"id": "bigint", "text": "string"}, *[(i, "x" * 1000) for i in range(40)]).coalesce(1)
+    tables = {"wide": wide, "narrow": table({"id": "bigint"}, *[(i,) for i in range(40)]).coalesce(1), "none": table({"id": "bigint"})}
+    columns = {t: batches.stored_columns(df.schema) for t, df in tables.items()}
+    rows_each = batches.rows_per_object(tables, columns, 10_300)
+    assert rows_each["wide"] in (9, 10) and 900 < rows_each["narrow"] < 1300
+    assert batches.rows_per_object({"wide": wide}, columns, 1) == {"wide": 1}
+    monkeypatch.setattr(batches, "rows_per_object", lambda *a: rows_each)
+    bronze.extract(spark, str(tmp_path / "b"), "f", tables)
+    assert {e["table"]: e["objects"] for e in registry(spark, str(tmp_path / "b")).collect()} == {"wide": -(-40 // rows_each["wide"]), "narrow": 1, "none": 0}
+
+
+def test_a_batch_takes_few_jobs(spark, tmp_path, store, table):
+    tables = {n: table({"id": "bigint"}, (1,), (2,)) for n in ("a", "b", "c")}
+    counted = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bronze-jobs", "jobs of a batch")
+    try:
+        batch_id = bronze.extract(spark, str(tmp_path / "b"), "f", tables, chunk_rows=10)
+        extracted = len(counted.getJobIdsForGroup("bronze-jobs"))
+        bronze.load(spark, str(tmp_path / "b"), "f", batch_id, store)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    loaded = len(counted.getJobIdsForGroup("bronze-jobs")) - extracted
+    assert extracted + loaded <= 26, (extracted, loaded)
+
+
 def test_an_extra_object_is_refused(spark, batch, store):
     root, _, batch_id = batch
     path = data_files(entry_of(spark, root, "plain"))[0]
