@@ -24,7 +24,7 @@ from sluiceway.gates import Gate, Quarantine, run_gates
 from sluiceway.gates.model import rejected_with_reason
 from sluiceway.operators.merge import latest_versions
 from sluiceway.plans.store import TableStore
-from sluiceway.streaming.seen import SeenBefore, flag_names, judged_by_state, with_state_provider
+from sluiceway.streaming.seen import SeenBefore, placed_in_stream
 
 
 class GateFailed(RuntimeError):
@@ -61,43 +61,39 @@ def ingest(
     """Start a run over everything that has arrived; it stops by itself when that is done.
 
     `parents` names tables of the store, as (namespace, table), that the gates may refer to."""
-    columns = stream.columns
-    judged, placed = judged_by_state(stream, table, gates) if quarantine else (stream, list(gates))
-    stateful = [(n, g) for n, g in enumerate(placed) if isinstance(g, SeenBefore)]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        origin = f"batch-{checkpoint_id(batch.sparkSession, checkpoint)}-"
+        started = checkpoint_id(batch.sparkSession, checkpoint)
+        origin = f"batch-{started}-"
         version = f"{origin}{batch_id:09d}"
         landed = store.current(namespace, table)
         if landed is not None and landed.version.startswith(origin) and landed.version >= version:
             return
         known = {name: store.read(*where) for name, where in (parents or {}).items()}
+        placed = placed_in_stream(gates, store, namespace, table, started, batch_id) if quarantine else list(gates)
         batch = batch.persist()
         try:
             outcome = run_gates({**known, table: batch}, placed, quarantine, run_id=batch_id)
             for name, bad in outcome.rejected.items():
-                store.add_rejected(namespace, name, bad.drop(*[f for n, _ in stateful for f in flag_names(n)]), version)
+                store.add_rejected(namespace, name, bad, version)
             if not outcome.passed:
                 raise GateFailed("; ".join(outcome.failures))
-            clean = outcome.tables[table].select(*columns)
+            clean = outcome.tables[table]
             if landed is None:
                 store.publish([store.stage(namespace, table, latest_versions(clean, keys, cursor), version, keys, cursor)])
                 return
             rest = store.read_version(landed)
             recalled = None
-            for n, gate in stateful:
-                repeated, before = flag_names(n)
-                again = batch.where(F.col(repeated) & (F.col(before) > 0)).select(*gate.columns).distinct()
-                moved = rejected_with_reason(rest.join(again, list(gate.columns), "left_semi").select(*rest.columns), F.lit(gate.reason), batch_id)
+            for gate in placed:
+                if not isinstance(gate, SeenBefore) or gate.again is None:
+                    continue
+                moved = rejected_with_reason(rest.join(gate.again, list(gate.columns), "left_semi").select(*rest.columns), F.lit(gate.reason), batch_id)
                 recalled = moved if recalled is None else recalled.unionByName(moved)
-                rest = rest.join(again, list(gate.columns), "left_anti").select(*rest.columns)
+                rest = rest.join(gate.again, list(gate.columns), "left_anti").select(*rest.columns)
             if recalled is not None:
                 store.add_rejected(namespace, table, recalled, f"{version}-recalled")
             store.merge(landed, clean, version, rest if recalled is not None else None)
         finally:
             batch.unpersist()
 
-    def start() -> StreamingQuery:
-        return judged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-    return with_state_provider(stream.sparkSession, start) if stateful else start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,117 +1,90 @@
 """Unique keys across the micro-batches of a stream.
 
-A keyed state holds how often each key has come. It belongs to the stream's checkpoint, so a batch that runs again sees
-the state from before it. Every row learns whether its key repeats, within the batch or since the beginning, and how
-many copies came in earlier batches; those have landed and must be moved as well. The state is one number a key, kept
-by the RocksDB provider on local disk and in the checkpoint.
+The keys of each batch are written once, as a folder of their own, and a record names it for the checkpoint, the gate and
+the batch. Which keys repeat is then found by one narrow aggregate over the batch and one join with the keys of the batches
+before it; no key is looked up on its own. A batch that runs again sees the keys of earlier batches only, and its newest
+record replaces the one before.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+import time
+import uuid
+from collections.abc import Sequence
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sluiceway.gates import Gate, NotNull, Unique
+from sluiceway.gates import Gate, Unique
+from sluiceway.plans.store import TableStore
+from sluiceway.records import append_records, read_records
+from sluiceway.skew import broadcast_if_small, stored_side
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+SEEN = "namespace string, table string, checkpoint string, gate string, batch bigint, path string, seq bigint"
 
-# Rows that take no part in a key's count are spread over this many groups.
-SPREAD = 256
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+class MissingKeys(LookupError):
+    """Keys of earlier batches of the stream were never recorded, so a unique gate cannot look back on them."""
 
-class KeyCopies(StatefulProcessor):
-    """Flags the rows of a key that has come before or comes more than once now; holds one row of a key at a time."""
 
-    def __init__(self, columns: Sequence[str], repeated: str, before: str):
-        self.columns, self.out = list(columns), Row(*columns, repeated, before)
+class SeenKeys:
+    """The keys one gate saw in each batch of one checkpoint."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.copies = handle.getValueState("copies", "n long")
+    def __init__(self, store: TableStore, namespace: str, table: str, checkpoint: str, gate: str):
+        self.spark: SparkSession = store.spark
+        self.records = f"{store.root}/_seen"
+        self.folder = f"{store.root}/{namespace}/{table}_seen"
+        self.names = {"namespace": namespace, "table": table, "checkpoint": checkpoint, "gate": gate}
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        counted = key[-1] < 0
-        before = self.copies.get()[0] if counted and self.copies.exists() else 0
-        seen, first = 0, None
-        for row in rows:
-            seen += 1
-            if counted and not before and seen == 1:
-                first = row
-                continue
-            if first is not None:
-                yield self._flagged(first, True, before)
-                first = None
-            yield self._flagged(row, counted, before)
-        if first is not None:
-            yield self._flagged(first, False, before)
-        if counted:
-            self.copies.update((before + seen,))
+    def add(self, batch: int, keys: DataFrame) -> DataFrame:
+        path = f"{self.folder}/batch={batch:09d}-{uuid.uuid4().hex[:12]}"
+        keys.write.parquet(path)
+        append_records(self.spark, self.records, [{**self.names, "batch": batch, "path": path, "seq": time.time_ns()}], SEEN)
+        return self.spark.read.schema(keys.schema).parquet(path)
 
-    def _flagged(self, row: Row, repeated: bool, before: int) -> Row:
-        return self.out(*[row[c] for c in self.columns], repeated, before)
+    def before(self, batch: int, like: DataFrame) -> DataFrame | None:
+        """The keys of all earlier batches, a key once for each batch it came in."""
+        if batch == 0:
+            return None
+        mine = read_records(self.spark, self.records, SEEN).where(F.col("batch") < batch)
+        for name, value in self.names.items():
+            mine = mine.where(F.col(name) == value)
+        newest = mine.groupBy("batch").agg(F.max_by("path", "seq").alias("path")).collect()
+        if len(newest) != batch:
+            raise MissingKeys(
+                f"{self.names['namespace']}.{self.names['table']}: {batch - len(newest)} of the {batch} batches before have no keys of "
+                f"gate {self.names['gate']}; start the stream from a new checkpoint"
+            )
+        return self.spark.read.schema(like.schema).parquet(*[r["path"] for r in newest])
 
-    def close(self) -> None:
-        pass
 
+class SeenBefore(Unique):
+    """A unique gate that also rejects keys of earlier batches; `again` holds those that came before and come now."""
 
-class SeenBefore(NotNull):
-    """A unique gate whose rows were judged by the stream's state."""
-
-    kind = "unique"
-
-    def __init__(self, gate: Unique, repeated: str):
+    def __init__(self, gate: Unique, seen: SeenKeys, batch: int):
         super().__init__(gate.table, list(gate.columns))
-        object.__setattr__(self, "repeated", repeated)
-        object.__setattr__(self, "unique", gate)
-
-    @property
-    def reason(self) -> str:
-        return self.unique.reason
-
-    def rejects(self) -> Column:
-        return F.coalesce(F.col(self.repeated), F.lit(False))
-
-
-def flag_names(number: int) -> tuple[str, str]:
-    return f"_repeated_{number}", f"_before_{number}"
-
-
-def judged_by_state(stream: DataFrame, table: str, gates: Sequence[Gate]) -> tuple[DataFrame, list[Gate]]:
-    """The stream with two columns for each unique gate of the table, and the gates with these put in place.
-
-    A row that an earlier gate rejects, or whose key holds a NULL, is no copy of anything."""
-    placed, earlier = [], F.lit(False)
-    for number, gate in enumerate(gates):
-        if isinstance(gate, Unique) and gate.table == table:
-            repeated, before = flag_names(number)
-            null = F.lit(False)
-            for c in gate.columns:
-                null = null | F.col(c).isNull()
-            apart = F.pmod(F.xxhash64(*stream.columns), F.lit(SPREAD))
-            spread = f"_spread_{number}"
-            keyed = stream.withColumn(spread, F.when(earlier | null, apart).otherwise(-1).cast("long"))
-            processor = KeyCopies(stream.columns, repeated, before)
-            schema = T.StructType([*stream.schema.fields, T.StructField(repeated, T.BooleanType()), T.StructField(before, T.LongType())])
-            stream = keyed.groupBy(*gate.columns, spread).transformWithState(processor, schema, "append", "none")
-            gate = SeenBefore(gate, repeated)
-        if isinstance(gate, NotNull) and gate.table == table:
-            earlier = earlier | gate.rejects()
-        placed.append(gate)
-    return stream, placed
-
-
-def with_state_provider(spark: SparkSession, start):
-    """Start a query that keeps state with the provider this needs; the session's own setting is put back."""
-    name, value = PROVIDER
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        return start()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        object.__setattr__(self, "seen", seen)
+        object.__setattr__(self, "batch", batch)
+        object.__setattr__(self, "again", None)
+
+    def repeated_keys(self, df: DataFrame) -> DataFrame:
+        keys = list(self.columns)
+        counted = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        now = self.seen.add(self.batch, counted)
+        repeated = now.where("n > 1")
+        earlier = self.seen.before(self.batch, now)
+        if earlier is None:
+            return repeated
+        # The keys of one batch are different; those before it may be many and are filtered in place while these are few.
+        again = earlier.join(broadcast_if_small(now.select(*keys)), keys, "left_semi").select(*keys).distinct()
+        object.__setattr__(self, "again", stored_side(again, "seen-again"))
+        return repeated.select(*keys).unionByName(self.again).distinct().withColumn("n", F.lit(2).cast("bigint"))
+
+
+def placed_in_stream(gates: Sequence[Gate], store: TableStore, namespace: str, table: str, checkpoint: str, batch: int) -> list[Gate]:
+    """The gates of one batch, with those that have to hold over all batches put in place."""
+    return [
+        SeenBefore(gate, SeenKeys(store, namespace, table, checkpoint, f"{number}: {', '.join(gate.columns)}"), batch)
+        if isinstance(gate, Unique) and gate.table == table else gate
+        for number, gate in enumerate(gates)
+    ]

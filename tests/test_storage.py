@@ -649,3 +649,27 @@ def test_children_of_landed_parents(spark, store, table, tmp_path):
         ingest(file_stream(spark, folder, schema), store, "s", "t", ["id"], "at", str(tmp_path / "c"), gates, Quarantine(100), {"p": ("s", "parents")}).awaitTermination()
         assert rows(store.read("s", "t"), "id") == landed
     assert rows(store.read_rejected("s", "t"), "id") == [(11,)]
+
+
+def test_unique_keys_need_no_state_and_only_see_what_earlier_gates_left(spark, store, table, tmp_path):
+    columns = {"id": "bigint", "parent": "bigint", "code": "string", "at": "timestamp_ntz"}
+    folder, schema = str(tmp_path / "in"), table(columns).schema
+    store.replace("s", {"parents": table({"key": "bigint"}, (1,))}, "1")
+    orphans, unique = ReferentialIntegrity("t", "parent", {"table": "p", "column": "key"}), Unique("t", ["code"])
+
+    def go(*listed, gates=(orphans, unique)):
+        # Several files make one batch of a run.
+        table(columns, *listed).repartition(2).write.mode("append").parquet(folder)
+        query = ingest(file_stream(spark, folder, schema), store, "s", "t", ["id"], "at", str(tmp_path / "c"), gates, Quarantine(100), {"p": ("s", "parents")})
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+        return rows(store.read("s", "t"), "id"), rows(store.read_rejected("s", "t"), "id", "run_id")
+
+    assert go((1, 9, "a", at(1)), (2, 1, "b", at(1))) == ([(2,)], [(1, 0)])
+    # The orphan's code was no copy; b is one.
+    assert go((3, 1, "a", at(2)), (4, 1, "b", at(2))) == ([(3,)], [(1, 0), (2, 1), (4, 1)])
+    with pytest.raises(Exception, match="2 of the 2 batches before have no keys of gate 0: code"):
+        go((5, 1, "c", at(3)), gates=(unique,))
+    assert rows(store.read("s", "t"), "id") == [(3,)]
+    # The refused batch runs again, then the new one.
+    assert go((6, 1, "a", at(3))) == ([(5,)], [(1, 0), (2, 1), (3, 3), (4, 1), (6, 3)])
