@@ -350,14 +350,15 @@ def stream_ingest(t: Tables) -> DataFrame:
     qualify count(*) over (partition by user_id, cast(ts as date)) = 1""")
 def stream_unique_gate(t: Tables) -> DataFrame:
     """Events in three micro-batches, each user's day at most once over all of them; users are landed customers."""
-    store, folder = _store(t, "stream-unique"), scratch_path(t.spark, "stream-parts")
+    store, folder, checkpoint = _store(t, "stream-unique"), scratch_path(t.spark, "stream-parts"), scratch_path(t.spark, "stream-checkpoint")
     kept = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type", "ts")
-    for part in range(3):
-        kept.where(F.pmod("event_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(folder)
     store.replace("stream", {"users": t.customer.where("c_acctbal >= 0").select("c_custkey")}, "1")
-    ingest(
-        file_stream(t.spark, folder, kept.schema, files_per_batch=1), store, "stream", "events", ["event_id"], "ts", scratch_path(t.spark, "stream-checkpoint"),
-        gates=[ReferentialIntegrity("events", "user_id", {"table": "users", "column": "c_custkey"}), Unique("events", ["user_id", "day"])],
-        quarantine=Quarantine(100), parents={"users": ("stream", "users")},
-    ).awaitTermination()
+    for part in range(3):
+        # All files of a part are one micro-batch, so that many tasks write and read them.
+        kept.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(folder)
+        ingest(
+            file_stream(t.spark, folder, kept.schema), store, "stream", "events", ["event_id"], "ts", checkpoint,
+            gates=[ReferentialIntegrity("events", "user_id", {"table": "users", "column": "c_custkey"}), Unique("events", ["user_id", "day"])],
+            quarantine=Quarantine(100), parents={"users": ("stream", "users")},
+        ).awaitTermination()
     return store.read("stream", "events")
