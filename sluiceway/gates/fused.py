@@ -4,7 +4,8 @@ Which keys are repeated, orphaned or named by a rule is found first, from the ke
 combined before the shuffle. Those key sets are written to shared scratch and measured; while they
 are small they are broadcast, and the wide rows are flagged, counted and split into clean and
 rejected in a single pass that shuffles nothing. A key set too large to broadcast is joined by
-shuffle, with hot partitions split by adaptive execution.
+shuffle, with hot partitions split by adaptive execution; only rows that no gate has rejected yet take
+part, and the result is stored before a later gate looks at it, so that no row is joined twice.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from sluiceway.gates.model import (
 )
 from sluiceway.gates.sequential import rule_rows
 from sluiceway.session import cut_lineage, scratch_path
-from sluiceway.skew import stored_side
+from sluiceway.skew import is_small, stored_side
 
 # Number of the first gate that rejects the row; NULL while none does.
 FLAG = "_rejected_by"
@@ -40,6 +41,13 @@ class _Table:
     gates: list[int] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
     newest: dict[int, dt.datetime | None] = field(default_factory=dict)
+    # Whether `flagged` holds a join by shuffle that has not been stored, and whether it was ever stored.
+    shuffles: bool = False
+    stored: bool = False
+
+    def settle(self) -> None:
+        if self.shuffles:
+            self.flagged, self.shuffles, self.stored = cut_lineage(self.flagged, "gate-flagged"), False, True
 
     @property
     def survivors(self) -> DataFrame:
@@ -50,6 +58,8 @@ def flag_rows(df: DataFrame, gates: Sequence[Gate], tables: Mapping[str, DataFra
     """`df` with the number of the first gate that rejects each row, NULL for clean rows."""
     state = _Table(df, df.withColumn(FLAG, F.lit(None).cast("int")))
     for number, gate in enumerate(gates):
+        if not isinstance(gate, NotNull):
+            state.settle()
         parents = {**(tables or {}), gate.table: state.survivors}
         state.flagged = _flag(state, gate, number, parents)[0]
     return state.flagged
@@ -65,7 +75,8 @@ def _flag(state: _Table, gate: Gate, number: int, tables: Mapping[str, DataFrame
         columns, keys = list(gate.columns), gate.repeated_keys(state.survivors).drop("n")
     elif isinstance(gate, ReferentialIntegrity):
         # Being an orphan depends on the key alone, so rows earlier gates rejected need not be left out.
-        columns, keys = [gate.column], gate.orphan_keys(state.source, tables[gate.references["table"]])
+        children = state.survivors if state.stored else state.source
+        columns, keys = [gate.column], gate.orphan_keys(children, tables[gate.references["table"]])
     else:
         ids = cut_lineage(rule_rows(gate, tables).toDF(gate.id_column), "gate-rule")
         counted = ids.count()
@@ -75,9 +86,12 @@ def _flag(state: _Table, gate: Gate, number: int, tables: Mapping[str, DataFrame
     same = F.col(FLAG).isNull()
     for column, key in renamed.items():
         same = same & (F.col(column) == F.col(key))
-    hit = state.flagged.join(side, same, "left")
     flag = F.when(F.col("_k0").isNotNull(), number).otherwise(F.col(FLAG))
-    return hit.withColumn(FLAG, flag).drop(*renamed.values()), counted
+    if is_small(side):
+        return state.flagged.join(side, same, "left").withColumn(FLAG, flag).drop(*renamed.values()), counted
+    state.shuffles = True
+    still = state.flagged.where(F.col(FLAG).isNull()).join(side, same, "left").withColumn(FLAG, flag).drop(*renamed.values())
+    return still.unionByName(state.flagged.where(F.col(FLAG).isNotNull())), counted
 
 
 def run_gates(
@@ -104,6 +118,10 @@ def run_gates(
             if isinstance(gate, SchemaContract):
                 early[number] = schema_verdict(gate, {t: s.source for t, s in states.items()})
             elif isinstance(gate, ROW_GATES):
+                if quarantine is not None and not isinstance(gate, NotNull):
+                    used = {gate.table, gate.references["table"]} if isinstance(gate, ReferentialIntegrity) else states if isinstance(gate, BusinessRule) else {gate.table}
+                    for t in used:
+                        states[t].settle()
                 # Lazy: each name means the rows that survived the gates before this one.
                 state, seen = states[gate.table], {t: s.survivors for t, s in states.items()}
                 if quarantine is None:

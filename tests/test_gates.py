@@ -303,3 +303,27 @@ def test_many_keys_and_a_gate_that_crashes(spark, table):
     assert key_counts(wide, dict(enumerate(gates)), {"t": wide}) == {i: sum(1 for v in range(6) if sum(w % (i % 7 + 1) == v % (i % 7 + 1) for w in range(6)) > 1) for i in range(70)}
     out = run_gates({"t": wide}, [Unique("t", ["nope"]), Unique("t", ["c0"]), ReferentialIntegrity("t", "c1", {"table": "gone", "column": "x"})])
     assert [g.rows_rejected for g in out.results] == [None, 6, None] and "raised" in out.results[0].detail
+
+
+def test_large_key_sets_are_joined_once(spark, table, monkeypatch):
+    """Rows joined by shuffle are stored before a later gate looks at them, in both ways of running gates."""
+    from sluiceway.gates import fused, sequential
+
+    monkeypatch.setattr(fused, "is_small", lambda side: False)
+    lines = table({"id": "bigint", "code": "string", "parent": "bigint"}, *[(i, None if i == 5 else f"c{i // 2 if i < 8 else i}", i % 4) for i in range(24)])
+    tables = {"t": lines, "p": table({"key": "bigint"}, (0,), (1,), (2,))}
+    gates = [
+        NotNull("t", ["code"]), Unique("t", ["code"]), ReferentialIntegrity("t", "parent", {"table": "p", "column": "key"}),
+        BusinessRule("few", "select id from t where id % 5 = 0 union all select null", "t", "id"), Unique("t", ["id"]),
+    ]
+    stored = []
+    for module, name in ((fused, "cut_lineage"), (sequential, "scratch_path")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real: stored.append(a[1]) or real(*a))
+    quick, plain = run_gates(tables, gates, Quarantine(100)), run_gates_one_by_one(tables, gates, Quarantine(100))
+    assert stored.count("gate-flagged") == 3 and stored.count("gate-apart") == 5
+    assert [(g.rows_checked, g.rows_rejected) for g in quick.results] == [(g.rows_checked, g.rows_rejected) for g in plain.results]
+    assert quick.tables["t"].count() and rows(quick.tables["t"]) == rows(plain.tables["t"])
+    assert rows(quick.rejected["t"], "id", "reason") == rows(plain.rejected["t"], "id", "reason")
+    for outcome in (quick, plain):
+        assert "Join" not in outcome.tables["t"]._jdf.queryExecution().toString()
