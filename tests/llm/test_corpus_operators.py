@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -186,6 +187,56 @@ def test_repeated_spans_of_awkward_rows(spark):
     assert [r.n_removed for r in twice] == [len(passage.encode())] * 2
 
 
+def test_repeated_spans_find_anchors_in_blocks(monkeypatch):
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"ab") for _ in range(n)) for n in (0, 99, 300, 0, 100, 1500, 5, 0)]
+    whole = repeated_spans.occurrences(texts)
+    for d, a, b, at in zip(*(whole[k].tolist() for k in (0, 2, 3, 4))):
+        hashes = repeated_spans.gram_hashes(np.frombuffer(texts[d], np.uint8), repeated_spans.ANCHOR) >> np.uint64(24)
+        for s in range(a, b + 1):
+            window = hashes[s:s + repeated_spans.MIN_BYTES - repeated_spans.ANCHOR + 1]
+            assert at == s + int(np.flatnonzero(window == window.min())[-1])
+    strings = [max(0, len(t) - repeated_spans.MIN_BYTES + 1) for t in texts]
+    assert int((whole[3] - whole[2] + 1).sum()) == sum(strings)
+    monkeypatch.setattr(repeated_spans, "BLOCK", 37)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, repeated_spans.occurrences(texts)))
+    monkeypatch.undo()
+    # A slice of texts is worked on in pieces that stay in a processor's cache, not in arrays of eight bytes a byte.
+    large = [r.randbytes(1 << 21)]
+    tracemalloc.start()
+    repeated_spans.occurrences(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_repeated_spans_judge_strings_with_a_shared_longer_anchor(monkeypatch):
+    r = random.Random(9)
+    anchor, far = r.randbytes(32), r.randbytes(34)
+    left, right = r.randbytes(68), far + r.randbytes(34)
+    # Two contexts share the anchor alone, two of them 34 bytes to its right, and two share all.
+    alone = [r.randbytes(68) + anchor + r.randbytes(68) for _ in range(2)]
+    half = [r.randbytes(68) + anchor + far + r.randbytes(34)]
+    contexts = [*alone, *half, left + anchor + right, left[20:] + anchor + right]
+    at, width, asked = np.array([68, 68, 68, 68, 48]), np.full(5, 32), []
+    judge = repeated_spans.equal_intervals
+    monkeypatch.setattr(repeated_spans, "equal_intervals", lambda x: (asked.append(len(x)), judge(x))[1])
+    context, offset = repeated_spans.later_strings(contexts, np.array([4, 3, 2, 1, 0]), at, width)
+    # The last one comes first: the strings of the fourth from its offset 20 on are later than those.
+    assert set(context.tolist()) == {3} and offset.tolist() == list(range(20, 69))
+    assert asked[0] == 34 + 100 + sum(len(c) for c in contexts[3:])
+    assert len(repeated_spans.later_strings(contexts[:2], np.array([0, 1]), at[:2], width[:2])[0]) == 0 and len(asked) == 1
+
+
+def test_repeated_spans_cut_documents_side_by_side():
+    texts = [b"", b"x" * 120, b"y" * 130, b"z" * 10, b""]
+    # One later context of 110 bytes, one earliest context with two judged spans; spans end with their document.
+    codes = [None, [(0 << 16) | (20 << 8)], [(0 << 16) | (5 << 8), (25 << 16) | (5 << 8)], None, []]
+    got = repeated_spans.without(texts, codes, [None, None, [0], None, None], [None, None, [0, 10, 12, 20], None, []])
+    assert [list(map(int, got[k])) for k in ("n_bytes", "n_removed", "n_spans")] == [[0, 120, 130, 10, 0], [0, 120, 123, 0, 0], [0, 1, 3, 0, 0]]
+    assert got["kept_sha256"] == [sha(""), sha(""), sha("y" * 7), sha("z" * 10), sha("")]
+
+
 def test_order_fingerprints(given, awkward, no_docs):
     docs = given("documents")
     rows = sorted(plain(docs))
