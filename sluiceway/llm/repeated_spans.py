@@ -263,25 +263,25 @@ def all_occurrences(read: DataFrame) -> DataFrame:
     return map_slices(read.select("doc_id", "tie", "text"), start, "g long,doc_id long,tie long,code long")
 
 
+def flat(listed: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and which list each is from."""
+    counts = [len(x) if x else 0 for x in listed]
+    numbers = np.fromiter(chain.from_iterable(x for x in listed if x), np.int64, sum(counts))
+    return numbers, np.repeat(np.arange(len(listed)), counts)
+
+
 def cut_contexts(read: DataFrame, found: DataFrame) -> DataFrame:
     """(g, context, at, doc_id, tie, a): the strings around each repeated anchor."""
-    target = arrow_schema("g long,context binary,at int,doc_id long,tie long,a long")
     joined = read.select("doc_id", "tie", "text").join(found, ["doc_id", "tie"]).select("doc_id", "tie", "text", "places.g", "places.code")
 
     def start():
         def work(rows: Columns) -> Columns:
-            out: Columns = {f.name: [] for f in target}
-            for doc_id, tie, data, gs, codes in zip(rows["doc_id"], rows["tie"], encoded(rows["text"]), rows["g"], rows["code"]):
-                code = np.array(codes, dtype=np.int64)
-                first = (code >> 16).tolist()
-                last = ((code >> 16) + ((code >> 8) & 255) + MIN_BYTES).tolist()
-                out["g"] += gs
-                out["context"] += [data[s:e] for s, e in zip(first, last)]
-                out["at"] += (code & 255).tolist()
-                out["doc_id"] += [doc_id] * len(gs)
-                out["tie"] += [tie] * len(gs)
-                out["a"] += first
-            return out
+            (g, d), (code, _) = flat(rows["g"]), flat(rows["code"])
+            first = code >> 16
+            last = first + ((code >> 8) & 255) + MIN_BYTES
+            ids, ties, data = np.array(rows["doc_id"], dtype=np.int64), np.array(rows["tie"], dtype=np.int64), encoded(rows["text"])
+            cut = [data[i][s:e] for i, s, e in zip(d.tolist(), first.tolist(), last.tolist())]
+            return {"g": g, "context": cut, "at": (code & 255).astype(np.int32), "doc_id": ids[d], "tie": ties[d], "a": first}
 
         return work
 
@@ -400,47 +400,40 @@ def removals(read: DataFrame, context_bytes: int = CONTEXT_BYTES) -> tuple[DataF
     return found, firsts
 
 
-def flat(listed: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the lists, and which list each is from."""
-    counts = [len(x) if x else 0 for x in listed]
-    numbers = np.fromiter(chain.from_iterable(x for x in listed if x), np.int64, sum(counts))
-    return numbers, np.repeat(np.arange(len(listed)), counts)
-
-
-def covered_bytes(sizes: np.ndarray, codes: list, origins: list, spans: list) -> np.ndarray:
-    """Which bytes of the documents, laid side by side, go: all strings of contexts that are not the earliest, and the
-    judged spans of those that are."""
+def removed_runs(sizes: np.ndarray, codes: list, origins: list, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of each run of bytes that goes: all strings of contexts that are not the earliest, and the
+    judged spans of those that are, united within a document. Places count over the documents laid side by side."""
     starts = np.cumsum(sizes) - sizes
     code, owner = flat(codes)
     first = (code >> 16) + starts[owner]
-    judged_at, owner_at = flat(origins)
-    later = ~np.isin(first, judged_at + starts[owner_at])
-    bounds, owner_of = flat(spans)
-    bounds += starts[owner_of]
-    total = int(sizes.sum()) + 1
-    begun = np.bincount(np.concatenate([first[later], bounds[::2]]), minlength=total)
-    ended = np.bincount(np.concatenate([(first + ((code >> 8) & 255))[later] + MIN_BYTES, bounds[1::2]]), minlength=total)
-    return np.cumsum(begun - ended)[:-1] > 0
+    origin, owner_of = flat(origins)
+    later = ~np.isin(first, origin + starts[owner_of])
+    bounds, of = flat(spans)
+    bounds += starts[of]
+    doc = np.concatenate([owner[later], of[::2]])
+    begin = np.concatenate([first[later], bounds[::2]])
+    end = np.concatenate([(first + ((code >> 8) & 255))[later] + MIN_BYTES, bounds[1::2]])
+    order = np.argsort(begin)
+    doc, begin, reach = doc[order], begin[order], np.maximum.accumulate(end[order])
+    fresh = np.flatnonzero(np.append(True, (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))[:len(doc)])
+    return doc[fresh], begin[fresh], reach[np.append(fresh[1:], len(doc))[:len(fresh)] - 1]
 
 
 def without(listed: list[bytes], codes: list, origins: list, spans: list) -> Columns:
     """Per document: bytes, bytes and spans that go, digest of what is left."""
     sizes = np.array([len(b) for b in listed], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    gone = covered_bytes(sizes, codes, origins, spans)
-    opens = gone.copy()
-    opens[1:] &= ~gone[:-1]
-    heads = starts[sizes > 0]
-    opens[heads] = gone[heads]
-    removed, opened = (np.append(0, np.cumsum(flags, dtype=np.int64)) for flags in (gone, opens))
-    n_removed = removed[ends] - removed[starts]
-    kept = memoryview(np.frombuffer(b"".join(listed), np.uint8)[~gone].tobytes())
-    kept_starts, kept_ends = (starts - removed[starts]).tolist(), (ends - removed[ends]).tolist()
-    return {
-        "n_bytes": sizes, "n_removed": n_removed, "n_spans": opened[ends] - opened[starts],
-        "kept_sha256": [hashlib.sha256(kept[s:e]).hexdigest() for s, e in zip(kept_starts, kept_ends)],
-    }
+    doc, begin, end = removed_runs(sizes, codes, origins, spans)
+    removed = np.zeros(len(listed), np.int64)
+    np.add.at(removed, doc, end - begin)
+    at = (np.cumsum(sizes) - sizes)[doc]
+    bounds = np.stack([begin - at, end - at], axis=1)
+    first = np.searchsorted(doc, np.arange(len(listed) + 1))
+    digests = []
+    for data, lo, hi in zip(listed, first[:-1].tolist(), first[1:].tolist()):
+        # From the end of one run to the start of the next.
+        edges = [0, *bounds[lo:hi].ravel().tolist(), len(data)] if hi > lo else [0, len(data)]
+        digests.append(hashlib.sha256(b"".join([data[s:e] for s, e in zip(edges[::2], edges[1::2])])).hexdigest())
+    return {"n_bytes": sizes, "n_removed": removed, "n_spans": np.diff(first), "kept_sha256": digests}
 
 
 def remove_repeats(docs: DataFrame, context_bytes: int = CONTEXT_BYTES) -> DataFrame:

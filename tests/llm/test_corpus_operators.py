@@ -235,6 +235,13 @@ def test_repeated_spans_cut_documents_side_by_side():
     got = repeated_spans.without(texts, codes, [None, None, [0], None, None], [None, None, [0, 10, 12, 20], None, []])
     assert [list(map(int, got[k])) for k in ("n_bytes", "n_removed", "n_spans")] == [[0, 120, 130, 10, 0], [0, 120, 123, 0, 0], [0, 1, 3, 0, 0]]
     assert got["kept_sha256"] == [sha(""), sha(""), sha("y" * 7), sha("z" * 10), sha("")]
+    # Runs that touch are one, and the work follows the runs and not the bytes.
+    large = [b"q" * (1 << 21)]
+    tracemalloc.start()
+    got = repeated_spans.without(large, [[0]], [[0]], [[100, 300, 200, 250, 300, 500, 600, 700]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(got[k][0]) for k in ("n_removed", "n_spans")] == [500, 2] and peak < 8 << 20
 
 
 def test_order_fingerprints(given, awkward, no_docs):
